@@ -23,6 +23,7 @@ from pressroom.functions.display import (
 from pressroom.functions.markup import Element, read_html
 from pressroom.functions.text import strip
 from pressroom.operators.ranking import first_n_per_key, first_per_key
+from pressroom.session import spread
 
 LIMIT_PER_SITE = 20
 
@@ -343,7 +344,7 @@ def _per_page(pages: DataFrame, key: str, facts, schema: str) -> DataFrame:
 
     id_type = pages.schema[key].dataType.simpleString()
     ready = pages.filter(F.col("html").isNotNull()).select(key, "site", "url", "html")
-    return ready.mapInPandas(run, f"{key} {id_type}, site string, url string, {schema}")
+    return spread(ready).mapInPandas(run, f"{key} {id_type}, site string, url string, {schema}")
 
 
 def _flag(rules: Mapping[str, SiteRule], test) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pressroom.functions.text import STOPWORDS, is_vocabulary_word, serving_words, training_words
 from pressroom.operators.ranking import with_rank
-from pressroom.session import settle
+from pressroom.session import settle, spread
 
 # A word table of up to this many numbers (words x classes) is broadcast. Beyond it only words
 # above a 1/HOT_SHARE share of the training words are, of which there can be at most HOT_SHARE.
@@ -57,7 +57,8 @@ def bag_of_words(
     words: Callable[[Column], Column] = training_words,
 ) -> DataFrame:
     """One row per kept columns and word occurrence; documents without words keep one NULL row."""
-    return docs.select(*keep, F.explode_outer(words(F.col(text))).alias("term"))
+    narrow = spread(docs.select(*keep, text))
+    return narrow.select(*keep, F.explode_outer(words(F.col(text))).alias("term"))
 
 
 def vocabulary(

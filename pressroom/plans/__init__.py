@@ -1,6 +1,6 @@
 """Composed jobs and the register of named queries."""
 
-from pressroom.plans import catalogue_queries  # noqa: F401  (fills the register)
+from pressroom.plans import catalogue_queries, text_queries  # noqa: F401  (fill the register)
 from pressroom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -63,3 +63,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_INPUT_PER_CORE = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a small input one task per core.
+
+    A small file is often a single row group and so a single task. Whether the input is small is
+    read from the plan's size estimate; a large input has enough splits and is left as it is,
+    since moving it would cost a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * SMALL_INPUT_PER_CORE else df

@@ -37,8 +37,10 @@ def normal(rows, columns):
 
 def difference(spark, con, query, sql, folder) -> str | None:
     """None when equal, else a short description."""
+    start = time.time()
     frame = query(spark, folder)
     got = normal([tuple(r) for r in frame.collect()], frame.columns)
+    print(f"{time.time() - start:6.2f}s", end=" ")
     result = con.execute(sql)
     columns = [d[0] for d in result.description]
     want = normal(result.fetchall(), columns)
