@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -586,3 +587,8 @@ def listing(
         F.coalesce(strip(F.col("time")), time_default(rules)).alias("date_posted"),
         F.col("image").alias("image_url"),
     )
+
+
+def union_sites(frames: list[DataFrame]) -> DataFrame:
+    """One frame of all sites' rows; fields a site lacks are NULL, repeats stay."""
+    return reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), frames)

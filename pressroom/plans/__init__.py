@@ -1,6 +1,11 @@
 """Composed jobs and the register of named queries."""
 
-from pressroom.plans import catalogue_queries, text_queries  # noqa: F401  (fill the register)
+from pressroom.plans import (  # noqa: F401  (fill the register)
+    catalogue_queries,
+    change_queries,
+    intake_queries,
+    text_queries,
+)
 from pressroom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
