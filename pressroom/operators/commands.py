@@ -14,6 +14,7 @@ from pressroom.functions.text import TOXIC_KEYWORDS
 from pressroom.operators.dedupe import with_article_ids
 from pressroom.operators.moderation import moderate, saved_sentiment
 from pressroom.operators.ranking import first_per_key, with_rank
+from pressroom.session import settle
 
 
 class Change(NamedTuple):
@@ -191,7 +192,8 @@ def add_comments(
         .when(is_reply, "saved")
         .otherwise("ignored")
     )
-    decided = judged.withColumn("outcome", outcome)
+    # Both results need the decisions; settled, the texts are cleaned once and not in a filter.
+    decided = settle(judged.withColumn("outcome", outcome), "decided-comments")
     neutral = F.col("decision").isNull()
     last_id = comments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
     saved = with_rank(decided.filter("outcome = 'saved'"), ["seq"], "_n")

@@ -18,6 +18,7 @@ from pressroom.functions.text import (
     strip,
 )
 from pressroom.operators import topics
+from pressroom.session import spread
 
 # Decision texts, label descriptions and constants of the moderation rules.
 APPROVE, REJECT = "approve", "reject"
@@ -114,7 +115,7 @@ def moderate(
     rated = with_probabilities(scores).select(
         F.col("comment_id").alias("_cid"), "label", "confidence", "probabilities"
     )
-    joined = comments.join(rated, F.col(key) == F.col("_cid"), "left").drop("_cid")
+    joined = spread(comments).join(rated, F.col(key) == F.col("_cid"), "left").drop("_cid")
     return decide(joined, "content", keywords, model_missing)
 
 

@@ -263,7 +263,6 @@ def cross_validate(
     The vocabulary is fixed over all folds.
     """
     assigned = with_folds(docs.select(key, label, text), key, label, folds)
-    assigned = settle(assigned, "folds")
     cells = assigned.groupBy(label, "fold").agg(F.count(F.lit(1)).alias("n")).collect()
     labels = sorted({row[0] for row in cells})
     docs_in = {(row[0], row[1]): row[2] for row in cells}

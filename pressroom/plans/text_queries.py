@@ -9,6 +9,7 @@ from pressroom.functions import dates, text
 from pressroom.operators import moderation, topics
 from pressroom.plans.catalogue_queries import IS_WORD_SQL, TRAINING_WORDS_SQL
 from pressroom.plans.registry import query
+from pressroom.session import spread
 from pressroom.sources import fixtures as fx
 
 LABELS = ("de", "en", "es", "fr")
@@ -48,22 +49,26 @@ def sentiment_sql(c):
     return squash_sql(f"regexp_replace({c}, '[^{text.SENTIMENT_LETTERS}@SPACE]', ' ', 'g')")
 
 
+def _documents(spark, folder):
+    return spread(fx.table(spark, folder, "documents").select("doc_id", "text"))
+
+
 # Text functions
 
 
 @query("t1_clean_comment", f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents")
 def t1(spark, folder):
-    return fx.table(spark, folder, "documents").select("doc_id", text.clean_comment(F.col("text")).alias("cleaned"))
+    return _documents(spark, folder).select("doc_id", text.clean_comment(F.col("text")).alias("cleaned"))
 
 
 @query("t2_moderation_text", f"SELECT doc_id, {moderation_sql('text')} AS cleaned FROM documents")
 def t2(spark, folder):
-    return fx.table(spark, folder, "documents").select("doc_id", text.moderation_text(F.col("text")).alias("cleaned"))
+    return _documents(spark, folder).select("doc_id", text.moderation_text(F.col("text")).alias("cleaned"))
 
 
 @query("t3_sentiment_text", f"SELECT doc_id, {sentiment_sql('text')} AS cleaned FROM documents")
 def t3(spark, folder):
-    return fx.table(spark, folder, "documents").select("doc_id", text.sentiment_text(F.col("text")).alias("cleaned"))
+    return _documents(spark, folder).select("doc_id", text.sentiment_text(F.col("text")).alias("cleaned"))
 
 
 @query(
@@ -76,7 +81,7 @@ def t3(spark, folder):
 )
 def t4(spark, folder):
     words = text.training_words(F.col("text"))
-    return fx.table(spark, folder, "documents").select(
+    return _documents(spark, folder).select(
         "doc_id", F.array_join(words, " ").alias("words"), F.size(words).cast("bigint").alias("n")
     )
 
@@ -88,7 +93,7 @@ def t4(spark, folder):
 )
 def t5(spark, folder):
     words = text.serving_words(F.col("text"))
-    return fx.table(spark, folder, "documents").select(
+    return _documents(spark, folder).select(
         "doc_id", F.array_join(words, " ").alias("words"), F.size(words).cast("bigint").alias("n")
     )
 
@@ -99,7 +104,7 @@ def t5(spark, folder):
 )
 def t6(spark, folder):
     kept = F.filter(text.training_words(F.col("text")), lambda word: text.is_vocabulary_word(word))
-    sizes = fx.table(spark, folder, "documents").select("doc_id", F.size(kept).cast("bigint").alias("words"))
+    sizes = _documents(spark, folder).select("doc_id", F.size(kept).cast("bigint").alias("words"))
     return sizes.filter("words > 0")
 
 
@@ -117,7 +122,7 @@ TOXIC_SQL = " OR ".join(f"contains(lower(clean), '{word}')" for word in KEYWORDS
 )
 def t8(spark, folder):
     clean = text.moderation_text(F.col("text"))
-    return fx.table(spark, folder, "documents").select("doc_id", text.has_keyword(clean, KEYWORDS).alias("toxic"))
+    return _documents(spark, folder).select("doc_id", text.has_keyword(clean, KEYWORDS).alias("toxic"))
 
 
 # Topic classification
