@@ -18,7 +18,7 @@ from pressroom.functions.text import (
     strip,
 )
 from pressroom.operators import topics
-from pressroom.session import spread
+from pressroom.session import ship, spread
 
 # Decision texts, label descriptions and constants of the moderation rules.
 APPROVE, REJECT = "approve", "reject"
@@ -127,6 +127,7 @@ def score_with(comments: DataFrame, scorer: Scorer, key: str = "id", text: str =
 
     ``scorer`` maps a series of texts to a frame with the columns of ``SCORE_COLUMNS``.
     """
+    ship(comments.sparkSession)
     id_type = comments.schema[key].dataType.simpleString()
     schema = f"comment_id {id_type}, " + ", ".join(f"{name} double" for name in SCORE_COLUMNS)
 
@@ -200,15 +201,16 @@ def sentiment(
     comments: DataFrame, model: topics.TopicModel, key: str = "id", text: str = "content"
 ) -> DataFrame:
     """Sentiment label and confidence; a text that is empty after cleaning is neutral, 0.0."""
-    cleaned = comments.select(key, sentiment_text(F.col(text)).alias("processed_text"))
-    rated = topics.classify(cleaned, "processed_text", (key,), model)
-    joined = cleaned.join(rated.select(key, "predicted", "confidence"), key)
+    cleaned = spread(comments.select(key, text)).select(key, sentiment_text(F.col(text)).alias("_text"))
+    # The short text rides along as a key of the score aggregation: one pass, one shuffle, no join.
+    shown = cleaned.withColumn("processed_text", snippet_if_longer(F.col("_text")))
+    rated = topics.classify(shown, "_text", (key, "processed_text"), model)
     empty = F.col("processed_text") == ""
-    return joined.select(
+    return rated.select(
         key,
         F.when(empty, "neutral").otherwise(F.col("predicted")).alias("sentiment"),
         F.when(empty, 0.0).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(~empty, snippet_if_longer(F.col("processed_text"))).alias("processed_text"),
+        F.when(~empty, F.col("processed_text")).alias("processed_text"),
     )
 
 

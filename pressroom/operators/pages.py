@@ -24,7 +24,7 @@ from pressroom.functions.display import (
 from pressroom.functions.markup import Element, read_html
 from pressroom.functions.text import strip
 from pressroom.operators.ranking import first_n_per_key, first_per_key
-from pressroom.session import spread
+from pressroom.session import settle, ship, spread
 
 LIMIT_PER_SITE = 20
 
@@ -329,6 +329,7 @@ def listing_facts(html: str, rule: ListingRule) -> list[dict]:
 
 def _per_page(pages: DataFrame, key: str, facts, schema: str) -> DataFrame:
     """Run ``facts(html, site) -> dict`` over Arrow batches of pages."""
+    ship(pages.sparkSession)
     names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -565,10 +566,11 @@ def listing(
     """Links of the list pages: filters, one row per URL where asked, first ``limit`` per site.
 
     The order within a site is page, then position. Limits are applied before the shuffle, so a
-    site that fills a third of the input does not end in one task.
+    site that fills a third of the input does not end in one task. The links are settled, so that
+    pages are parsed once for all branches.
     """
     order = [key, "position"]
-    items = extract_links(pages, rules, key).withColumn("url", absolute_url(rules))
+    items = settle(extract_links(pages, rules, key).withColumn("url", absolute_url(rules)), "links")
     early = _listing_flag(rules, lambda r: r.limit_before_filter)
     cut_first = first_n_per_key(items.filter(early), ["site"], order, limit).filter(accepted(rules))
     filtered = items.filter(~early).filter(accepted(rules))

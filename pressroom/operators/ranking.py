@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressroom.session import settle
 
+# Slice offsets are broadcast up to this many rows, a few megabytes; they are counted first.
+BROADCAST_OFFSETS = 100_000
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
@@ -23,7 +25,8 @@ def with_rank(
 ) -> DataFrame:
     """Add the 1-based row number over ``order`` inside each ``within`` group.
 
-    ``order`` must end in a unique key. The ranged rows are settled once, because slice borders
+    ``order`` must end in a unique key. Pass few columns or a settled table: the range borders are
+    sampled by reading the input once more. The ranged rows are settled once, because slice borders
     come from sampling and must not change between counting the slices and numbering the rows.
     """
     keys = [F.col(column) for column in within]
@@ -36,6 +39,7 @@ def with_rank(
         f"rank-{name}",
     )
     # One row per slice and group in it: a group has at most as many rows here as there are slices.
+    # Joined by shuffle they would drag the wide rows along, so a small result is broadcast.
     slices = ranged.groupBy(*within, "_slice").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first")
     )
@@ -47,6 +51,8 @@ def with_rank(
         F.col("_slice").alias("_s"),
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
+    if offsets.count() <= BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
     same = [F.col(column).eqNullSafe(F.col(f"_g{i}")) for i, column in enumerate(within)]
     return (
         ranged.join(offsets, reduce(and_, same, F.col("_slice") == F.col("_s")))

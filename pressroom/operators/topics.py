@@ -278,18 +278,15 @@ def cross_validate(
         "fold-words",
     )
     sums = words.agg(
-        F.count(F.lit(1)), *[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(len(grid))]
+        F.count(F.lit(1)), *[F.expr(f"coalesce(sum(n[{i}]), 0)") for i in range(len(grid))]
     ).first()
     size = sums[0]
     words_in = dict(zip(grid, sums[1:]))
 
-    def column(name, fold):
-        return F.col("n")[grid.index((name, fold))]
-
     def log_p(name, fold):
         rest = [f for f in numbers if f != fold]
-        seen = sum((column(name, f) for f in rest), F.lit(0))
-        return F.log((seen + 1) / F.lit(float(sum(words_in[(name, f)] for f in rest) + size)))
+        seen = " + ".join(f"n[{grid.index((name, f))}]" for f in rest)
+        return f"log(({seen} + 1) / {sum(words_in[(name, f)] for f in rest) + size}D)"
 
     def log_prior(name, fold):
         rest = [f for f in numbers if f != fold]
@@ -297,7 +294,10 @@ def cross_validate(
         everyone = sum(docs_in.get((n, f), 0) for n in labels for f in rest)
         return F.log(F.lit(mine / everyone)) if mine else F.lit(float("-inf"))
 
-    by_fold = F.array(*[F.array(*[log_p(name, fold) for name in labels]) for fold in numbers])
+    # As one text: the grid of folds and classes is long to build column by column.
+    by_fold = F.expr(
+        f"array({', '.join('array(' + ', '.join(log_p(n, f) for n in labels) + ')' for f in numbers)})"
+    )
     priors = F.array(*[F.array(*[log_prior(name, fold) for name in labels]) for fold in numbers])
     table = words.select("term", "total", by_fold.alias("log_p"))
     found = _look_up(bag_of_words(assigned, text, (key, label, "fold")), table, size * len(grid), sum(words_in.values()))

@@ -464,7 +464,7 @@ def j5(spark, folder):
 )
 def j6(spark, folder):
     articles = fx.articles(spark, folder).select("article_id", "title", "status")
-    stored = catalogue.published(articles).select("title")
+    stored = catalogue.published(articles).select("title").distinct()
     return articles.filter("status = 'Pending'").join(stored, "title", "left_anti").select("article_id", "title")
 
 
