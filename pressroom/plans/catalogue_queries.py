@@ -469,14 +469,14 @@ def j6(spark, folder):
 
 
 SIGNUPS_SQL = """signups AS (
-  SELECT event_id AS seq, 'customer#' || lpad(CAST(user_id * 7 AS VARCHAR), 9, '0') || '@example.com' AS email,
+  SELECT event_id AS seq, 'customer#' || lpad(CAST(user_id * 37 AS VARCHAR), 9, '0') || '@example.com' AS email,
          value >= 2 AS terms_accepted
   FROM events WHERE event_type = 'signup')"""
 
 
 def _signups(spark, folder):
     events = fx.table(spark, folder, "events").filter("event_type = 'signup'")
-    number = F.lpad((F.col("user_id") * 7).cast("string"), 9, "0")
+    number = F.lpad((F.col("user_id") * 37).cast("string"), 9, "0")
     return events.select(
         F.col("event_id").alias("seq"),
         F.concat(F.lit("customer#"), number, F.lit("@example.com")).alias("email"),
@@ -679,14 +679,14 @@ def l5(spark, folder):
 @query(
     "l6_thread_page",
     """WITH shown AS (SELECT id FROM comments
-          WHERE article_id = 'BB-1' AND parent_id IS NULL AND status = 'active'
+          WHERE article_id = 'BB-2' AND parent_id IS NULL AND status = 'active'
           ORDER BY created_at DESC, id LIMIT 10)
        SELECT id, parent_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM comments
        WHERE id IN (SELECT id FROM shown) OR (status = 'active' AND parent_id IN (SELECT id FROM shown))""",
     "comments",
 )
 def l6(spark, folder):
-    rows = comment_ops.thread_page(fx.comments(spark, folder), "BB-1")
+    rows = comment_ops.thread_page(fx.comments(spark, folder), "BB-2")
     return rows.select("id", "parent_id", dates.stored_text(F.col("created_at")).alias("created_at"))
 
 

@@ -455,8 +455,8 @@ def d5_rows(spark, folder):
     return prepare_rows(rows)
 
 
-INTAKE_SQL = f"""WITH {PAGES_SQL}, {model_sql(ALL_SQL)}, {scored_sql('SELECT page_id AS id, plain_content AS text FROM pg')},
-   stored AS (SELECT article_id, content AS text FROM articles ORDER BY date_posted DESC NULLS FIRST, article_id LIMIT 1000),
+INTAKE_SQL = f"""WITH catalogue AS (SELECT * FROM articles WHERE status = 'published'), {PAGES_SQL}, {model_sql(ALL_SQL)}, {scored_sql('SELECT page_id AS id, plain_content AS text FROM pg')},
+   stored AS (SELECT article_id, content AS text FROM catalogue ORDER BY date_posted DESC NULLS FIRST, article_id LIMIT 1000),
    st AS (SELECT article_id, term, count(*) AS n FROM (SELECT article_id, unnest(regexp_extract_all(lower(text), '[@WORD]{{2,}}')) AS term FROM stored) GROUP BY ALL),
    nt AS (SELECT page_id, term, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(content), '[@WORD]{{2,}}')) AS term FROM pg)
           WHERE term IN (SELECT term FROM st) GROUP BY ALL),
@@ -466,8 +466,8 @@ INTAKE_SQL = f"""WITH {PAGES_SQL}, {model_sql(ALL_SQL)}, {scored_sql('SELECT pag
    ordered AS (SELECT *, CASE site WHEN 'blog' THEN 1 WHEN 'www' THEN 2 WHEN 'com' THEN 3 ELSE 4 END AS so FROM pg
                WHERE page_id NOT IN (SELECT a FROM dup)),
    firsts AS (SELECT *, row_number() OVER (PARTITION BY substring(title, 1, 500) ORDER BY so, page_id) AS rn FROM ordered),
-   kept AS (SELECT * FROM firsts WHERE rn = 1 AND substring(title, 1, 500) NOT IN (SELECT substring(title, 1, 500) FROM articles))
-   SELECT 'BB-' || ((SELECT max(CAST(substring(article_id, 4) AS BIGINT)) FROM articles) + row_number() OVER (ORDER BY so, page_id)) AS article_id,
+   kept AS (SELECT * FROM firsts WHERE rn = 1 AND substring(title, 1, 500) NOT IN (SELECT substring(title, 1, 500) FROM catalogue))
+   SELECT 'BB-' || ((SELECT max(CAST(substring(article_id, 4) AS BIGINT)) FROM catalogue) + row_number() OVER (ORDER BY so, page_id)) AS article_id,
           substring(title, 1, 500) AS title, substring(description, 1, 1000) AS description, substring(content, 1, 8000) AS content,
           '{DEFAULT_TS}' AS date_posted, author, url AS source_url, 'published' AS status, p.predicted AS type,
           '' AS image_urls, '' AS video_urls
@@ -477,5 +477,6 @@ INTAKE_SQL = f"""WITH {PAGES_SQL}, {model_sql(ALL_SQL)}, {scored_sql('SELECT pag
 @query("d5_article_intake", INTAKE_SQL, "articles")
 def d5(spark, folder):
     model = topics.fit(fx.table(spark, folder, "documents"), "text", "lang")
-    rows = ingest(_pages(spark, folder), fx.articles(spark, folder), model, _default_ts(), fx.page_sites())
+    stored = catalogue.published(fx.articles(spark, folder))
+    rows = ingest(_pages(spark, folder), stored, model, _default_ts(), fx.page_sites())
     return rows.withColumn("date_posted", dates.stored_text(F.col("date_posted")))

@@ -74,10 +74,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage at a durable table: a lost executor re-reads files instead of recomputing
     a non-deterministic or expensive plan, and later scans see real sizes and pruned columns.
+    The table is removed when the application ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,6 +18,10 @@ def test_query_matches_sql(spark, con, name):
     assert difference(spark, con, entry.queries()[name], entry.oracle_sql()[name], FOLDER) is None
 
 
+def test_no_check_is_empty(con):
+    assert [name for name, sql in entry.oracle_sql().items() if not con.execute(sql).fetchone()] == []
+
+
 def test_entry_has_rows_and_article_columns(spark):
     frame = entry.entry(spark)
     assert frame.columns[0] == "article_id"
