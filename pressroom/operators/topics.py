@@ -270,11 +270,12 @@ def cross_validate(
     grid = [(name, fold) for fold in numbers for name in labels]
 
     bag = bag_of_words(assigned, text, (label, "fold")).filter(is_vocabulary_word(F.col("term"), stopwords))
+    # The place in the grid as one number: comparing it is cheaper than comparing class and fold.
+    place = F.array_position(F.array(*[F.lit(name) for name in labels]), F.col(label))
+    cell = (place + (F.col("fold") - 1) * len(labels)).alias("cell")
+    counts = F.array(*[F.count_if(F.col("cell") == i) for i in range(1, len(grid) + 1)])
     words = settle(
-        bag.groupBy("term").agg(
-            F.count(F.lit(1)).alias("total"),
-            F.array(*[F.count_if((F.col(label) == n) & (F.col("fold") == f)) for n, f in grid]).alias("n"),
-        ),
+        bag.select("term", cell).groupBy("term").agg(F.count(F.lit(1)).alias("total"), counts.alias("n")),
         "fold-words",
     )
     sums = words.agg(

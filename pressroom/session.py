@@ -94,6 +94,8 @@ def spread(df: DataFrame) -> DataFrame:
     read from the plan's size estimate; a large input has enough splits and is left as it is,
     since moving it would cost a shuffle.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= cores * SMALL_INPUT_PER_CORE else df
