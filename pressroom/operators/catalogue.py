@@ -102,11 +102,21 @@ def category_listing(articles: DataFrame, category: str) -> DataFrame:
     return where_equal(published(articles), type=category).orderBy(*newest_first())
 
 
+# An offset page is a top-k of offset + size rows; a page past this offset is cut out of the
+# distributed numbering instead.
+DEEP_OFFSET = 10_000
+
+
 def page(
     df: DataFrame, number: int, size: int = ARTICLES_PER_PAGE, date: str = "date_posted", key: str = "article_id"
 ) -> DataFrame:
-    """One page by offset; suited to the front pages, since the offset rows are read and dropped."""
-    return df.orderBy(*newest_first(date, key)).offset((max(number, 1) - 1) * size).limit(size)
+    """One page by number."""
+    offset = (max(number, 1) - 1) * size
+    if offset <= DEEP_OFFSET:
+        return df.orderBy(*newest_first(date, key)).offset(offset).limit(size)
+    ranked = with_rank(df, newest_first(date, key), "_position")
+    shown = ranked.filter((F.col("_position") > offset) & (F.col("_position") <= offset + size))
+    return shown.orderBy("_position").drop("_position")
 
 
 def page_after(
@@ -134,18 +144,16 @@ def with_pages(
 
 def page_summary(df: DataFrame, size: int = ARTICLES_PER_PAGE) -> DataFrame:
     """One row per page with its neighbours, from one count; no row is ranked for it."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    counted = total.withColumn("total_pages", F.ceil(F.col("total") / size).cast("bigint"))
-    pages = counted.filter("total_pages > 0").select(
-        "total", "total_pages", F.explode(F.sequence(F.lit(1), F.col("total_pages"))).alias("page_no")
-    )
-    return pages.select(
-        F.col("page_no").cast("bigint").alias("page_no"),
-        "total",
-        "total_pages",
-        F.least(F.lit(size), F.col("total") - (F.col("page_no") - 1) * size).cast("bigint").alias("rows_on_page"),
-        (F.col("page_no") > 1).alias("has_prev"),
-        (F.col("page_no") * size < F.col("total")).alias("has_next"),
+    total = df.count()
+    pages = -(-total // size)
+    number = F.col("page_no")
+    return df.sparkSession.range(1, pages + 1).select(F.col("id").alias("page_no")).select(
+        "page_no",
+        F.lit(total).cast("bigint").alias("total"),
+        F.lit(pages).cast("bigint").alias("total_pages"),
+        F.least(F.lit(size), F.lit(total) - (number - 1) * size).cast("bigint").alias("rows_on_page"),
+        (number > 1).alias("has_prev"),
+        (number * size < total).alias("has_next"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pressroom.functions.dates import epoch_seconds
 from pressroom.functions.display import display_name
 from pressroom.functions.text import clean_comment
-from pressroom.operators.catalogue import newest_first
+from pressroom.operators.catalogue import newest_first, page
 
 COMMENTS_PER_PAGE = 10
 
@@ -71,7 +71,7 @@ def thread_page(comments: DataFrame, article_id: str, number: int = 1, size: int
     """One page of an article's top-level comments, each with all its replies."""
     live = active(comments)
     mine = roots(live).filter(F.col("article_id") == article_id)
-    shown = mine.orderBy(*newest_first("created_at", "id")).offset((max(number, 1) - 1) * size).limit(size)
+    shown = page(mine, number, size, "created_at", "id")
     parents = shown.select(F.col("id").alias("parent_id"))
     replies = live.join(F.broadcast(parents), "parent_id", "left_semi")  # at most ``size`` rows
     return shown.unionByName(replies.select(*shown.columns))

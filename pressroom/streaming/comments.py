@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,6 +12,7 @@ from pressroom.functions.text import TOXIC_KEYWORDS
 from pressroom.operators.dedupe import TITLE_LIMIT
 from pressroom.operators.moderation import moderate
 from pressroom.operators.ranking import first_per_key
+from pressroom.session import ship
 
 STREAMED_COMMENT = (
     "id BIGINT, article_id STRING, user_id BIGINT, parent_id BIGINT, content STRING, created_at TIMESTAMP"
@@ -59,17 +61,26 @@ def read_decisions(spark: SparkSession, sink: str, key: str = "id") -> DataFrame
     return firsts.drop("batch").withColumn("decision", F.nullif(F.col("decision"), F.lit("none")))
 
 
+def _once_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.drop_duplicates("title")
+
+
 def new_titles(
     incoming: DataFrame, stored: DataFrame, event_time: str, delay: str = "7 days"
 ) -> DataFrame:
     """Rows whose title is neither stored nor seen within ``delay``.
 
-    The state is bounded by the watermark: a title may return after the delay has passed.
+    The state is bounded by the watermark: a title may return after the delay has passed. Repeats
+    are dropped inside each Arrow batch first, so that a title that floods the stream does not
+    send all its rows to one task.
     """
+    ship(incoming.sparkSession)
     title = F.substring("title", 1, TITLE_LIMIT)
     known = stored.select(title.alias("title")).distinct()
+    thinned = incoming.withColumn("title", title)
     return (
-        incoming.withColumn("title", title)
+        thinned.mapInPandas(_once_per_batch, thinned.schema)
         .withWatermark(event_time, delay)
         .join(known, "title", "left_anti")
         .dropDuplicatesWithinWatermark(["title"])

@@ -298,12 +298,15 @@ def test_comment_submissions(spark):
 # Catalogue and comments
 
 
-def test_newest_first_puts_undated_rows_first_and_pages_agree(spark):
+def test_newest_first_puts_undated_rows_first_and_pages_agree(spark, monkeypatch):
     rows = [(f"a{i:03}", None if i % 10 == 0 else f"2024-01-{i % 7 + 1:02} 00:00:00") for i in range(45)]
     frame = spark.createDataFrame(rows, "article_id string, d string").select("article_id", F.to_timestamp("d").alias("date_posted"))
     want = [r[0] for r in sorted(rows, key=lambda r: (r[1] is not None, [-ord(c) for c in r[1] or ""], r[0]))]
     paged = [r.article_id for n in range(1, 6) for r in catalogue.page(frame, n).collect()]
     assert paged == want
+    monkeypatch.setattr(catalogue, "DEEP_OFFSET", 5)
+    deep = [r.article_id for n in range(1, 7) for r in catalogue.page(frame, n).collect()]
+    assert deep == want
     numbered = {r.article_id: r.page_no for r in catalogue.with_pages(frame).collect()}
     assert numbered == {key: i // 10 + 1 for i, key in enumerate(want)}
     walked, last = [], None
