@@ -21,7 +21,7 @@ from itertools import pairwise
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pressroom.llm.common import map_batches
+from pressroom.llm.common import attach, fresh
 
 LEAF_BYTES = 32
 CACHE_PIECES = 400_000
@@ -184,13 +184,11 @@ def tokenise(
     """
     with open(rank_file, "rb") as file:
         blob = df.sparkSession.sparkContext.broadcast(file.read())
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"{o} {OUTPUTS[o]}" for o in outputs])
 
-    def kernel(batch: pa.RecordBatch) -> dict[str, list]:
+    def kernel(texts: pa.Array) -> dict[str, list]:
         codec = _codec(blob.value, pattern)
         out: dict[str, list] = {o: [] for o in outputs}
-        for value in batch.column(len(keys)).to_pylist():
+        for value in texts.to_pylist():
             ids = codec.encode(value or "")
             decoded = codec.decode(ids)
             for name in outputs:
@@ -204,6 +202,8 @@ def tokenise(
                     out[name].append(decoded)
                 else:
                     out[name].append(hashlib.sha256(decoded).hexdigest())
-        return {k: batch.column(i) for i, k in enumerate(keys)} | out
+        return out
 
-    return map_batches(df.select(*keys, text), kernel, schema)
+    name = fresh(df, "result")
+    fields = ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)
+    return attach(df, [text], kernel, fields, name, keep=keys).select(*keys, f"{name}.*")

@@ -2,52 +2,85 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from pressroom.session import settle, ship
 
-__all__ = ["settle", "ship", "table", "map_batches", "connected_components", "run_ends"]
+__all__ = ["settle", "ship", "table", "attach", "fresh", "connected_components", "run_ends"]
 
-SLICE = 500
+SLICE_BYTES = 16 << 20
+SLICE_ROWS = 5_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(
-    df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, list]], schema: str
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or that name with underscores in front if ``df`` has such a column (in any case)."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def attach(
+    df: DataFrame,
+    inputs: list[str],
+    kernel: Callable[..., dict[str, Sequence]],
+    fields: str,
+    name: str,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Run ``kernel`` over slices of the rows; it returns the output columns by name.
+    """Columns ``keep`` (default: all) of every row, and the kernel's result as the struct ``name``.
 
-    Rows stay in the partition they are read in. Slices keep a worker's memory small whatever
-    the session's batch size is.
+    The kernel gets the ``inputs`` of a slice of rows as Arrow arrays and returns one value per row for
+    each of ``fields`` (DDL). No row moves. A slice ends at 16 MB of the first input, so memory is
+    bounded by that and by the longest single value, whatever the session's batch size is.
     """
-    ship(df.sparkSession)
-    names = [field.name for field in _empty(df.sparkSession, schema).schema.fields]
-    arrow = _arrow_schema(df.sparkSession, schema)
+    spark = df.sparkSession
+    ship(spark)
+    keep = df.columns if keep is None else list(keep)
+    read = df.select(*keep, *[F.col(column).alias(f"{name}__{i}") for i, column in enumerate(inputs)])
+    result = StructType([StructField(name, StructType.fromDDL(fields))])
+    out = StructType(df.select(*keep).schema.fields + result.fields)
+    kind = to_arrow_schema(result).field(0).type
+    first, names = len(keep), [*keep, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                columns = kernel(batch.slice(start, SLICE))
-                yield pa.record_batch([pa.array(columns[n], t.type) for n, t in zip(names, arrow)], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
-def _empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(_empty(spark, schema).schema)
+            for start, rows in _slices(batch.column(first)):
+                part = batch.slice(start, rows)
+                found = kernel(*part.columns[first:])
+                arrays = [
+                    a if isinstance(a := found[f.name], pa.Array) else pa.array(a, f.type, from_pandas=False)
+                    for f in kind
+                ]
+                yield pa.record_batch([*part.columns[:first], pa.StructArray.from_arrays(arrays, fields=list(kind))], names)
+
+    return read.mapInArrow(run, out)
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    else:
+        sizes = [0] * len(column)
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and (held + size > SLICE_BYTES or i - start >= SLICE_ROWS):
+            yield start, i - start
+            start, held = i, 0
+        held += size
+    if len(sizes) > start:
+        yield start, len(sizes) - start
 
 
 def run_ends(starts, ends):
