@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pressroom.llm import bpe, decontaminate, minhash, toxicity
+from pressroom.llm import bpe, decontaminate, minhash, pii, toxicity
 from pressroom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,6 +28,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash": op2_minhash,
     "op3_decontamination": op3_decontamination,
+    "op6_pii": op6_pii,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
