@@ -164,6 +164,7 @@ OUTPUTS = {
     "ids_sha256": "string",
     "decoded": "binary",
     "decoded_sha256": "string",
+    "round_trip": "boolean",
 }
 
 
@@ -178,7 +179,7 @@ def tokenise(
     """Encode ``text`` and decode the ids again: one row per input row with ``keys`` and ``outputs``.
 
     outputs: ``n_tokens``, ``ids``, ``ids_sha256`` (of the decimal ids with one space between),
-    ``decoded`` (bytes of the decoded ids), ``decoded_sha256``. NULL text is an empty text: no ids,
+    ``decoded`` (bytes of the decoded ids), ``decoded_sha256``, ``round_trip`` (they are the text). NULL text is an empty text: no ids,
     zero bytes. Rows with NULL or repeated keys are kept as they are; other columns are not read.
     The rank file is read on the driver (under 2 MB) and broadcast, so executors need no file.
     """
@@ -200,8 +201,10 @@ def tokenise(
                     out[name].append(hashlib.sha256(" ".join(map(codec.spelled.__getitem__, ids)).encode()).hexdigest())
                 elif name == "decoded":
                     out[name].append(decoded)
-                else:
+                elif name == "decoded_sha256":
                     out[name].append(hashlib.sha256(decoded).hexdigest())
+                else:
+                    out[name].append(decoded == (value or "").encode())
         return out
 
     name = fresh(df, "result")
