@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pressroom.llm import bpe, decontaminate, minhash, pii, toxicity
+from pressroom.llm import bpe, decontaminate, minhash, pii, toxicity, vectors
 from pressroom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_decontamination": op3_decontamination,
     "op6_pii": op6_pii,
+    "op8_vectors": op8_vectors,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
