@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pressroom.llm import bpe, decontaminate, html_text, minhash, pii, suffix, toxicity, vectors
+from pressroom.llm import bpe, decontaminate, html_text, licences, minhash, pii, quality, suffix, toxicity, vectors
 from pressroom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -40,10 +40,18 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(table(spark, sf_dir, "documents"))
+
+
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +63,9 @@ QUERIES = {
     "op4_html": op4_html,
     "op5_suffix": op5_suffix,
     "op6_pii": op6_pii,
+    "op7_licences": op7_licences,
     "op8_vectors": op8_vectors,
+    "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
