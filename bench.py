@@ -34,6 +34,8 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",
             "spark.driver.memory": "16g",
+            # The test files are single row groups.
+            "spark.pressroom.spreadTasks": cpus,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -130,10 +130,12 @@ _OUTER_MARKS = f"(?={_MARK})(?:(?<!{_MARK}){_MARK}++(?![^ ])|(?<![^ ]){_MARK}+)"
 def training_words(col: Column) -> Column:
     """Split on white space, strip ASCII punctuation, lower: the classifier's training words.
 
-    The text is treated as a whole before it is split, which is cheaper than word by word.
+    The text is treated as a whole before it is split, which is cheaper than word by word. A blank
+    text has no words; a word of marks only is an empty word.
     """
     lowered = F.lower(squash(F.coalesce(col, F.lit(""))))
-    return F.split(F.regexp_replace(lowered, _OUTER_MARKS, ""), " ")
+    words = F.split(F.regexp_replace(lowered, _OUTER_MARKS, ""), " ")
+    return F.when(lowered == "", F.array().cast("array<string>")).otherwise(words)
 
 
 def is_vocabulary_word(word: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:

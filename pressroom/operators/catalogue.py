@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressroom.functions.display import category_name, first_image
@@ -26,8 +28,12 @@ def where_equal(df: DataFrame, **wanted: str | None) -> DataFrame:
 
 
 def contains_text(col: Column, text: str) -> Column:
-    """Case-insensitive substring; ``%`` and ``_`` in the text stay wildcards."""
-    return F.lower(col).like(f"%{text}%".lower())
+    """Case-insensitive substring; ``%`` and ``_`` in the text stay wildcards.
+
+    A backslash takes their meaning from ``%``, ``_`` and itself; before anything else it says nothing.
+    """
+    kept = re.sub(r"\\(.?)", lambda m: m[0] if m[1] in ("%", "_", "\\") else m[1], text, flags=re.S)
+    return F.lower(col).like(f"%{kept}%".lower())
 
 
 def published(articles: DataFrame) -> DataFrame:
@@ -102,8 +108,8 @@ def category_listing(articles: DataFrame, category: str) -> DataFrame:
     return where_equal(published(articles), type=category).orderBy(*newest_first())
 
 
-# An offset page is a top-k of offset + size rows; a page past this offset is cut out of the
-# distributed numbering instead.
+# An offset page is a top-k of offset + size rows; a page past this offset is cut out of a
+# distributed numbering of dates and keys instead.
 DEEP_OFFSET = 10_000
 
 
@@ -114,9 +120,10 @@ def page(
     offset = (max(number, 1) - 1) * size
     if offset <= DEEP_OFFSET:
         return df.orderBy(*newest_first(date, key)).offset(offset).limit(size)
-    ranked = with_rank(df, newest_first(date, key), "_position")
-    shown = ranked.filter((F.col("_position") > offset) & (F.col("_position") <= offset + size))
-    return shown.orderBy("_position").drop("_position")
+    ranked = with_rank(df.select(date, key), newest_first(date, key), "_position")
+    shown = ranked.filter((F.col("_position") > offset) & (F.col("_position") <= offset + size)).select(key)
+    # Only dates and keys are numbered; the page's rows, ``size`` of them, are then looked up.
+    return df.join(F.broadcast(shown), key, "left_semi").orderBy(*newest_first(date, key))
 
 
 def page_after(
@@ -199,6 +206,11 @@ def latest_contents(articles: DataFrame, limit: int | None = None) -> DataFrame:
     return (newest(articles, limit) if limit else articles).select("article_id", "content")
 
 
+def all_settings(settings: DataFrame) -> DataFrame:
+    """Every setting as a row."""
+    return settings.select("setting_key", "value")
+
+
 def settings_row(settings: DataFrame, keys: list[str]) -> DataFrame:
     """One map of the asked keys; its size is bounded by ``keys``, not by the table."""
     wanted = settings.filter(F.col("setting_key").isin(keys))

@@ -57,14 +57,15 @@ def toggle_users(users: DataFrame, commands: DataFrame) -> Change:
     counts = commands.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
     marked = users.join(counts, "id", "left")
     odd = F.col("_n") % 2 == 1
-    after = F.when((F.col("status") == "Active") == odd, "Inactive").otherwise("Active")
+    after = F.when(F.col("status").eqNullSafe("Active") == odd, "Inactive").otherwise("Active")
     table = marked.withColumn(
         "status", F.when(F.col("_n").isNotNull(), after).otherwise(F.col("status"))
     ).select(*users.columns)
-    outcomes = counts.join(users.select("id", "status"), "id", "left").select(
+    known = users.select("id", F.lit(True).alias("_known")).distinct()
+    outcomes = counts.join(known, "id", "left").select(
         "id",
         F.col("_n").alias("commands"),
-        F.when(F.col("status").isNull(), "not_found").otherwise("toggled").alias("outcome"),
+        F.when(F.col("_known").isNull(), "not_found").otherwise("toggled").alias("outcome"),
     )
     return Change(table, outcomes)
 
@@ -136,9 +137,9 @@ def register_users(users: DataFrame, requests: DataFrame, now: str) -> Change:
             asked = asked.withColumn(column, F.expr(default))
     agreed = F.coalesce(F.col("terms_accepted"), F.lit(False))
     firsts = first_per_key(asked.filter(agreed), ["email"], ["seq"])
-    accepted = firsts.join(users.select("email"), "email", "left_anti")
+    accepted = settle(firsts.join(users.select("email"), "email", "left_anti"), "accepted-users")
     last_id = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
-    numbered = with_rank(accepted, ["seq"], "_n")
+    numbered = accepted.join(with_rank(accepted.select("seq"), ["seq"], "_n"), "seq")
     defaults = {
         "id": F.col("_n") + F.lit(last_id),
         "role": F.lit("User"),
@@ -178,11 +179,12 @@ def add_comments(
     with_articles = with_users.join(
         articles.select("article_id", F.lit(True).alias("_article")).distinct(), "article_id", "left"
     )
-    checked = with_articles.join(
-        comments.select(F.col("id").alias("parent_id"), F.lit(True).alias("_parent")).distinct(), "parent_id", "left"
-    )
-    judged = moderate(checked, scores, keywords, key="seq")
+    # Only replies look for a parent: a NULL key would gather all top-level comments in one place.
     is_reply = F.col("parent_id").isNotNull()
+    parents = comments.select(F.col("id").alias("parent_id"), F.lit(True).alias("_parent")).distinct()
+    replies = with_articles.filter(is_reply).join(parents, "parent_id", "left")
+    tops = with_articles.filter(~is_reply).withColumn("_parent", F.lit(None).cast("boolean"))
+    judged = moderate(replies.unionByName(tops), scores, keywords, key="seq")
     target = F.when(is_reply, F.col("_parent")).otherwise(F.col("_article"))
     outcome = (
         F.when(F.col("_user").isNull(), "no_user")
@@ -196,7 +198,8 @@ def add_comments(
     decided = settle(judged.withColumn("outcome", outcome), "decided-comments")
     neutral = F.col("decision").isNull()
     last_id = comments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
-    saved = with_rank(decided.filter("outcome = 'saved'"), ["seq"], "_n")
+    kept = decided.filter("outcome = 'saved'")
+    saved = kept.join(with_rank(kept.select("seq"), ["seq"], "_n"), "seq")
     stamp = F.to_timestamp(F.lit(now))
     values = {
         "id": F.col("_n") + F.lit(last_id),
@@ -224,5 +227,6 @@ def like_comments(comments: DataFrame, events: DataFrame) -> DataFrame:
 
 def upload_articles(articles: DataFrame, uploads: DataFrame) -> DataFrame:
     """Append uploads under fresh ids, in ``seq`` order, with the status they came with."""
-    numbered = with_article_ids(uploads.drop("article_id"), articles, ["seq"])
+    ids = with_article_ids(uploads.select("seq"), articles, ["seq"])
+    numbered = uploads.drop("article_id").join(ids, "seq")
     return articles.unionByName(numbered.select(*articles.columns))

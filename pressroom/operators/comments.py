@@ -8,6 +8,8 @@ from pressroom.functions.dates import epoch_seconds
 from pressroom.functions.display import display_name
 from pressroom.functions.text import clean_comment
 from pressroom.operators.catalogue import newest_first, page
+from pressroom.operators.ranking import with_rank
+from pressroom.session import settle
 
 COMMENTS_PER_PAGE = 10
 
@@ -67,14 +69,27 @@ def threads(comments: DataFrame) -> DataFrame:
     )
 
 
-def thread_page(comments: DataFrame, article_id: str, number: int = 1, size: int = COMMENTS_PER_PAGE) -> DataFrame:
-    """One page of an article's top-level comments, each with all its replies."""
+def thread_page(
+    comments: DataFrame, article_id: str, number: int = 1, size: int = COMMENTS_PER_PAGE, users: DataFrame | None = None
+) -> DataFrame:
+    """One page of an article's top-level comments, newest first, each with all its replies, oldest first.
+
+    ``position`` gives the reading order. With ``users`` every line carries its user's name.
+    """
     live = active(comments)
     mine = roots(live).filter(F.col("article_id") == article_id)
     shown = page(mine, number, size, "created_at", "id")
-    parents = shown.select(F.col("id").alias("parent_id"))
-    replies = live.join(F.broadcast(parents), "parent_id", "left_semi")  # at most ``size`` rows
-    return shown.unionByName(replies.select(*shown.columns))
+    tops = settle(shown, "thread-roots")
+    parents = tops.select(F.col("id").alias("parent_id"), F.col("created_at").alias("root_created_at"))
+    replies = live.join(F.broadcast(parents), "parent_id")  # at most ``size`` rows
+    own = tops.withColumn("root_created_at", F.col("created_at"))
+    lines = settle(own.unionByName(replies.select(*own.columns)), "thread-lines")
+    order = lines.select(
+        "id", "root_created_at", F.coalesce("parent_id", "id").alias("root_id"), F.col("parent_id").isNotNull().alias("is_reply"), "created_at"
+    )
+    ranked = with_rank(order, [*newest_first("root_created_at", "root_id"), "is_reply", "created_at", "id"], "position")
+    named = with_author_names(lines, users) if users is not None else lines
+    return named.drop("root_created_at").join(ranked.select("id", "position"), "id").orderBy("position")
 
 
 def counters(comments: DataFrame) -> DataFrame:

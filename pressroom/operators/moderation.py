@@ -61,8 +61,8 @@ def decide(
     """Label, confidence, decision and reason of each comment.
 
     Expects ``label`` and ``confidence``, NULL where the model gave no score. The order of the
-    rules matters: no model, empty text (no decision), keyword, sure positive, negative, unsure.
-    ``model_missing='none'`` gives the batch form: label 1 and no decision.
+    rules matters: empty text (never scored, no decision), no model, keyword, sure positive, negative,
+    unsure. ``model_missing='none'`` gives the batch form: label 1 and no decision.
     """
     clean = moderation_text(F.col(text))
     empty_text = F.length(strip(F.coalesce(F.col(text), F.lit("")))) == 0
@@ -80,21 +80,21 @@ def decide(
     )
     return base.select(
         *[name for name in scored.columns if name not in ("label", "confidence")],
-        F.when(missing, F.lit(2 if single else 1)).when(empty, 0).otherwise(F.col("_label")).cast("int").alias("label"),
-        F.when(missing, 0.0).when(empty, 0.5).otherwise(F.col("_confidence")).alias("confidence"),
-        F.when(missing, F.lit(DESCRIPTION_NO_MODEL if single else None))
-        .when(empty_text, DESCRIPTION_EMPTY)
+        F.when(empty, 0).when(missing, F.lit(2 if single else 1)).otherwise(F.col("_label")).cast("int").alias("label"),
+        F.when(empty, 0.5).when(missing, 0.0).otherwise(F.col("_confidence")).alias("confidence"),
+        F.when(empty_text, DESCRIPTION_EMPTY)
         .when(empty, DESCRIPTION_EMPTY_AFTER)
+        .when(missing, F.lit(DESCRIPTION_NO_MODEL if single else None))
         .otherwise(F.element_at(F.array(*[F.lit(d) for d in DESCRIPTIONS]), F.col("_label") + 1))
         .alias("description"),
-        F.when(missing, F.lit(REJECT) if single else none)
-        .when(empty, none)
+        F.when(empty, none)
+        .when(missing, F.lit(REJECT) if single else none)
         .when(toxic, REJECT)
         .when(positive, APPROVE)
         .otherwise(REJECT)
         .alias("decision"),
-        F.when(missing, F.lit(REASON_NO_MODEL) if single else none)
-        .when(empty, none)
+        F.when(empty, none)
+        .when(missing, F.lit(REASON_NO_MODEL) if single else none)
         .when(toxic, REASON_KEYWORD)
         .when(positive, REASON_POSITIVE)
         .when(negative, F.replace(F.lit(REASON_NEGATIVE), F.lit("{}"), F.col("_label").cast("string")))
@@ -137,7 +137,7 @@ def score_with(comments: DataFrame, scorer: Scorer, key: str = "id", text: str =
             yield pd.concat([batch["comment_id"].reset_index(drop=True), logits], axis=1)
 
     ready = comments.select(F.col(key).alias("comment_id"), moderation_text(F.col(text)).alias("text"))
-    return ready.mapInPandas(run, schema)
+    return ready.filter("text <> ''").mapInPandas(run, schema)  # an empty text is decided without a score
 
 
 def saved_sentiment(label: Column) -> Column:
@@ -150,12 +150,21 @@ class VerdictOutcome:
     saved: DataFrame
     deleted: DataFrame
     new_comments: DataFrame
+    pending: DataFrame  # the pending table after the batch
 
 
-def apply_verdicts(verdicts: DataFrame, pending: DataFrame, articles: DataFrame | None = None) -> VerdictOutcome:
+# Fixed value: the status of a pending comment that has its verdict.
+PROCESSED = "processed"
+
+
+def apply_verdicts(
+    verdicts: DataFrame, pending: DataFrame, articles: DataFrame | None = None, now: Column | None = None
+) -> VerdictOutcome:
     """Labels 0 and 1 save, 2 deletes, others only mark; unknown comments are errors.
 
-    A saved comment whose article is gone is an error too, when ``articles`` is given.
+    A saved comment whose article is gone is an error too, when ``articles`` is given. In the pending
+    table after the batch every comment with a verdict that is no error is processed at ``now``; of
+    several verdicts on a comment the largest label is shown.
     """
     known = pending.withColumn("_known", F.lit(True))
     joined = verdicts.join(known, "comment_id", "left")
@@ -169,6 +178,16 @@ def apply_verdicts(verdicts: DataFrame, pending: DataFrame, articles: DataFrame
     rows = joined.withColumn("outcome", outcome)
     saved, deleted = rows.filter("outcome = 'saved'"), rows.filter("outcome = 'deleted'")
     brief = snippet(F.col("content")).alias("content")
+    done = rows.filter("outcome <> 'error'").groupBy("comment_id").agg(F.max("label").cast("int").alias("_done_label"))
+    marked = pending.join(done, "comment_id", "left")
+    hit = F.col("_done_label").isNotNull()
+    after = {
+        "status": F.when(hit, PROCESSED),
+        "phobert_label": F.col("_done_label"),
+        "processed_at": F.when(hit, F.current_timestamp() if now is None else now),
+    }
+    for name, value in after.items():
+        marked = marked.withColumn(name, F.coalesce(value, F.col(name)) if name in pending.columns else value)
     return VerdictOutcome(
         rows.select("comment_id", "label", "outcome"),
         saved.select("comment_id", brief, "label"),
@@ -181,6 +200,7 @@ def apply_verdicts(verdicts: DataFrame, pending: DataFrame, articles: DataFrame
             saved_sentiment(F.col("label")).alias("sentiment"),
             F.lit(SAVED_CONFIDENCE).alias("sentiment_confidence"),
         ),
+        marked.drop("_done_label"),
     )
 
 

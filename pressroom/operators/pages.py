@@ -6,7 +6,7 @@ after that (site policies, rendering, defaults, dates, filters) is Column expres
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,8 +23,7 @@ from pressroom.functions.display import (
 )
 from pressroom.functions.markup import Element, read_html
 from pressroom.functions.text import strip
-from pressroom.operators.ranking import first_n_per_key, first_per_key
-from pressroom.session import settle, ship, spread
+from pressroom.session import ship, spread
 
 LIMIT_PER_SITE = 20
 
@@ -494,23 +493,25 @@ def extract_articles(
 
 def extract_links(pages: DataFrame, rules: Mapping[str, SiteRule] = SITES, key: str = "page_id") -> DataFrame:
     """Every item of every list page, before filters and limits."""
+    return _link_lists(pages, rules, key).select(key, "site", F.col("url").alias("list_url"), F.inline("links"))
+
+
+def _link_lists(pages: DataFrame, rules: Mapping[str, SiteRule], key: str) -> DataFrame:
+    """The items of each list page as one array."""
     table = {name: rule.listing for name, rule in rules.items() if rule.listing}
     wanted = routed(pages, rules).filter(F.col("site").isin(list(table)))
-    lists = _per_page(
-        wanted, key, lambda html, site: {"links": listing_facts(html, table[site])}, f"links {LINKS}"
-    )
-    return lists.select(key, "site", F.col("url").alias("list_url"), F.inline("links"))
+    return _per_page(wanted, key, lambda html, site: {"links": listing_facts(html, table[site])}, f"links {LINKS}")
 
 
-def absolute_url(rules: Mapping[str, SiteRule]) -> Column:
+def absolute_url(rules: Mapping[str, SiteRule], get: Callable[[str], Column] = F.col) -> Column:
     """Add the site's base unless the link is complete by the site's rule."""
-    cases = []
+    href, cases = get("href"), []
     for name, rule in rules.items():
         if rule.listing:
-            joined = F.concat(F.lit(rule.listing.base), F.col("href"))
+            joined = F.concat(F.lit(rule.listing.base), href)
             if rule.listing.prefix:
-                whole = F.startswith(F.col("href"), F.lit(rule.listing.prefix))
-                joined = F.when(whole, F.col("href")).otherwise(joined)
+                whole = F.startswith(href, F.lit(rule.listing.prefix))
+                joined = F.when(whole, href).otherwise(joined)
             cases.append(F.when(F.col("site") == name, joined))
     return F.coalesce(*cases)
 
@@ -519,14 +520,14 @@ def _listing_flag(rules, test) -> Column:
     return _flag(rules, lambda rule: rule.listing is not None and test(rule.listing))
 
 
-def accepted(rules: Mapping[str, SiteRule]) -> Column:
+def accepted(rules: Mapping[str, SiteRule], get: Callable[[str], Column] = F.col) -> Column:
     """Whether an item passes its site's filters; every site needs a link."""
-    blank = F.coalesce(strip(F.col("href")), F.lit("")) == ""
+    blank = F.coalesce(strip(get("href")), F.lit("")) == ""
     return (
-        F.col("href").isNotNull()
-        & ~(_listing_flag(rules, lambda r: "no_media" in r.needs) & (F.col("has_media") | blank))
-        & ~(_listing_flag(rules, lambda r: "thumbnail" in r.needs) & ~F.col("has_thumbnail"))
-        & ~(_listing_flag(rules, lambda r: "image" in r.needs) & F.col("image").isNull())
+        get("href").isNotNull()
+        & ~(_listing_flag(rules, lambda r: "no_media" in r.needs) & (get("has_media") | blank))
+        & ~(_listing_flag(rules, lambda r: "thumbnail" in r.needs) & ~get("has_thumbnail"))
+        & ~(_listing_flag(rules, lambda r: "image" in r.needs) & get("image").isNull())
     )
 
 
@@ -560,26 +561,29 @@ def time_default(rules: Mapping[str, SiteRule]) -> Column:
 def listing(
     pages: DataFrame,
     rules: Mapping[str, SiteRule] = SITES,
-    limit: int = LIMIT_PER_SITE,
+    limit: int | None = LIMIT_PER_SITE,
     key: str = "page_id",
 ) -> DataFrame:
-    """Links of the list pages: filters, one row per URL where asked, first ``limit`` per site.
+    """Links of the list pages: filters, one item per URL where asked, the first ``limit`` of each page.
 
-    The order within a site is page, then position. Limits are applied before the shuffle, so a
-    site that fills a third of the input does not end in one task. The links are settled, so that
-    pages are parsed once for all branches.
+    ``limit`` None keeps all. A page's links are one array, so nothing is shuffled.
     """
-    order = [key, "position"]
-    items = settle(extract_links(pages, rules, key).withColumn("url", absolute_url(rules)), "links")
+    lists = _link_lists(pages, rules, key)
+    whole = F.transform("links", lambda x: x.withField("url", absolute_url(rules, x.getField)))
     early = _listing_flag(rules, lambda r: r.limit_before_filter)
-    cut_first = first_n_per_key(items.filter(early), ["site"], order, limit).filter(accepted(rules))
-    filtered = items.filter(~early).filter(accepted(rules))
     unique = _listing_flag(rules, lambda r: r.unique_urls)
 
-    def once(rows):
-        return rows.filter(~unique).unionByName(first_per_key(rows.filter(unique), ["site", "url"], order))
-
-    kept = once(cut_first).unionByName(first_n_per_key(once(filtered), ["site"], order, limit))
+    def cut(items: Column) -> Column:
+        return F.slice(items, 1, limit) if limit is not None else items
+
+    lists = lists.withColumn("links", whole)
+    lists = lists.withColumn("links", F.when(early, cut(F.col("links"))).otherwise(F.col("links")))
+    lists = lists.withColumn("links", F.filter("links", lambda x: accepted(rules, x.getField)))
+    urls = F.transform("links", lambda x: x["url"])
+    lists = lists.withColumn("urls", urls)
+    firsts = F.filter("links", lambda x, i: F.array_position("urls", x["url"]) == i + 1)
+    lists = lists.withColumn("links", F.when(unique, firsts).otherwise(F.col("links")))
+    kept = lists.select(key, "site", F.inline(F.when(early, F.col("links")).otherwise(cut(F.col("links")))))
     return kept.select(
         key,
         "site",

@@ -28,6 +28,7 @@ class TopicModel:
     n_words: tuple[int, ...]
     vocabulary_size: int
     words: DataFrame
+    stopwords: tuple[str, ...] = ()  # words known to be outside the vocabulary; need not be complete
 
     @property
     def log_priors(self) -> Column:
@@ -109,7 +110,7 @@ def fit(
     totals = words.agg(
         F.count(F.lit(1)), *[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(len(labels))]
     ).first()
-    return TopicModel(labels, tuple(n for _, n in found), tuple(totals[1:]), totals[0], words)
+    return TopicModel(labels, tuple(n for _, n in found), tuple(totals[1:]), totals[0], words, tuple(stopwords))
 
 
 def save_model(model: TopicModel, path: str) -> None:
@@ -145,8 +146,11 @@ def score(
     words: Callable[[Column], Column] = serving_words,
 ) -> DataFrame:
     """Joint log score per class as an array in class order; no known word → the priors alone."""
+    # Stopwords and short words, the most frequent of all, are in no model: they are left out before
+    # anything is shuffled. A document without any other word keeps one NULL row.
+    candidates = lambda col: F.filter(words(col), lambda word: is_vocabulary_word(word, model.stopwords))
     found = _look_up(
-        bag_of_words(docs, text, keep, words),
+        bag_of_words(docs, text, keep, candidates),
         model.scored_words(),
         model.vocabulary_size * len(model.labels),
         sum(model.n_words),
@@ -242,8 +246,12 @@ def classification_report(predictions: DataFrame, label: str) -> DataFrame:
 
 
 def with_folds(docs: DataFrame, key: str, label: str, folds: int = 5) -> DataFrame:
-    """Stratified folds 1..k in id order: each class is cut into k runs of near-equal size."""
-    ranked = with_rank(docs, [key], "_r", within=[label])
+    """Stratified folds 1..k in id order: each class is cut into k runs of near-equal size.
+
+    Only ids and classes are ranked. The ids at which a class changes its fold, ``folds`` - 1 of each
+    class, then place every row where it is read: no text moves.
+    """
+    ranked = with_rank(docs.select(key, label), [key], "_r", within=[label])
     sizes = ranked.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     joined = ranked.join(F.broadcast(sizes), F.col(label) == F.col("_label"))  # one row per class
     small = F.floor(F.col("_n") / folds)
@@ -252,7 +260,11 @@ def with_folds(docs: DataFrame, key: str, label: str, folds: int = 5) -> DataFra
     fold = F.when(F.col("_r") <= edge, F.ceil(F.col("_r") / (small + 1))).otherwise(
         longer + F.ceil((F.col("_r") - edge) / F.greatest(small, F.lit(1)))
     )
-    return joined.withColumn("fold", fold.cast("int")).select(*docs.columns, "fold")
+    starts = joined.withColumn("_fold", fold.cast("int")).groupBy(F.col(label).alias("_label"), "_fold").agg(F.min(key).alias("_start"))
+    borders = starts.groupBy("_label").agg(F.array_sort(F.collect_list(F.struct("_start", "_fold"))).alias("_borders"))
+    placed = docs.join(F.broadcast(borders), F.col(label) == F.col("_label"))
+    last = F.element_at(F.filter("_borders", lambda b: b["_start"] <= F.col(key)), -1)
+    return placed.withColumn("fold", last["_fold"]).select(*docs.columns, "fold")
 
 
 def cross_validate(
@@ -301,7 +313,9 @@ def cross_validate(
     )
     priors = F.array(*[F.array(*[log_prior(name, fold) for name in labels]) for fold in numbers])
     table = words.select("term", "total", by_fold.alias("log_p"))
-    found = _look_up(bag_of_words(assigned, text, (key, label, "fold")), table, size * len(grid), sum(words_in.values()))
+    candidates = lambda col: F.filter(training_words(col), lambda word: is_vocabulary_word(word, stopwords))
+    bag = bag_of_words(assigned, text, (key, label, "fold"), candidates)
+    found = _look_up(bag, table, size * len(grid), sum(words_in.values()))
     sums_per_class = [
         F.coalesce(F.sum(F.element_at("log_p", F.col("fold"))[i]), F.lit(0.0)).alias(f"_s{i}")
         for i in range(len(labels))

@@ -191,6 +191,14 @@ def _settings(spark, folder):
     )
 
 
+@query(
+    "s11_all_settings",
+    "SELECT event_type AS setting_key, arg_max(props, event_id) AS value FROM events GROUP BY event_type",
+)
+def s11_all(spark, folder):
+    return catalogue.all_settings(_settings(spark, folder))
+
+
 @query(
     "s11_settings_map",
     """SELECT event_type AS setting_key, arg_max(props, event_id) AS value
@@ -459,12 +467,12 @@ def j5(spark, folder):
 @query(
     "j6_unknown_titles",
     """SELECT article_id, title FROM articles WHERE status = 'Pending'
-       AND title NOT IN (SELECT title FROM articles WHERE status = 'published' AND title IS NOT NULL)""",
+       AND title NOT IN (SELECT title FROM articles WHERE status <> 'Pending' AND title IS NOT NULL)""",
     "articles",
 )
 def j6(spark, folder):
     articles = fx.articles(spark, folder).select("article_id", "title", "status")
-    stored = catalogue.published(articles).select("title").distinct()
+    stored = articles.filter("status <> 'Pending'").select("title").distinct()
     return articles.filter("status = 'Pending'").join(stored, "title", "left_anti").select("article_id", "title")
 
 
@@ -678,16 +686,20 @@ def l5(spark, folder):
 
 @query(
     "l6_thread_page",
-    """WITH shown AS (SELECT id FROM comments
+    """WITH shown AS (SELECT id, created_at AS top FROM comments
           WHERE article_id = 'BB-2' AND parent_id IS NULL AND status = 'active'
-          ORDER BY created_at DESC, id LIMIT 10)
-       SELECT id, parent_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM comments
-       WHERE id IN (SELECT id FROM shown) OR (status = 'active' AND parent_id IN (SELECT id FROM shown))""",
-    "comments",
+          ORDER BY created_at DESC, id LIMIT 10),
+       lines AS (SELECT c.*, s.top, s.id AS root FROM comments c JOIN shown s
+          ON s.id = c.id OR (c.status = 'active' AND c.parent_id = s.id))
+       SELECT l.id, l.parent_id, strftime(l.created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
+          CASE WHEN u.id IS NULL THEN 'Người dùng' ELSE u.first_name || ' ' || u.last_name END AS user_name,
+          row_number() OVER (ORDER BY l.top DESC, l.root, l.parent_id IS NOT NULL, l.created_at, l.id) AS position
+       FROM lines l LEFT JOIN users u ON u.id = l.user_id""",
+    "comments users",
 )
 def l6(spark, folder):
-    rows = comment_ops.thread_page(fx.comments(spark, folder), "BB-2")
-    return rows.select("id", "parent_id", dates.stored_text(F.col("created_at")).alias("created_at"))
+    rows = comment_ops.thread_page(fx.comments(spark, folder), "BB-2", users=fx.users(spark, folder))
+    return rows.select("id", "parent_id", dates.stored_text(F.col("created_at")).alias("created_at"), "user_name", "position")
 
 
 @query("l7_pending_queue", f"SELECT {BRIEF} FROM articles WHERE status = 'Pending'", "articles")

@@ -12,6 +12,7 @@ from pressroom.operators.ranking import first_per_key, with_rank
 from pressroom.plans.ingest import ingest, prepare_rows
 from pressroom.plans.registry import query
 from pressroom.plans.text_queries import ALL_SQL, model_sql, scored_sql, squash_sql, strip_sql
+from pressroom.session import settle
 from pressroom.sources import fixtures as fx
 
 DEFAULT_TS = "2024-06-01 00:00:00"
@@ -149,21 +150,22 @@ def x4(spark, folder):
     return kept.filter(F.length(page_ops.link_title(rules)) > 5).select("page_id", "site", "position")
 
 
-LIMITED_SQL = """early AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id, position) AS rn FROM items WHERE site = 'www'),
-  kept_early AS (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY page_id, position) AS u FROM early WHERE rn <= 20),
-  late AS (SELECT *, CASE WHEN site = 'blog' THEN row_number() OVER (PARTITION BY site, url ORDER BY page_id, position) ELSE 1 END AS u
+LIMITED_SQL = """early AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS rn FROM items WHERE site = 'www'),
+  kept_early AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY position) AS u FROM early WHERE rn <= 4),
+  late AS (SELECT *, CASE WHEN site = 'blog' THEN row_number() OVER (PARTITION BY page_id, url ORDER BY position) ELSE 1 END AS u
            FROM items WHERE site <> 'www'),
-  kept_late AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id, position) AS rn2 FROM late WHERE u = 1)"""
+  kept_late AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS rn2 FROM late WHERE u = 1)"""
 
 
 @query(
     "x5_site_limit",
     f"""WITH {LINKS_SQL}, {LIMITED_SQL}
         SELECT page_id, site, position, name AS title, url FROM kept_early WHERE u = 1
-        UNION ALL SELECT page_id, site, position, name, url FROM kept_late WHERE rn2 <= 20""",
+        UNION ALL SELECT page_id, site, position, name, url FROM kept_late WHERE rn2 <= 4""",
 )
 def x5(spark, folder):
-    return page_ops.listing(_pages(spark, folder), fx.page_sites()).select("page_id", "site", "position", "title", "url")
+    # Four links of each list page: the pages of the test table have six.
+    return page_ops.listing(_pages(spark, folder), fx.page_sites(), limit=4).select("page_id", "site", "position", "title", "url")
 
 
 @query(
@@ -193,6 +195,7 @@ def x8(spark, folder):
     links = _links(spark, folder).select(
         "site", "page_id", page_ops.absolute_url(rules).alias("url"), page_ops.link_title(rules).alias("title")
     )
+    links = settle(links, "links")  # the pages are parsed once for all sites
     extra = {"com": [F.lit("Unknown").alias("date_posted")], "net": ["page_id"]}
     sites = [links.filter(F.col("site") == name).select("url", "title", *extra.get(name, [])) for name in rules]
     return page_ops.union_sites(sites)
@@ -216,7 +219,7 @@ def _known_pages(spark, folder):
     n = F.col("doc_id")
     site = F.element_at(F.array(*[F.lit(name) for name in SITE_NAMES]), (n % 6 + 1).cast("int"))
     title = _escaped(F.split_part("text", F.lit("\n"), F.lit(1)))
-    words = _escaped(F.substring("text", 1, 300))
+    words = _escaped(F.col("text"))
     number = n.cast("string")
 
     def tag(name, attrs, inner, missing):
@@ -253,7 +256,7 @@ def _known_pages(spark, folder):
     cases = []
     for name, (head, lead, body, figure, author, date) in parts.items():
         opened, closed = F.lit(f"<{body}>"), F.lit(f"</{body.split()[0]}>")
-        inner = F.concat(opened, F.lit("<p>"), words, F.lit("</p>"), figure, closed)
+        inner = F.concat(opened, F.lit("<p>"), F.replace(words, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"), figure, closed)
         html = F.concat(
             F.lit("<html><body>"), head, lead, F.when(n % 11 == 0, "").otherwise(inner), author, date,
             F.lit("<video src='https://vid.test/"), number, F.lit(".mp4'></video></body></html>"),
@@ -293,7 +296,7 @@ def x13(spark, folder):
     "x14_field_defaults",
     f"""WITH {KNOWN} SELECT doc_id AS page_id, site,
           CASE WHEN doc_id % 7 = 0 THEN 'No title' ELSE {strip_sql("split_part(text, chr(10), 1)")} END AS title,
-          CASE WHEN doc_id % 5 = 0 THEN 'No description' ELSE {strip_sql("substring(text, 1, 300)")} END AS description
+          CASE WHEN doc_id % 5 = 0 THEN 'No description' ELSE {strip_sql("text")} END AS description
         FROM known""",
 )
 def x14(spark, folder):
@@ -322,6 +325,18 @@ def x19(spark, folder):
     )
 
 
+@query(
+    "x19_strict_sites",
+    f"""WITH {KNOWN} SELECT doc_id AS page_id, site, CASE WHEN doc_id % 3 = 0 THEN '{DEFAULT_TS}'
+               ELSE strftime(make_timestamp(2025, 3, CAST(doc_id % 28 + 1 AS BIGINT), 9, 5, 0), '%Y-%m-%d %H:%M:%S') END AS date_posted
+        FROM known""",
+)
+def x19_strict(spark, folder):
+    """The same pages with every weekday prefix read."""
+    found = page_ops.extract_articles(_known_pages(spark, folder), _default_ts())
+    return found.select("page_id", "site", dates.stored_text(F.col("date_posted")).alias("date_posted"))
+
+
 @query(
     "x17_strict_dates",
     """SELECT event_id, CASE WHEN event_id % 5 = 4 THEN '2024-06-01 00:00:00' ELSE strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') END AS fixed,
@@ -364,16 +379,14 @@ def x18(spark, folder):
 
 
 def _new_and_stored(spark, folder):
-    """The newest documents stand for the stored window, the others are new."""
+    """Every tenth document is stored, the others are new."""
     docs = fx.table(spark, folder, "documents").select("doc_id", "text")
-    window = min(dedupe.STORED_WINDOW, docs.count() // 2)
-    stored = docs.orderBy(F.col("doc_id").desc()).limit(window)
-    return docs.join(F.broadcast(stored.select("doc_id")), "doc_id", "left_anti"), stored  # ≤ 1000 ids
+    is_stored = F.col("doc_id") % 10 == 0
+    return docs.filter(~is_stored), docs.filter(is_stored)
 
 
-SIMILAR_SQL = """stored AS (SELECT doc_id, text FROM documents ORDER BY doc_id DESC
-                 LIMIT (SELECT least(1000, count(*) // 2) FROM documents)),
-   fresh AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM stored)),
+SIMILAR_SQL = """stored AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0),
+   fresh AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0),
    st AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[@WORD]{2,}')) AS term FROM stored) GROUP BY ALL),
    nt AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[@WORD]{2,}')) AS term FROM fresh)
           WHERE term IN (SELECT term FROM st) GROUP BY ALL),
@@ -391,6 +404,21 @@ def d1(spark, folder):
     return dedupe.flag_near_duplicates(new, stored, "doc_id", "text")
 
 
+ALL_STORED_SQL = SIMILAR_SQL.replace("doc_id % 10 = 0", "doc_id % 2 = 0").replace("doc_id % 10 <> 0", "doc_id % 2 <> 0")
+
+
+@query(
+    "d1_near_duplicates_all_stored",
+    f"WITH {ALL_STORED_SQL} SELECT doc_id, doc_id IN (SELECT a FROM dup) AS near_duplicate FROM fresh",
+)
+def d1_all(spark, folder):
+    """Half of the documents against all of the other half, in blocks."""
+    docs = fx.table(spark, folder, "documents").select("doc_id", "text")
+    is_stored = F.col("doc_id") % 2 == 0
+    stored = dedupe.stored_window(docs.filter(is_stored), window=None)
+    return dedupe.flag_near_duplicates(docs.filter(~is_stored), stored, "doc_id", "text", index_pairs=50_000)
+
+
 @query(
     "j8_similarity_anti_join",
     f"WITH {SIMILAR_SQL} SELECT doc_id, text FROM fresh WHERE doc_id NOT IN (SELECT a FROM dup)",
@@ -405,13 +433,13 @@ def j8(spark, folder):
     """SELECT article_id, title FROM (
          SELECT article_id, title, row_number() OVER (PARTITION BY substring(title, 1, 500) ORDER BY article_id) AS rn
          FROM articles WHERE status = 'Pending') WHERE rn = 1
-       AND substring(title, 1, 500) NOT IN (SELECT substring(title, 1, 500) FROM articles WHERE status = 'published')""",
+       AND substring(title, 1, 500) NOT IN (SELECT substring(title, 1, 500) FROM articles WHERE status <> 'Pending')""",
     "articles",
 )
 def d2(spark, folder):
     rows = fx.articles(spark, folder).select("article_id", "title", "status")
     new = rows.filter("status = 'Pending'").select("article_id", "title")
-    return dedupe.drop_known_titles(new, catalogue.published(rows), ["article_id"])
+    return dedupe.drop_known_titles(new, rows.filter("status <> 'Pending'"), ["article_id"])
 
 
 @query(

@@ -73,11 +73,13 @@ def t3(spark, folder):
 
 @query(
     "t4_training_words",
-    f"""SELECT doc_id, string_agg(term, ' ' ORDER BY i) AS words, count(*) AS n FROM (
+    f"""SELECT d.doc_id, coalesce(t.words, '') AS words, coalesce(t.n, 0) AS n FROM documents d LEFT JOIN (
+        SELECT doc_id, string_agg(term, ' ' ORDER BY i) AS words, count(*) AS n FROM (
           SELECT doc_id, i, lower(trim(w[i], '!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~')) AS term FROM (
             SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM (
-              SELECT doc_id, regexp_split_to_array({strip_sql('text')}, '[@SPACE]+') AS w FROM documents)))
-        GROUP BY doc_id""",
+              SELECT doc_id, regexp_split_to_array({strip_sql('text')}, '[@SPACE]+') AS w FROM documents
+              WHERE {strip_sql('text')} <> '')))
+        GROUP BY doc_id) t ON t.doc_id = d.doc_id""",
 )
 def t4(spark, folder):
     words = text.training_words(F.col("text"))
@@ -369,16 +371,16 @@ DECIDED_SQL = f"""{PROBABILITY_SQL},
    cl AS (SELECT c.*, {moderation_sql('c.content')} AS clean, r.label AS lb, r.confidence AS cf
           FROM comments c LEFT JOIN rated r ON r.comment_id = c.id),
    decided AS (SELECT id, article_id, user_id, parent_id, content,
-     CASE WHEN lb IS NULL THEN 2 WHEN clean = '' THEN 0 ELSE lb END AS label,
-     CASE WHEN lb IS NULL THEN 0.0 WHEN clean = '' THEN 0.5 ELSE cf END AS confidence,
-     CASE WHEN lb IS NULL THEN '{moderation.DESCRIPTION_NO_MODEL}'
-          WHEN {strip_sql("coalesce(content, '')")} = '' THEN '{moderation.DESCRIPTION_EMPTY}'
+     CASE WHEN clean = '' THEN 0 WHEN lb IS NULL THEN 2 ELSE lb END AS label,
+     CASE WHEN clean = '' THEN 0.5 WHEN lb IS NULL THEN 0.0 ELSE cf END AS confidence,
+     CASE WHEN {strip_sql("coalesce(content, '')")} = '' THEN '{moderation.DESCRIPTION_EMPTY}'
           WHEN clean = '' THEN '{moderation.DESCRIPTION_EMPTY_AFTER}'
+          WHEN lb IS NULL THEN '{moderation.DESCRIPTION_NO_MODEL}'
           WHEN lb = 0 THEN '{moderation.DESCRIPTIONS[0]}' WHEN lb = 1 THEN '{moderation.DESCRIPTIONS[1]}'
           ELSE '{moderation.DESCRIPTIONS[2]}' END AS description,
-     CASE WHEN lb IS NULL THEN 'reject' WHEN clean = '' THEN NULL WHEN {TOXIC_SQL} THEN 'reject'
+     CASE WHEN clean = '' THEN NULL WHEN lb IS NULL THEN 'reject' WHEN {TOXIC_SQL} THEN 'reject'
           WHEN lb = 0 AND cf > 0.7 THEN 'approve' ELSE 'reject' END AS decision,
-     CASE WHEN lb IS NULL THEN '{moderation.REASON_NO_MODEL}' WHEN clean = '' THEN NULL
+     CASE WHEN clean = '' THEN NULL WHEN lb IS NULL THEN '{moderation.REASON_NO_MODEL}'
           WHEN {TOXIC_SQL} THEN '{moderation.REASON_KEYWORD}'
           WHEN lb = 0 AND cf > 0.7 THEN '{moderation.REASON_POSITIVE}'
           WHEN lb IN (1, 2) THEN 'Bình luận tiêu cực/độc hại (Label ' || lb || ')'
@@ -413,7 +415,7 @@ def length_scorer(texts: pd.Series) -> pd.DataFrame:
     "c11_batch_scoring",
     f"""SELECT id AS comment_id, CAST(n % 7 AS DOUBLE) AS logit_0, CAST(n % 5 AS DOUBLE) AS logit_1,
                CAST(n % 3 AS DOUBLE) AS logit_2
-        FROM (SELECT id, length({moderation_sql('content')}) AS n FROM comments)""",
+        FROM (SELECT id, length({moderation_sql('content')}) AS n FROM comments) WHERE n > 0""",
     "comments",
 )
 def c11(spark, folder):
@@ -477,7 +479,9 @@ def _outcome(spark, folder):
     waiting = fx.comments(spark, folder).select(
         F.col("id").alias("comment_id"), "article_id", "user_id", "parent_id", "content"
     )
-    return moderation.apply_verdicts(fx.verdicts(spark, folder), waiting, fx.articles(spark, folder))
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    waiting = waiting.withColumn("status", F.lit("pending"))
+    return moderation.apply_verdicts(fx.verdicts(spark, folder), waiting, fx.articles(spark, folder), now)
 
 
 @query(
@@ -522,6 +526,32 @@ def c13_new(spark, folder):
     return _outcome(spark, folder).new_comments
 
 
+@query(
+    "c13_pending_after",
+    f"""WITH {OUTCOME_SQL}, done AS (SELECT comment_id, max(label) AS label FROM outcomes WHERE outcome <> 'error' GROUP BY 1)
+        SELECT c.id AS comment_id, c.article_id, CASE WHEN d.label IS NULL THEN 'pending' ELSE 'processed' END AS status,
+               d.label AS phobert_label, CASE WHEN d.label IS NOT NULL THEN '2024-06-01 00:00:00' END AS processed_at
+        FROM comments c LEFT JOIN done d ON d.comment_id = c.id""",
+    "articles comments verdicts",
+)
+def c13_pending(spark, folder):
+    after = _outcome(spark, folder).pending
+    return after.select(
+        "comment_id", "article_id", "status", "phobert_label", F.date_format("processed_at", "yyyy-MM-dd HH:mm:ss").alias("processed_at")
+    )
+
+
+@query(
+    "c13_status_counts_after",
+    f"""WITH {OUTCOME_SQL}, done AS (SELECT DISTINCT comment_id FROM outcomes WHERE outcome <> 'error')
+        SELECT CASE WHEN d.comment_id IS NULL THEN 'pending' ELSE 'processed' END AS status, count(*) AS comments
+        FROM comments c LEFT JOIN done d ON d.comment_id = c.id GROUP BY 1""",
+    "articles comments verdicts",
+)
+def c13_counts(spark, folder):
+    return moderation.status_counts(_outcome(spark, folder).pending)
+
+
 @query(
     "c14_saved_sentiment",
     "SELECT comment_id, CASE WHEN label = 0 THEN 'positive' ELSE 'negative' END AS sentiment FROM verdicts",

@@ -84,18 +84,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL_INPUT_PER_CORE = 32 * 1024 * 1024
+SPREAD_SETTING = "spark.pressroom.spreadTasks"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a small input one task per core.
+    """Deal the input of CPU-heavy work to as many tasks as ``spark.pressroom.spreadTasks`` says.
 
-    A small file is often a single row group and so a single task. Whether the input is small is
-    read from the plan's size estimate; a large input has enough splits and is left as it is,
-    since moving it would cost a shuffle.
+    Unset, as it should be on data of any size, rows stay where they are read. A user whose files are
+    single row groups, which Spark cannot split, sets it for the session.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= cores * SMALL_INPUT_PER_CORE else df
+    tasks = df.sparkSession.conf.get(SPREAD_SETTING, None)
+    return df.repartition(int(tasks)) if tasks and not df.isStreaming else df

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import hashlib
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pressroom.functions.text import TOXIC_KEYWORDS
-from pressroom.operators.dedupe import TITLE_LIMIT
+from pressroom.operators.dedupe import drop_known_titles
 from pressroom.operators.moderation import moderate
 from pressroom.operators.ranking import first_per_key
-from pressroom.session import ship
 
 STREAMED_COMMENT = (
     "id BIGINT, article_id STRING, user_id BIGINT, parent_id BIGINT, content STRING, created_at TIMESTAMP"
@@ -37,14 +36,17 @@ def moderate_stream(
 ) -> StreamingQuery:
     """Decide each micro-batch and write it to its own folder, one sub-folder per decision.
 
-    A batch that is run again after a failure overwrites its own folder, so nothing is doubled.
+    A batch that is run again after a failure overwrites its own folder, so nothing is doubled. The
+    folder also names the run, a hash of the checkpoint's path: a new checkpoint over an old sink
+    counts its batches from zero again and must not overwrite earlier decisions.
     """
+    run = run_id(checkpoint)
 
     def decide(batch: DataFrame, number: int) -> None:
         decided = moderate(batch, scores, keywords, key)
         decided.drop("probabilities").withColumn(
             "decision", F.coalesce(F.col("decision"), F.lit("none"))
-        ).write.mode("overwrite").partitionBy("decision").parquet(f"{sink}/batch={number}")
+        ).write.mode("overwrite").partitionBy("decision").parquet(f"{sink}/run={run}/batch={number}")
 
     return (
         incoming.writeStream.foreachBatch(decide)
@@ -57,36 +59,49 @@ def moderate_stream(
 def read_decisions(spark: SparkSession, sink: str, key: str = "id") -> DataFrame:
     """One decision per comment: a comment that was delivered twice counts by its first batch."""
     rows = spark.read.parquet(sink)
-    firsts = first_per_key(rows, [key], ["batch", "created_at"])
-    return firsts.drop("batch").withColumn("decision", F.nullif(F.col("decision"), F.lit("none")))
+    firsts = first_per_key(rows, [key], ["batch", "run", "created_at"])
+    return firsts.drop("batch", "run").withColumn("decision", F.nullif(F.col("decision"), F.lit("none")))
 
 
-def _once_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.drop_duplicates("title")
+def keep_new_titles(
+    incoming: DataFrame, stored: DataFrame, sink: str, checkpoint: str, order: Sequence[str]
+) -> StreamingQuery:
+    """Write the rows whose title is neither stored nor in the sink; the first of a batch wins.
 
+    Each micro-batch goes through the batch rule, against the stored titles and those that earlier
+    batches have written: nothing is late, and rows without a title stay, as in a batch. A batch that
+    is run again leaves its own folder out and overwrites it.
+    """
+    spark = stored.sparkSession
+    run = run_id(checkpoint)
+    titles = stored.select("title")
 
-def new_titles(
-    incoming: DataFrame, stored: DataFrame, event_time: str, delay: str = "7 days"
-) -> DataFrame:
-    """Rows whose title is neither stored nor seen within ``delay``.
+    def keep(batch: DataFrame, number: int) -> None:
+        known = titles
+        if earlier := _other_batches(spark, sink, run, number):
+            known = known.unionByName(spark.read.schema("title STRING").option("basePath", sink).parquet(*earlier).select("title"))
+        drop_known_titles(batch, known, list(order)).write.mode("overwrite").parquet(f"{sink}/run={run}/batch={number}")
 
-    The state is bounded by the watermark: a title may return after the delay has passed. Repeats
-    are dropped inside each Arrow batch first, so that a title that floods the stream does not
-    send all its rows to one task.
-    """
-    ship(incoming.sparkSession)
-    title = F.substring("title", 1, TITLE_LIMIT)
-    known = stored.select(title.alias("title")).distinct()
-    thinned = incoming.withColumn("title", title)
     return (
-        thinned.mapInPandas(_once_per_batch, thinned.schema)
-        .withWatermark(event_time, delay)
-        .join(known, "title", "left_anti")
-        .dropDuplicatesWithinWatermark(["title"])
+        incoming.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
+def run_id(checkpoint: str) -> str:
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+
+def _other_batches(spark: SparkSession, sink: str, run: str, number: int) -> list[str]:
+    """Batch folders in the sink, without that of the given batch; found through the sink's file system."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/run=*/batch=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    paths = [str(status.getPath()) for status in found]
+    return [path for path in paths if not path.endswith(f"/run={run}/batch={number}")]
+
+
 def write_stream_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.format("parquet")
