@@ -174,7 +174,8 @@ def read(page: str) -> Element:
                 close({"h1", "h2", "h3", "h4", "h5", "h6"}, BLOCK - {"h1", "h2", "h3", "h4", "h5", "h6"})
             up = stack[-1]
             attributes = _attributes(page[name.end() : stop - 1])
-            classes = ".".join(sorted(_DIGITS.sub("0", attributes.get("class", "").lower()).split()))
+            # Classes of the whole page differ from page to page and say nothing about the container.
+            classes = "" if tag in ("html", "body") else ".".join(sorted(_DIGITS.sub("0", attributes.get("class", "").lower()).split()))
             inside = any(e.tag in ("article", "main") for e in stack)
             heading = tag == "header"
             away = up.away or _is_away(tag, attributes) or (heading and not inside)
