@@ -115,14 +115,14 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
             edges = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
                 lowest.select("a", F.col("m").alias("b"))
             )
-        return edges.where("a <> b").distinct()
+        return edges.where("a <> b")
 
     edges = settle(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
     )
     size = _mark(edges)
     while True:
-        edges = settle(star(star(both(edges), large=True), large=False), name)
+        edges = settle(star(star(both(edges), large=True), large=False).distinct(), name)
         mark = _mark(edges)
         if mark == size:
             break

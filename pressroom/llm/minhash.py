@@ -6,13 +6,15 @@
 2. Documents with equal sets are one class; only its smallest document goes on.
 3. Classes that share a band are candidates. First each class is compared with the smallest class of
    its band only (a star, linear in the rows). Linked ones are put into components.
-4. Then, inside a band, classes of *different* components are compared: all such pairs, in blocks of
-   bounded size whose sketches are compared inside the task, so a pair that the sketch rules out is
-   never written. Pairs of one component need no comparison, since they cannot change the result.
+4. Then, inside a band, classes of *different* components are compared, in blocks of bounded size: the
+   sketches first, the nearest first, and what passes on the full sets, inside the task. As soon as two
+   components are linked, their other pairs cannot change the result and are skipped. A pair is only
+   looked at in the first band that it shares. A task returns at most one link for each of its rows, so
+   a group of near copies costs no quadratic output.
 5. A candidate passes the sketch if the estimate is not below the threshold by more than the bitmap's
    noise; every link is confirmed on the full sets.
 
-Two sets at the threshold share no band with a chance below one in a million (``bands``, ``rows``);
+Two sets with a similarity of 0.8 share no band with a chance below one in a million (``BANDS``, ``ROWS``);
 the sketch margin is more than five standard deviations.
 """
 
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 
 from pressroom.llm.common import attach, connected_components, fresh, settle, ship
 
-BANDS, ROWS = 32, 4
-SKETCH_BITS = 1024
+BANDS, ROWS = 20, 3
+SAMPLES = 256
+SKETCH_BITS = 2048
 BLOCK = 1024
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,8 +103,10 @@ def most_odd_bits(similarity: float, samples: int, bits: int, deviations: float
     return math.ceil(bits / 2 * (1 - (1 - 2 / bits) ** flips) + 2 * math.sqrt(flips))
 
 
-def features(documents: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
-    """Per row: doc_id, n_shingles, digest, bands (one 64-bit key each), sketch."""
+def features(
+    documents: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS, samples: int = SAMPLES, bits: int = SKETCH_BITS
+) -> DataFrame:
+    """Per row: doc_id, n_shingles, digest, bands (one 64-bit key each, of the first samples), sketch."""
 
     def kernel(texts: pa.Array) -> dict[str, list]:
         out: dict[str, list] = {"n_shingles": [], "digest": [], "bands": [], "sketch": []}
@@ -112,13 +117,14 @@ def features(documents: DataFrame, size: int, bands: int = BANDS, rows: int = RO
                 for name in ("digest", "bands", "sketch"):
                     out[name].append(None)
                 continue
-            samples = minhash(found, bands * rows)
+            values = minhash(found, samples)
+            banded = values[: bands * rows].reshape(bands, rows)
             keys = np.arange(bands, dtype=np.uint64)
             for row in range(rows):
-                keys = _mixed(keys * _MIX + samples.reshape(bands, rows)[:, row])
+                keys = _mixed(keys * _MIX + banded[:, row])
             out["digest"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
             out["bands"].append(keys.view(np.int64).tolist())
-            out["sketch"].append(odd_sketch(samples, bits).tobytes())
+            out["sketch"].append(odd_sketch(values, bits).tobytes())
         return out
 
     fields = "n_shingles bigint, digest binary, bands array<bigint>, sketch binary"
@@ -169,40 +175,67 @@ def _star_pairs(stars: DataFrame, limit: int) -> DataFrame:
     return stars.mapInPandas(check, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
-    """Pairs inside a band whose components differ and whose sketches are near.
+def _across(members: DataFrame, percent: int, limit: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between components inside a band: enough of them to join what belongs together.
 
-    ``members``: band, id, component, sketch, width (number of blocks of the band). A band of one block
-    is one group. A larger one is dealt into ``width`` blocks by a hash of the id; each pair of blocks is
-    a group of its own, so no task holds more than two blocks.
+    ``members``: band, id, component, n (rows of the band), bands, sketch, set. A band of up to ``block``
+    rows is one group. A larger one is dealt into parts by a hash of the id, and each pair of parts is a
+    group of its own, so no task holds more than two parts.
     """
-    home = F.pmod(F.xxhash64("id"), F.col("width")).cast("int")
-    dealt = members.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    dealt = dealt.select(
-        "band", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), "home", "id", "component", "sketch"
+    width = F.ceil(F.col("n") / block).cast("int")
+    dealt = members.withColumn("width", width).withColumn("home", F.pmod(F.xxhash64("id"), F.col("width")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).select(
+        "band", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"),
+        "home", "id", "component", "bands", "sketch", "set",
     )
 
-    def check(key: tuple, rows: pa.Table) -> pa.Table:
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
         band, low, high = (k.as_py() for k in key)
-        home = rows["home"].to_numpy()
-        ids, component = rows["id"].to_numpy(), rows["component"].to_numpy()
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
-        left, right = np.flatnonzero(home == low), np.flatnonzero(home == high)
-        out_a, out_b = [], []
-        if len(np.unique(component)) > 1:
-            for i in left:
-                differ = component[right] != component[i]
-                if low == high:
-                    differ &= ids[right] > ids[i]
-                near = right[differ]
-                near = near[_ones(sketch[near] ^ sketch[i]) <= limit]
-                out_a.append(np.full(len(near), ids[i]))
-                out_b.append(ids[near])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return dealt.groupBy("band", "low", "high").applyInArrow(check, "a bigint, b bigint").distinct()
+        a, b = _linked(band, rows, low, high, percent, limit)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("band", "low", "high").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _linked(band: int, rows: pa.Table, low: int, high: int, percent: int, limit: int) -> tuple[list[int], list[int]]:
+    out_a: list[int] = []
+    out_b: list[int] = []
+    home, ids = rows["home"].to_numpy(), rows["id"].to_numpy()
+    names, group = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    if len(names) < 2:
+        return out_a, out_b
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+    bands = np.array(rows["bands"].to_pylist(), np.int64)
+    place = int(np.flatnonzero(bands[0] == band)[0])
+    earlier = bands[:, :place]
+    packed = rows["set"]
+    sets: dict[int, frozenset] = {}
+
+    def shingle_set(i: int) -> frozenset:
+        if i not in sets:
+            sets[i] = frozenset(np.frombuffer(packed[i].as_py(), np.uint64).tolist())
+        return sets[i]
+
+    right = np.flatnonzero(home == high)
+    for i in np.flatnonzero(home == low).tolist():
+        others = right[(group[right] != group[i]) & ((ids[right] > ids[i]) | (low != high))]
+        if not len(others):
+            continue
+        odd = _ones(sketch[others] ^ sketch[i])
+        near = odd <= limit
+        others, odd = others[near], odd[near]
+        fresh_pair = ~(earlier[others] == earlier[i]).any(axis=1)
+        others = others[fresh_pair][np.argsort(odd[fresh_pair], kind="stable")]
+        for j in others.tolist():
+            if group[i] == group[j]:
+                continue
+            x, y = shingle_set(i), shingle_set(j)
+            both = len(x & y)
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                out_a.append(int(ids[i]))
+                out_b.append(int(ids[j]))
+                group[group == group[j]] = group[i]
+    return out_a, out_b
 
 
 def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -215,8 +248,7 @@ def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     spark = documents.sparkSession
     ship(spark)
-    samples = BANDS * ROWS
-    limit = most_odd_bits(percent / 100, samples, SKETCH_BITS)
+    limit = most_odd_bits(percent / 100, SAMPLES, SKETCH_BITS)
     found = settle(features(documents.select("doc_id", "text"), size), "minhash-features")
     usable = found.where("doc_id is not null and digest is not null")
     classes = settle(
@@ -242,11 +274,13 @@ def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "band", "id", F.coalesce("component", "id").alias("component"), "n"
     )
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    apart = placed.join(mixed, "band").join(sketches, "id").select(
-        "band", "id", "component", "sketch", F.ceil(F.col("n") / BLOCK).cast("int").alias("width")
+    apart = (
+        placed.join(mixed, "band")
+        .join(classes.select("id", "bands", "sketch"), "id")
+        .join(sets, "id")
+        .select("band", "id", "component", "n", "bands", "sketch", "set")
     )
-    rest = settle(_across(apart, limit), "minhash-across")
-    more = _confirmed(rest, sets, percent)
+    more = settle(_across(apart, percent, limit), "minhash-across")
     linked = connected_components(links.union(more), "minhash-second")
     placed_classes = classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
     return found.join(placed_classes, "digest", "left").select(
