@@ -508,3 +508,56 @@ def d5(spark, folder):
     stored = catalogue.published(fx.articles(spark, folder))
     rows = ingest(_pages(spark, folder), stored, model, _default_ts(), fx.page_sites())
     return rows.withColumn("date_posted", dates.stored_text(F.col("date_posted")))
+
+
+HOSTS_SQL = "CASE site " + " ".join(f"WHEN '{name}' THEN '{page_ops.SITES[name].host}'" for name in SITE_NAMES) + " END"
+PARAGRAPH = """'<p class="article-paragraph">'"""
+FIGURE_SQL = """'<figure class="article-figure">' || chr(10) || '  <img src="https://img.test/' || doc_id || '.jpg" alt="' ||
+   CASE WHEN site = 'vietnamnet' THEN 'a' ELSE '' END || '" class="article-image" />' || chr(10) ||
+   CASE WHEN site = 'nld' THEN '  <figcaption class="article-caption">cap</figcaption>' || chr(10) ELSE '' END || '</figure>' || chr(10)"""
+
+KNOWN_INTAKE_SQL = f"""WITH catalogue AS (SELECT * FROM articles WHERE CAST(substring(article_id, 4) AS BIGINT) % 2 = 1),
+   known AS (SELECT *, {KNOWN_SQL} AS site FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 2 = 1),
+   parts AS (SELECT doc_id, string_split(text, chr(10)) AS part FROM known),
+   lines AS (SELECT doc_id, i, {strip_sql('part[i]')} AS line FROM (SELECT doc_id, part, unnest(generate_series(1, len(part))) AS i FROM parts)),
+   bodies AS (SELECT doc_id, string_agg({PARAGRAPH} || line || '</p>' || chr(10), '' ORDER BY i) AS body FROM lines GROUP BY doc_id),
+   pg AS (SELECT k.doc_id AS page_id, k.site, k.doc_id % 6 AS so,
+       CASE WHEN k.doc_id % 7 = 0 THEN 'No title' ELSE {strip_sql("split_part(k.text, chr(10), 1)")} END AS title,
+       CASE WHEN k.doc_id % 5 = 0 THEN 'No description' ELSE {strip_sql("k.text")} END AS description,
+       '<div class="article-contents">' || chr(10) || CASE WHEN site = 'vietnamplus' THEN fig || body ELSE body || fig END ||
+         CASE WHEN site = 'tuoitre' THEN {PARAGRAPH} || '</p>' || chr(10)
+              WHEN site = 'vnexpress' AND k.doc_id % 4 <> 0 THEN {PARAGRAPH} || 'An ' || k.doc_id || 'x</p>' || chr(10) ELSE '' END || '</div>' AS content,
+       k.text || CASE WHEN site = 'nld' THEN ' cap' WHEN site IN ('vietnamnet', 'dantri') THEN ' [Image]'
+                      WHEN site = 'vnexpress' AND k.doc_id % 4 <> 0 THEN ' An ' || k.doc_id || 'x' ELSE '' END AS plain_content,
+       CASE WHEN k.doc_id % 3 = 0 THEN '{DEFAULT_TS}'
+            ELSE strftime(make_timestamp(2025, 3, CAST(k.doc_id % 28 + 1 AS BIGINT), 9, 5, 0), '%Y-%m-%d %H:%M:%S') END AS date_posted,
+       CASE WHEN k.doc_id % 4 = 0 THEN 'Unknown author' ELSE 'An ' || k.doc_id END AS author,
+       'https://' || {HOSTS_SQL} || '/' || k.doc_id AS url
+     FROM (SELECT *, {FIGURE_SQL} AS fig FROM known) k JOIN bodies b ON b.doc_id = k.doc_id),
+   {model_sql(ALL_SQL)}, {scored_sql('SELECT page_id AS id, plain_content AS text FROM pg')},
+   st AS (SELECT article_id, term, count(*) AS n FROM (SELECT article_id, unnest(regexp_extract_all(lower(content), '[@WORD]{{2,}}')) AS term FROM catalogue) GROUP BY ALL),
+   nt AS (SELECT page_id, term, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(content), '[@WORD]{{2,}}')) AS term FROM pg)
+          WHERE term IN (SELECT term FROM st) GROUP BY ALL),
+   sn AS (SELECT article_id, sum(n * n) AS q FROM st GROUP BY article_id), nn AS (SELECT page_id, sum(n * n) AS q FROM nt GROUP BY page_id),
+   dots AS (SELECT nt.page_id AS a, st.article_id AS b, sum(nt.n * st.n) AS dot FROM nt JOIN st ON st.term = nt.term GROUP BY ALL),
+   dup AS (SELECT DISTINCT a FROM dots JOIN nn ON nn.page_id = a JOIN sn ON sn.article_id = b WHERE 25 * dot * dot >= 16 * nn.q * sn.q),
+   firsts AS (SELECT *, row_number() OVER (PARTITION BY substring(title, 1, 500) ORDER BY so, page_id) AS rn FROM pg
+              WHERE page_id NOT IN (SELECT a FROM dup)),
+   kept AS (SELECT * FROM firsts WHERE rn = 1 AND substring(title, 1, 500) NOT IN (SELECT substring(title, 1, 500) FROM catalogue))
+   SELECT 'BB-' || ((SELECT max(CAST(substring(article_id, 4) AS BIGINT)) FROM catalogue) + row_number() OVER (ORDER BY so, page_id)) AS article_id,
+          substring(title, 1, 500) AS title, substring(description, 1, 1000) AS description, substring(content, 1, 8000) AS content,
+          date_posted, author, url AS source_url, 'published' AS status, p.predicted AS type,
+          'https://img.test/' || page_id || '.jpg' || CASE WHEN site = 'tuoitre' THEN ',https://img.test/inline.jpg' ELSE '' END AS image_urls,
+          'https://vid.test/' || page_id || '.mp4' AS video_urls
+   FROM kept JOIN pred p ON p.id = kept.page_id"""
+
+
+@query("d5_known_sites_intake", KNOWN_INTAKE_SQL, "articles")
+def d5_known(spark, folder):
+    """Every second document comes in as a page of one of the six sites; all others are stored."""
+    number = F.expr("CAST(substring(article_id, 4) AS BIGINT)")
+    stored = fx.articles(spark, folder).filter(number % 2 == 1)
+    crawled = _known_pages(spark, folder).filter(F.col("page_id") % 2 == 1)
+    model = topics.fit(fx.table(spark, folder, "documents"), "text", "lang")
+    rows = ingest(crawled, stored, model, _default_ts(), window=None)
+    return rows.withColumn("date_posted", dates.stored_text(F.col("date_posted")))

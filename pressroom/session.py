@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +59,27 @@ def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="pressroom-")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside the block are removed at its end.
+
+    Wrap it around the building of a frame and the action that consumes it: a scheduled driver then
+    leaves nothing in the shared folder between its runs. Without it they go when the application ends.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``, which every executor can reach.
 
@@ -63,10 +87,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = _local_scratch()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -74,7 +101,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage at a durable table: a lost executor re-reads files instead of recomputing
     a non-deterministic or expensive plan, and later scans see real sizes and pruned columns.
-    The table is removed when the application ends.
+    The table is removed at the end of the surrounding ``scratch``, else when the application ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)

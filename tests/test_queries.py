@@ -4,6 +4,8 @@ import __spark_entry__ as entry
 import pytest
 from compare import difference, duck
 
+from pressroom.plans import ORACLES, QUERIES
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -12,14 +14,14 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    assert name in entry.oracle_sql()
-    assert difference(spark, con, entry.queries()[name], entry.oracle_sql()[name], FOLDER) is None
+    assert entry.queries()[name] is QUERIES[name] and entry.oracle_sql()[name] == ORACLES[name]
+    assert difference(spark, con, QUERIES[name], ORACLES[name], FOLDER) is None
 
 
 def test_no_check_is_empty(con):
-    assert [name for name, sql in entry.oracle_sql().items() if not con.execute(sql).fetchone()] == []
+    assert [name for name, sql in ORACLES.items() if not con.execute(sql).fetchone()] == []
 
 
 def test_entry_has_rows_and_article_columns(spark):

@@ -44,7 +44,7 @@ def sentiment_model(s):
 
 
 def training_model(s):
-    return [w.strip(string.punctuation).lower() for w in (s or "").split()] or [""]
+    return [w.strip(string.punctuation).lower() for w in (s or "").split()]
 
 
 def serving_model(s):
