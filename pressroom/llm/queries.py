@@ -68,4 +68,44 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+
+# SQL twins, where SQL can tell the result and is quick enough on whole tables. All others are tested
+# against plain Python in tests/llm.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+   spots AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM w WHERE len(w) > 0),
+   sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM spots),
+   size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+   pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+   near AS (SELECT a, b FROM pair p JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)),
+   link AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+   reach(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.id),
+   comp AS (SELECT id, min(root) AS c FROM reach GROUP BY id)
+   SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+   FROM documents d JOIN comp ON id = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id"""
+
+_OP3_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+   b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+   starts AS (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0),
+   windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i:i + 12], ' ') AS phrase FROM starts),
+   sizes AS (SELECT DISTINCT size FROM windows),
+   places AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase
+              FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d, sizes WHERE len(w) >= size)),
+   hits AS (SELECT doc_id, item_id, i, p.size FROM places p JOIN windows v ON v.size = p.size AND v.phrase = p.phrase),
+   covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS k FROM hits) GROUP BY doc_id),
+   found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+             FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items,
+          sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * c.n >= len(w) AS contaminated
+   FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id"""
+
+_OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding) AND isfinite(list_sum(embedding)) AND list_min(embedding) < list_max(embedding)),
+   link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+   reach(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.id),
+   comp AS (SELECT id, min(root) AS c FROM reach GROUP BY id), links AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+   SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+   FROM embeddings JOIN comp ON id = vec_id LEFT JOIN links ON a = vec_id"""
+
+ORACLES: dict[str, str] = {"op2_minhash": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op8_vectors": _OP8_SQL}
