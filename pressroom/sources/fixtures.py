@@ -174,6 +174,3 @@ VIEWS_SQL = {
     "verdicts": VERDICTS_SQL,
 }
 
-
-def with_views(*names: str, sql: str) -> str:
-    return "WITH " + ",\n".join(VIEWS_SQL[name] for name in names) + "\n" + sql

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pressroom import schemas, session
 from pressroom.functions.text import moderation_text
-from pressroom.operators import moderation, topics
+from pressroom.operators import catalogue, moderation, topics
 from pressroom.plans.ingest import ingest
 from pressroom.sources import tables
 from pressroom.streaming import comments as streams
@@ -44,6 +44,23 @@ def test_model_round_trip(spark, tmp_path):
     assert sorted(map(str, loaded.words.collect())) == sorted(map(str, model.words.collect()))
 
 
+def test_stored_tables_are_read_by_schema(spark, tmp_path):
+    """Columns outside the schema are not read, missing ones are NULL."""
+    for name, schema, read in (
+        ("users", schemas.USERS, tables.read_users), ("settings", schemas.SETTINGS, tables.read_settings),
+        ("comments", schemas.COMMENTS, tables.read_comments), ("articles", schemas.ARTICLES, tables.read_articles),
+    ):
+        path = str(tmp_path / name)
+        spark.range(3).selectExpr("'x' AS surplus", f"CAST(NULL AS {schema[0].dataType.simpleString()}) AS {schema[0].name}").write.parquet(path)
+        frame = read(spark, path)
+        assert frame.schema.names == schema.names and frame.count() == 3
+
+
+def test_list_pages_show_the_first_image(spark):
+    rows = spark.createDataFrame([(1, "a.jpg , b.jpg"), (2, ""), (3, None)], "id int, image_urls string")
+    assert [r.image_urls for r in catalogue.list_row(rows).orderBy("id").collect()] == ["a.jpg", "", ""]
+
+
 def test_shared_path_follows_the_setting(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     path = session.shared_path(spark, "x")
