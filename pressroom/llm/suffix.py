@@ -33,8 +33,8 @@ from pressroom.llm.common import attach, fresh, run_ends, settle, ship
 
 WINDOW, GRAM = 100, 32
 GROUP_BYTES = 4 << 20
-MERGE_BYTES = 1 << 20
-SHARDS = 8
+MERGE_BYTES = 1 << 17  # of records merged at once: what fits a processor cache
+SHARDS = 4
 MOST_BITS = 28  # of the bitmap of anchors: 32 MB
 DOCUMENT_BITS = 24  # of the bitmap of documents: 2 MB
 HOT_LEAST, HOT_SHARE = 2_000, 100_000
@@ -164,7 +164,7 @@ class Shard:
         self.order = self._suffix_order(text)
         record = np.repeat(np.arange(m), sizes)
         self.record, self.offset = record[self.order], self.order - starts[record[self.order]]
-        before = raw[self.order - 1].astype(np.int16) + 1
+        before = raw[self.order - 1] + np.uint8(1)  # UTF-8 has no byte 255
         before[self.offset == 0] = 0  # nothing stands before a record
         self.before, self.records = before, m
 
@@ -189,30 +189,29 @@ class Shard:
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all shards (numbered through) in the order of their first ``depth`` bytes, and their blocks.
 
-    Rows with equal blocks have a common prefix of ``depth`` bytes, or are equal and shorter.
+    Each round sorts the rows stably by the byte before them and steps to their left neighbours, which
+    every shard knows from its own transform. Rows with equal blocks have a common prefix of ``depth``
+    bytes, or are equal and shorter.
     """
+    starts = np.concatenate(([0], np.cumsum([len(s.before) for s in shards])))
     before = np.concatenate([s.before for s in shards])
-    shard = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.before) for s in shards])
-    ends = np.repeat(np.arange(len(shards), dtype=np.uint8), [s.records for s in shards])
-    inner = np.empty(len(before), np.int16)
-    block = np.zeros(len(before), np.int32)
-    interleave, left = shard, len(ends)
+    left = np.empty(len(before), np.int32)
+    for shard, start in zip(shards, starts):
+        left[start + np.argsort(shard.before, kind="stable")] = start + np.arange(len(shard.before))
+    ends = np.concatenate([a + np.arange(s.records) for s, a in zip(shards, starts)]).astype(np.int32)
+    n_ends = len(ends)
+    rows, block = np.arange(len(before), dtype=np.int32), np.zeros(len(before), np.int32)
+    border = np.zeros(len(before), bool)
     for _ in range(depth):
-        inner[np.argsort(interleave, kind="stable")] = before
-        order = np.argsort(inner, kind="stable")[left:]  # ends of records come first, in the order of shards
-        byte, old = inner[order], block[order]
-        border = np.empty(len(before), bool)
-        border[:left] = False
-        border[left : left + 1] = True
-        np.not_equal(byte[1:], byte[:-1], out=border[left + 1 :])
-        border[left + 1 :] |= old[1:] != old[:-1]
-        interleave = np.concatenate((ends, interleave[order]))
+        byte = before.take(rows)
+        order = np.argsort(byte, kind="stable")[n_ends:]  # ends of records come first, in the order of shards
+        byte, old = byte.take(order), block.take(order)
+        rows = np.concatenate((ends, left.take(rows.take(order))))
+        border[n_ends : n_ends + 1] = True
+        np.not_equal(byte[1:], byte[:-1], out=border[n_ends + 1 :])
+        border[n_ends + 1 :] |= old[1:] != old[:-1]
         block = np.cumsum(border, dtype=np.int32)
-    rows = np.empty(len(before), np.int64)
-    rows[:] = np.argsort(interleave, kind="stable")
-    placed = np.empty(len(before), np.int64)
-    placed[rows] = np.arange(len(before))  # row number by place
-    return placed, block
+    return rows.astype(np.int64), block
 
 
 def repeated_windows(bodies: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
