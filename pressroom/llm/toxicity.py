@@ -71,7 +71,7 @@ def measure(text: str, lexicon: dict[str, float], beginnings: dict[str, float])
     disguised = [m.lower() for m in _DISGUISED.findall(text)]
     unmasked = sum(p in lexicon and p != d for d in disguised if (p := d.translate(_PLAIN)))
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
-    shouted = sum(w.isupper() and len(w) > 1 for w in text.split()) if upper > n else 0
+    shouted = sum(w.isupper() and len(w) > 1 for w in text.split()) if upper else 0
     marks = text.count("!"), text.count("?"), text.count(".") + text.count(",") + text.count(";") + text.count(":")
     return [
         math.log1p(len(found)), sum(weights) / n, len(at) / n, float(len(at)), float(len({found[i] for i in at})),

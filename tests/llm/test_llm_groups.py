@@ -249,6 +249,13 @@ def test_obfuscation_and_nearness():
     assert toxicity.measure("", {}, {}) == [0.0] * len(names)
 
 
+def test_shouted_words_in_long_text():
+    """Capitals count in every text, not only where they outnumber the words."""
+    text = "calm words here " * 200 + "YOU IDIOT"
+    found = dict(zip(toxicity.FEATURES, toxicity.measure(text, {"idiot": 2.0}, {})))
+    assert found["shouted"] == 2 / 602
+
+
 def test_quality_held_out(spark):
     docs, labels = labelled(spark)
     rows = quality.report(docs, labels).join(labels, "doc_id").where("held_out").collect()
