@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -67,7 +68,10 @@ def measure(text: str, lexicon: dict[str, float], beginnings: dict[str, float])
     weights = [lexicon[found[i]] for i in at]
     starts = [beginnings[b] for w in found if (b := w[:BEGINNING]) in beginnings and len(w) > BEGINNING]
     persons = [i for i, w in enumerate(found) if w in SECOND_PERSON] if at else []
-    near = sum(any(abs(i - p) <= NEAR for p in persons) for i in at) if len(persons) * len(at) < 10_000 else len(at) // 2
+    near = 0
+    for i in at:  # both lists are sorted
+        first = bisect_left(persons, i - NEAR)
+        near += first < len(persons) and persons[first] <= i + NEAR
     disguised = [m.lower() for m in _DISGUISED.findall(text)]
     unmasked = sum(p in lexicon and p != d for d in disguised if (p := d.translate(_PLAIN)))
     upper = sum(map(str.isupper, text)) if not text.islower() else 0

@@ -256,6 +256,20 @@ def test_shouted_words_in_long_text():
     assert found["shouted"] == 2 / 602
 
 
+@pytest.mark.parametrize("size", [50, 600, 6_000])
+def test_nearness_equals_the_double_loop(size):
+    """At every size, also above 10,000 pairs of a hit and a second person."""
+    rng = random.Random(size)
+    found = rng.choices(["idiot", "you", "sie", "word", "other"], [1, 1, 1, 12, 12], k=size)
+    at = [i for i, w in enumerate(found) if w == "idiot"]
+    persons = [i for i, w in enumerate(found) if w in ("you", "sie")]
+    near = sum(any(abs(i - p) <= toxicity.NEAR for p in persons) for i in at)
+    got = dict(zip(toxicity.FEATURES, toxicity.measure(" ".join(found), {"idiot": 2.0}, {})))
+    assert got["hits"] == len(at) and got["near_share"] == near / max(1, len(at))
+    far = "idiot " * 100 + "word " * 10 + "you " * 100
+    assert toxicity.measure(far, {"idiot": 2.0}, {})[toxicity.FEATURES.index("near_share")] == 0
+
+
 def test_quality_held_out(spark):
     docs, labels = labelled(spark)
     rows = quality.report(docs, labels).join(labels, "doc_id").where("held_out").collect()
