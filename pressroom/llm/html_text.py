@@ -1,8 +1,8 @@
 """Main text of HTML pages by consensus of each host.
 
 1. Each page is read into a light tree of its block elements. Starting at the root, the search goes
-   down as long as one child holds nearly all text outside menus, adverts and the like; where it stops is
-   the page's own container. Its path - tags with classes, numbers generalised - is a vote.
+   down as long as one child holds all text outside menus, adverts and the like, and not below an article
+   or main element; where it stops is the page's own container. Its path - tags with classes, numbers generalised - is a vote.
 2. Votes are counted per host in Spark (pages, then characters, then the path itself).
 3. Every page is read again, and the text is taken from the elements on the host's winning path; a page
    without such an element uses its own container.
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 from pressroom.llm.common import attach, fresh, settle
 
-SHARE = 0.8
-
 # Fixed names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp svg math template select".split())
@@ -64,6 +62,7 @@ class Element:
     away: bool
     header: bool
     size: int = 0  # characters outside links, of all blocks below that are not away
+    full: int = 0  # characters of these blocks, links included
     children: list[Element] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (place in the page, text)
 
@@ -102,6 +101,7 @@ def read(page: str) -> Element:
                 place += 1
                 while here is not None and not here.away:
                     here.size += plain
+                    here.full += len(text)
                     here = here.parent
         words, plain = [], 0
 
@@ -187,15 +187,16 @@ def read(page: str) -> Element:
 
 
 def own_container(root: Element) -> Element | None:
-    """Deepest element that holds nearly all of the text; None for a page without text."""
-    if not root.size:
+    """Deepest element that holds all of the text, article and main at most; None for a page without text."""
+    if not root.full:
         return None
     here = root
-    while True:
-        best = max((c for c in here.children if not c.away), key=lambda c: c.size, default=None)
-        if best is None or best.size < SHARE * here.size or best.tag in ("p", "li", "td", "th", "tr", "dd", "dt", "pre", "blockquote"):
-            return here
-        here = best
+    while here.tag not in ("article", "main") and not here.blocks:
+        inner = [c for c in here.children if c.full and not c.away]
+        if len(inner) != 1 or inner[0].tag in ("p", "li", "td", "th", "tr", "dd", "dt", "pre", "blockquote"):
+            break
+        here = inner[0]
+    return here
 
 
 def on_path(root: Element, path: str) -> list[Element]:
@@ -234,7 +235,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
         paths, sizes = [], []
         for page in column.to_pylist():
             best = own_container(read(page or ""))
-            paths.append(best.path if best else None)
+            paths.append(best.path if best and best.size else None)
             sizes.append(best.size if best else 0)
         return {"path": paths, "size": sizes}
 

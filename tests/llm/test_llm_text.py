@@ -256,6 +256,24 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+WHOLE = [
+    ("http://c.org/1", "<body><nav>menu</nav><article><h1>Head</h1><p>lead</p><div class=body><p>" + "long text " * 50 + "</p></div></article></body>"),
+    ("http://d.org/1", "<body><article><section class=a><p>" + "one " * 85 + "</p></section><section class=b><p>" + "two " * 15 + "</p></section></article></body>"),
+    ("http://e.org/1", "<body><div class=page><h2>Head</h2><div class=body><p>" + "long text " * 50 + "</p></div><p><a href=/x>see also</a></p></div><footer>foot</footer></body>"),
+    ("http://f.org/1", "<body><main><div class=body><p>only a body</p></div></main></body>"),
+    ("http://f.org/2", "<body><main><div class=body><p>another body</p></div></main></body>"),
+    ("http://f.org/3", "<body><main><h1>Head</h1><p>lead</p><div class=body><p>third body</p></div></main></body>"),
+]
+
+
+def test_html_keeps_what_stands_beside_the_body(spark):
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(WHOLE)], "page_id bigint, url string, html string")
+    text = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    long = ("long text " * 50).strip()
+    assert text[0] == f"Head\nlead\n{long}" and text[1] == f"{('one ' * 85).strip()}\n{('two ' * 15).strip()}"
+    assert text[2] == f"Head\n{long}\nsee also" and text[5] == "Head\nlead\nthird body"
+
+
 def test_html_template_of_the_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
