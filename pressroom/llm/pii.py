@@ -9,7 +9,8 @@ spans whose belief is above ``BELIEF`` become further spans.
 
 The field is trained in pieces: token features, neighbour pairs and skip pairs are counted in a
 bounded sample of documents labelled by the patterns (``SAMPLE_DOCUMENTS``, in the order of a hash of
-the id). Scoring is one pass without a shuffle; a slice of documents is one graph for the arithmetic.
+the id). Scoring is one pass without a shuffle over every document with such a token; some documents
+together are one graph for the arithmetic.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ ROUNDS = 12
 DAMPING = 0.3
 FEATURE_SCALE = 0.5
 LEAST_COUNT = 3
+MOST_NODES = 50_000  # of one graph, if it holds more than one text
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -207,14 +209,20 @@ class Field:
         return total / total.sum(axis=1, keepdims=True)
 
     def add(self, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
-        """Further spans of each text. Only texts with a token outside base spans need the field."""
+        """Further spans of each text. Only texts with a token outside base spans need the field.
+
+        Texts are independent; some are put into one graph, up to ``MOST_NODES`` tokens, for the arithmetic.
+        """
         added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         nodes: list[tuple[int, Token]] = []
         unary, edges = [], []
         for row, (text, base) in enumerate(zip(texts, bases)):
-            found = tokens(text, base) if base else []
+            found = tokens(text, base)
             if all(token.label for token in found):
                 continue
+            if len(nodes) + len(found) > MOST_NODES:
+                self._decide(nodes, unary, edges, added)
+                nodes, unary, edges = [], [], []
             edges += _edges(found, len(nodes))
             for token in found:
                 nodes.append((row, token))
@@ -224,14 +232,19 @@ class Field:
                 else:
                     score = self.prior + sum(self.weights.get(f, 0.0) for f in _features(text, token))
                 unary.append(score)
-        if nodes:
-            belief = self.beliefs(np.array(unary), np.array(edges, np.int64).reshape(-1, 3))
-            best = belief[:, 1:].argmax(axis=1) + 1
-            for (row, token), label, row_belief in zip(nodes, best.tolist(), belief):
-                if not token.label and row_belief[label] > BELIEF:
-                    added[row].append((LABELS[label], token.start, token.end))
+        self._decide(nodes, unary, edges, added)
         return added
 
+    def _decide(self, nodes: list, unary: list, edges: list, added: list) -> None:
+        """Put the spans of whole texts into ``added``."""
+        if not nodes:
+            return
+        belief = self.beliefs(np.array(unary), np.array(edges, np.int64).reshape(-1, 3))
+        best = belief[:, 1:].argmax(axis=1) + 1
+        for (row, token), label, row_belief in zip(nodes, best.tolist(), belief):
+            if not token.label and row_belief[label] > BELIEF:
+                added[row].append((LABELS[label], token.start, token.end))
+
 
 def fit(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field:
     """Count the pieces of the field in a bounded sample of documents (doc_id, text)."""

@@ -198,6 +198,17 @@ def test_field_spreads_labels_over_distance():
     assert added[0] == [("phone", text.rindex("555"), text.rindex("555") + 8)] and added[1] == []
 
 
+def test_field_needs_no_base_match():
+    """An unrelated match elsewhere in the document does not change the result of a token."""
+    counts = {("", 0, -1): 50, ("", 4, -1): 50, ("bcall", 4, -1): 400, ("s000-0000", 4, -1): 400}
+    for kind in range(3):
+        counts.update({(str(kind), 4, 4): 60, (str(kind), 0, 0): 60, (str(kind), 0, 4): 2})
+    text = "please call 555-7713 or wait"
+    other = f"{text} {'and then ' * 40} write to me@x.org"
+    added = pii.Field.from_counts(counts).add([text, other, "no token"], [pii.base_spans(t) for t in (text, other, "no token")])
+    assert added == [[("phone", 12, 20)], [("phone", 12, 20)], []]
+
+
 def test_licences(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     full = next(t for n, t in licences.TEMPLATES if n == "ISC")
