@@ -209,6 +209,45 @@ def test_field_needs_no_base_match():
     assert added == [[("phone", 12, 20)], [("phone", 12, 20)], []]
 
 
+def settled(field, unary, edges, rounds):
+    """Plain sum-product with very many rounds."""
+    import numpy as np
+
+    links = [(a, b, k) for a, b, k in edges] + [(b, a, k) for a, b, k in edges]
+    sent = {link: np.ones(unary.shape[1]) for link in links}
+    into = {i: [link for link in links if link[1] == i] for i in range(len(unary))}
+    for _ in range(rounds):
+        new = {}
+        for a, b, k in links:
+            out = np.exp(unary[a])
+            for link in into[a]:
+                if link != (b, a, k):
+                    out = out * sent[link] / sent[link].sum()
+            out = out @ np.exp(field.pairs[k])
+            new[a, b, k] = out / out.sum()
+        sent = new
+    rows = [np.exp(u) * np.prod([sent[link] for link in into[i]], axis=0) for i, u in enumerate(unary)]
+    return np.array([row / row.sum() for row in rows])
+
+
+@pytest.mark.parametrize("repeats, strength", [(30, 60), (30, 5_000), (150, 5_000)])
+def test_field_settles_over_many_repeats(repeats, strength):
+    import numpy as np
+
+    counts = {("", label, -1): 50 for label in range(5)}
+    counts |= {(str(kind), a, b): strength if a == b else 2 for kind in range(3) for a in range(5) for b in range(a, 5)}
+    field = pii.Field.from_counts(counts)
+    text = "ring +1 (017) 555-7713 today " + "and ask 555-7713 again " * repeats
+    found = pii.tokens(text, pii.base_spans(text))
+    edges = pii._edges(found)
+    unary = np.array([np.where(np.arange(5) == t.label, 0.0, -30.0) if t.label else field.prior for t in found])
+    got = field.beliefs(unary, np.array(edges))
+    assert np.abs(got - settled(field, unary, edges, 2 * repeats + 20)).max() < 1e-4
+    more = np.array(edges + [(a + len(found), b + len(found), k) for a, b, k in edges[:2]])
+    owner = np.array([0] * len(found) + [1] * len(found))
+    assert np.array_equal(field.beliefs(np.concatenate((unary, unary)), more, owner)[: len(found)], got), "slices do not matter"
+
+
 def test_licences(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     full = next(t for n, t in licences.TEMPLATES if n == "ISC")
