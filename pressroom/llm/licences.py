@@ -3,8 +3,9 @@
 Text and templates are normalised to lower-case runs of ASCII letters and digits. For each template the
 windows of its length are compared (the whole text, if that is shorter). Two bounds prune first: a Dice
 coefficient of at least ``t`` needs a text of at least t/(2-t) of the template's bigrams, and as many
-bigrams in common as t/2 times both sizes. Of overlapping matches the best stays. One pass over the
-whole texts, no shuffle; the templates are a fixed list and travel with the code.
+bigrams in common as t/2 times both sizes. Of overlapping matches the best stays; one with a sentence that
+several licences share gives way to one with the clauses that tell them apart. One pass over the whole
+texts, no shuffle; the templates are a fixed list and travel with the code.
 """
 
 from __future__ import annotations
@@ -21,6 +22,24 @@ from pressroom.llm.common import attach
 
 THRESHOLD = 0.8
 
+_GNU = (
+    "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+_GNU_KINDS = (
+    ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.0", "Library General", "2"), ("LGPL-2.1", "Lesser General", "2.1"),
+    ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"),
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+)
+
 # Customary notices of public licences.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -39,10 +58,14 @@ TEMPLATES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    *((name, _GNU.format(work, kind, version)) for name, kind, version in _GNU_KINDS for work in ("program", "library")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
                 "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
                      "that the following conditions are met:"),
+    ("BSD-2-Clause", _BSD + _DISCLAIMER),
+    ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission. " + _DISCLAIMER),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
             "granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -70,6 +93,7 @@ class Template:
     name: str
     bigrams: Counter
     size: int
+    shared: bool = False  # all of it also stands in the longer notice of another licence
 
 
 class Scanner:
@@ -84,6 +108,8 @@ class Scanner:
             if len(ids) > 1:
                 codes = [a * self.base + b for a, b in zip(ids, ids[1:])]
                 self.templates.append(Template(name, Counter(codes), len(codes)))
+        for t in self.templates:
+            t.shared = any(o.name != t.name and o.size > t.size and not t.bigrams - o.bigrams for o in self.templates)
         self.known = np.array(sorted({c for t in self.templates for c in t.bigrams}), np.int64)
         self.holds = np.array([[c in t.bigrams for t in self.templates] for c in self.known.tolist()], bool)
 
@@ -112,10 +138,10 @@ class Scanner:
             for start in starts[inside >= need].tolist():
                 value = dice(Counter(codes[start : start + size].tolist()), template.bigrams)
                 if value >= self.threshold:
-                    matches.append((-value, -template.size, start, start + size + 1, template.name))
+                    matches.append((template.shared, -value, -template.size, start, start + size + 1, template.name))
         kept: list[tuple[str, float, int, int]] = []
         taken = np.zeros(len(ids), bool)
-        for value, _, start, end, name in sorted(matches):
+        for _, value, _, start, end, name in sorted(matches):
             if not taken[start:end].any():
                 taken[start:end] = True
                 kept.append((name, -value, start, end))

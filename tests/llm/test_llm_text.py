@@ -260,6 +260,42 @@ def test_licences(spark):
     assert licences.report(docs.limit(0)).count() == 0
 
 
+GNU = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+BSD = (
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    "{}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+    "{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution.\n"
+)
+THIRD = "{}Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+AS_IS = 'THIS SOFTWARE IS PROVIDED BY {} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+HOLDERS = "THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+
+
+@pytest.mark.parametrize("work", ["program", "library", "file"])
+def test_gnu_notices_and_their_neighbours(work):
+    scanner = licences.Scanner(licences.TEMPLATES, licences.THRESHOLD)
+    for name, kind, version in (
+        ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3"),
+        ("LGPL-2.0", "Library General Public License", "2"), ("LGPL-2.1", "Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "Lesser General Public License", "3"),
+    ):
+        notice = GNU.format(work, ":", kind, ",", version)
+        for text in (notice, f"some prose before {notice} and some prose after it"):
+            assert [m[0] for m in scanner.scan(text)] == [name], (name, work)
+
+
+@pytest.mark.parametrize("marks", [("1. ", "2. ", "3. "), ("* ", "* ", "* ")])
+@pytest.mark.parametrize("who", [HOLDERS, "THE AUTHOR"])
+def test_bsd_notices_and_their_neighbours(marks, who):
+    scanner = licences.Scanner(licences.TEMPLATES, licences.THRESHOLD)
+    two, end = BSD.format(*marks[:2]), AS_IS.format(who)
+    assert [m[0] for m in scanner.scan(f"prose {two}{end}")] == ["BSD-2-Clause"]
+    for holder in ("the copyright holder", "the University"):
+        assert [m[0] for m in scanner.scan(f"prose {two}{THIRD.format(marks[2], holder)}{end}")] == ["BSD-3-Clause"]
+    assert [m[0] for m in scanner.scan(two + end + " " + two + THIRD.format(marks[2], "it") + end)] == ["BSD-2-Clause", "BSD-3-Clause"]
+
+
 def brute_licences(text, threshold):
     """Every window of every template's length."""
     words, best = licences.normal_words(text), 0.0
