@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pressroom.llm import bpe, decontaminate, html_text, licences, minhash, pii, quality, suffix, toxicity, vectors
+from pressroom.llm import bpe, decontaminate, html_text, licences, minhash, pii, quality, search, suffix, toxicity, vectors
 from pressroom.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -56,6 +56,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash": op2_minhash,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_vectors": op8_vectors,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op13_search": op13_search,
 }
 
 # SQL twins, where SQL can tell the result and is quick enough on whole tables. All others are tested
@@ -108,4 +113,19 @@ _OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS
    SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
    FROM embeddings JOIN comp ON id = vec_id LEFT JOIN links ON a = vec_id"""
 
-ORACLES: dict[str, str] = {"op2_minhash": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op8_vectors": _OP8_SQL}
+_OP13_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+   whole AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+   total AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM whole),
+   m AS (SELECT doc_id, 75 + (25 * n * nn) // ll AS m FROM whole, total),
+   tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+   wt AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS wt
+          FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+   i AS (SELECT item_id, term, count(*) AS k
+         FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM benchmark) GROUP BY ALL),
+   s AS (SELECT item_id, doc_id, CAST(sum(k * wt * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+         FROM i JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+   r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+         FROM s WHERE score > 0)
+   SELECT * FROM r WHERE rank <= 20"""
+
+ORACLES: dict[str, str] = {"op2_minhash": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op8_vectors": _OP8_SQL, "op13_search": _OP13_SQL}
