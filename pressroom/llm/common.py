@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from pressroom.session import settle, ship
+from pressroom.session import settle, shared_path, ship
 
-__all__ = ["settle", "ship", "table", "attach", "fresh", "connected_components", "run_ends"]
+__all__ = ["settle", "ship", "table", "attach", "fresh", "connected_components", "run_ends", "scratch_folder"]
 
 SLICE_BYTES = 16 << 20
 SLICE_ROWS = 5_000
@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the settled tables, for files; it goes when they go."""
+    path = shared_path(spark, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or that name with underscores in front if ``df`` has such a column (in any case)."""
     taken = {column.lower() for column in df.columns}

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pressroom.llm import bpe, decontaminate, html_text, licences, minhash, pii, quality, search, suffix, toxicity, vectors
-from pressroom.llm.common import table
+from pressroom.llm import bpe, decontaminate, html_text, idfiles, licences, minhash, phrases, pii, quality, search, suffix, toxicity, vectors
+from pressroom.llm.common import scratch_folder, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +59,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "id-files")
+    keys = idfiles.write(table(spark, sf_dir, "documents"), folder, WORD_TOKENIZER, END_ID)
+    return idfiles.read(spark, folder, keys).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +84,8 @@ QUERIES = {
     "op8_vectors": op8_vectors,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_id_files": op11_id_files,
+    "op12_phrases": op12_phrases,
     "op13_search": op13_search,
 }
 
@@ -113,6 +128,28 @@ _OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS
    SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
    FROM embeddings JOIN comp ON id = vec_id LEFT JOIN links ON a = vec_id"""
 
+_OP12_SQL = rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+   w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+   total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+   spots AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) > 0),
+   runs AS (SELECT lang, w[i:i + 3] AS run FROM spots),
+   f AS (SELECT lang, size, phrase, count(*) AS n
+         FROM (SELECT lang, size, array_to_string(run[1:size], ' ') AS phrase FROM runs, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(run) >= size)
+         GROUP BY ALL HAVING count(*) >= 30),
+   c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+   cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y
+            FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c)),
+   scored AS (SELECT cuts.lang, cuts.phrase, a, k, l.n AS l, r.n AS r, CAST((2000000::HUGEINT * a) // (l.n + r.n) AS BIGINT) AS score
+              FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+   cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+   inside AS (SELECT lang, phrase, max(a) AS longer
+              FROM (SELECT lang, a, array_to_string(ws[i:i + size_ - 1], ' ') AS phrase
+                    FROM (SELECT *, unnest(generate_series(1, size - size_ + 1)) AS i FROM c, (SELECT unnest([2, 3]) AS size_) WHERE size_ < size))
+              GROUP BY ALL),
+   kept AS (SELECT cut.* FROM cut LEFT JOIN inside i ON i.lang = cut.lang AND i.phrase = cut.phrase WHERE longer IS NULL OR 100 * longer < 80 * a),
+   ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+   SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
 _OP13_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
    whole AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
    total AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM whole),
@@ -128,4 +165,4 @@ _OP13_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z
          FROM s WHERE score > 0)
    SELECT * FROM r WHERE rank <= 20"""
 
-ORACLES: dict[str, str] = {"op2_minhash": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op8_vectors": _OP8_SQL, "op13_search": _OP13_SQL}
+ORACLES: dict[str, str] = {"op2_minhash": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op8_vectors": _OP8_SQL, "op12_phrases": _OP12_SQL, "op13_search": _OP13_SQL}
