@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pressroom.functions.text import STOPWORDS, is_vocabulary_word, serving_words, training_words
 from pressroom.operators.ranking import with_rank
+from pressroom.operators.wordcounts import count_words
 from pressroom.session import settle, spread
 
 # A word table of up to this many numbers (words x classes) is broadcast. Beyond it only words
@@ -77,9 +78,14 @@ def count_vectors(
     terms: DataFrame,
     words: Callable[[Column], Column] = training_words,
 ) -> DataFrame:
-    """Sparse count vectors over a vocabulary: (document, term, n)."""
-    counted = bag_of_words(docs, text, (key,), words).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(terms.select("term"), "term", "left_semi")
+    """Sparse count vectors over a vocabulary: (document, term, n).
+
+    The words of a document are counted in its row, so nothing is shuffled before the look-up.
+    """
+    counted = count_words(spread(docs.select(key, text)), [key], words(F.col(text)))
+    pairs = counted.select(key, F.explode(F.arrays_zip("terms", "counts")).alias("pair"))
+    found = pairs.select(key, F.col("pair.terms").alias("term"), F.col("pair.counts").cast("bigint").alias("n"))
+    return found.join(terms.select("term"), "term", "left_semi")
 
 
 def split_by_id(docs: DataFrame, key: str, folds: int = 5) -> tuple[DataFrame, DataFrame]:

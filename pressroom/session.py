@@ -8,7 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,8 +96,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def settle(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once to the shared folder, in a folder for each value of ``by``, and read it back.
 
     Cuts the lineage at a durable table: a lost executor re-reads files instead of recomputing
     a non-deterministic or expensive plan, and later scans see real sizes and pruned columns.
@@ -105,7 +105,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").partitionBy(*by).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
