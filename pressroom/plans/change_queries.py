@@ -287,19 +287,33 @@ def r1(spark, folder):
     return streams.read_decisions(spark, sink).select("id", "label", "decision", "reason")
 
 
-@query(
-    "r2_title_stream",
-    """SELECT DISTINCT substring(title, 1, 500) AS title FROM articles WHERE status = 'Pending'
-       AND substring(title, 1, 500) NOT IN (SELECT substring(title, 1, 500) FROM articles WHERE status <> 'Pending')""",
-    "articles",
-)
-def r2(spark, folder):
-    """Four files, one micro-batch each; dates are mixed over the files."""
-    path, out = shared_path(spark, "incoming-articles"), shared_path(spark, "new-titles")
+R2_SQL = """SELECT DISTINCT substring(title, 1, 500) AS title FROM articles WHERE status = 'Pending'
+       AND substring(title, 1, 500) NOT IN (SELECT substring(title, 1, 500) FROM articles WHERE status <> 'Pending')"""
+
+
+def _title_stream(spark, folder):
+    """Pending articles in four files, one micro-batch each, with dates mixed over the files; and the others."""
+    path = shared_path(spark, "incoming-articles")
     articles = fx.articles(spark, folder).select("article_id", "title", "date_posted", "status")
     pending = articles.filter("status = 'Pending'").drop("status")
     pending.repartition(4, "article_id").write.parquet(path)
     incoming = spark.readStream.schema(pending.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    stored = articles.filter("status <> 'Pending'")
+    return incoming, articles.filter("status <> 'Pending'")
+
+
+@query("r2_title_stream", R2_SQL, "articles")
+def r2(spark, folder):
+    incoming, stored = _title_stream(spark, folder)
+    out = shared_path(spark, "new-titles")
     streams.keep_new_titles(incoming, stored, out, shared_path(spark, "offsets"), ["article_id"]).awaitTermination()
     return spark.read.parquet(out).select("title")
+
+
+@query("r2_title_stream_within", R2_SQL, "articles")
+def r2_within(spark, folder):
+    """The bounded form, with a horizon beyond all dates of the table."""
+    incoming, stored = _title_stream(spark, folder)
+    out = shared_path(spark, "new-titles")
+    dated = incoming.withColumn("date_posted", F.coalesce("date_posted", F.lit(NOW).cast("timestamp")))
+    streams.keep_new_titles_within(dated, stored, out, shared_path(spark, "offsets"), "date_posted", "36500 days").awaitTermination()
+    return spark.read.parquet(out).select("title")

@@ -1,4 +1,4 @@
-"""Comment moderation and title checks as streams. The plans are those of the batch operators."""
+"""Comment moderation and title checks as streams: the batch rules behind a keyed state."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pressroom.functions.text import TOXIC_KEYWORDS
-from pressroom.operators.dedupe import drop_known_titles
+from pressroom.operators.dedupe import TITLE_LIMIT
 from pressroom.operators.moderation import moderate
-from pressroom.operators.ranking import first_per_key
+from pressroom.streaming.state import first_of_key, is_new
 
 STREAMED_COMMENT = (
     "id BIGINT, article_id STRING, user_id BIGINT, parent_id BIGINT, content STRING, created_at TIMESTAMP"
@@ -34,13 +34,18 @@ def moderate_stream(
     keywords: Sequence[str] = TOXIC_KEYWORDS,
     key: str = "id",
 ) -> StreamingQuery:
-    """Decide each micro-batch and write it to its own folder, one sub-folder per decision.
+    """Decide each comment once and write it to the folder of its micro-batch, one sub-folder per decision.
 
-    A batch that is run again after a failure overwrites its own folder, so nothing is doubled. The
-    folder also names the run, a hash of the checkpoint's path: a new checkpoint over an old sink
-    counts its batches from zero again and must not overwrite earlier decisions.
+    A comment that is delivered again, in the same or a later micro-batch, is dropped before it is decided
+    (``state.first_of_key``), so the sink holds one row of each. A batch that is run again after a failure
+    overwrites its own folder. The folder also names the run, a hash of the checkpoint's path: a new
+    checkpoint over an old sink counts its batches from zero again and must not overwrite earlier decisions,
+    and it starts with the comments that the sink holds as its state.
     """
+    spark = incoming.sparkSession
     run = run_id(checkpoint)
+    decided = _written(spark, sink, run, checkpoint, key, incoming.schema[key].dataType.simpleString())
+    fresh = first_of_key(incoming, key, ["created_at"], decided)
 
     def decide(batch: DataFrame, number: int) -> None:
         decided = moderate(batch, scores, keywords, key)
@@ -49,18 +54,17 @@ def moderate_stream(
         ).write.mode("overwrite").partitionBy("decision").parquet(f"{sink}/run={run}/batch={number}")
 
     return (
-        incoming.writeStream.foreachBatch(decide)
+        fresh.writeStream.foreachBatch(decide)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def read_decisions(spark: SparkSession, sink: str, key: str = "id") -> DataFrame:
-    """One decision per comment: a comment that was delivered twice counts by its first batch."""
+def read_decisions(spark: SparkSession, sink: str) -> DataFrame:
+    """One decision per comment, as they stand in the sink."""
     rows = spark.read.parquet(sink)
-    firsts = first_per_key(rows, [key], ["batch", "run", "created_at"])
-    return firsts.drop("batch", "run").withColumn("decision", F.nullif(F.col("decision"), F.lit("none")))
+    return rows.drop("batch", "run").withColumn("decision", F.nullif(F.col("decision"), F.lit("none")))
 
 
 def keep_new_titles(
@@ -68,38 +72,67 @@ def keep_new_titles(
 ) -> StreamingQuery:
     """Write the rows whose title is neither stored nor in the sink; the first of a batch wins.
 
-    Each micro-batch goes through the batch rule, against the stored titles and those that earlier
-    batches have written: nothing is late, and rows without a title stay, as in a batch. A batch that
-    is run again leaves its own folder out and overwrites it.
+    Titles, cut as they are stored, are the keys of a state store that starts with those of ``stored`` and of
+    earlier runs' sinks: nothing is late or forgotten, rows without a title stay, as in a batch, and a batch
+    reads nothing that was written before. A batch that is run again overwrites its own folder.
     """
-    spark = stored.sparkSession
+    spark = incoming.sparkSession
     run = run_id(checkpoint)
-    titles = stored.select("title")
+    cut = F.substring("title", 1, TITLE_LIMIT)
+    known = _written(spark, sink, run, checkpoint, "title", "string").select(cut.alias("_title"))
+    if is_new(spark, checkpoint):
+        known = known.unionByName(stored.select(cut.alias("_title")))
+    fresh = first_of_key(incoming.withColumn("_title", cut), "_title", order, known).drop("_title")
 
     def keep(batch: DataFrame, number: int) -> None:
-        known = titles
-        if earlier := _other_batches(spark, sink, run, number):
-            known = known.unionByName(spark.read.schema("title STRING").option("basePath", sink).parquet(*earlier).select("title"))
-        drop_known_titles(batch, known, list(order)).write.mode("overwrite").parquet(f"{sink}/run={run}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{sink}/run={run}/batch={number}")
 
     return (
-        incoming.writeStream.foreachBatch(keep)
+        fresh.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def keep_new_titles_within(
+    incoming: DataFrame, stored: DataFrame, sink: str, checkpoint: str, event_time: str, horizon: str
+) -> StreamingQuery:
+    """``keep_new_titles`` with a bounded state: a title is forgotten when the event time has moved on by
+    ``horizon`` (``"30 days"``) from its first row; rows that are later than that are dropped.
+
+    Of the rows of one title within the horizon one stays, whichever comes first. Stored titles are joined
+    to each micro-batch. Rows without a title all stay; ``event_time`` must not be NULL.
+    """
+    cut = F.substring("title", 1, TITLE_LIMIT)
+    known = stored.select(cut.alias("_title")).distinct()
+    keyed = incoming.withColumn("_title", cut).withWatermark(event_time, horizon)
+    firsts = keyed.filter("_title is not null").dropDuplicatesWithinWatermark(["_title"]).join(known, "_title", "left_anti")
+    fresh = firsts.unionByName(keyed.filter("_title is null")).drop("_title")
+    return write_stream_table(fresh.select(*incoming.columns), sink, checkpoint)
+
+
 def run_id(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
 
-def _other_batches(spark: SparkSession, sink: str, run: str, number: int) -> list[str]:
-    """Batch folders in the sink, without that of the given batch; found through the sink's file system."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/run=*/batch=*")
+def _written(spark: SparkSession, sink: str, run: str, checkpoint: str, column: str, kind: str) -> DataFrame:
+    """The column of what other runs have written, as the state that a new checkpoint starts with.
+
+    An older checkpoint has its state. This run's own folders are left out: its first batch may have failed
+    after it had written, and then comes again.
+    """
+    paths = _other_runs(spark, sink, run) if is_new(spark, checkpoint) else []
+    if not paths:
+        return spark.createDataFrame([], f"{column} {kind}")
+    return spark.read.schema(f"{column} {kind}").option("basePath", sink).parquet(*paths).select(column)
+
+
+def _other_runs(spark: SparkSession, sink: str, run: str) -> list[str]:
+    """Folders of other runs in the sink; found through the sink's file system."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/run=*")
     found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    paths = [str(status.getPath()) for status in found]
-    return [path for path in paths if not path.endswith(f"/run={run}/batch={number}")]
+    return [path for status in found if not (path := str(status.getPath())).endswith(f"/run={run}")]
 
 
 def write_stream_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

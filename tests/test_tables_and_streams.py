@@ -84,7 +84,9 @@ def test_moderation_stream_equals_batch_and_ignores_redelivery(spark, tmp_path):
         tables.write_comment_days(comment_frame(spark, rows), inbox)
         incoming = streams.read_comment_stream(spark, inbox)
         streams.moderate_stream(incoming, scores, sink, offsets).awaitTermination()
-    got = {r.id: (r.label, r.decision, r.reason) for r in streams.read_decisions(spark, sink).collect()}
+    rows = streams.read_decisions(spark, sink).collect()
+    assert len(rows) == len(COMMENTS) == spark.read.parquet(sink).count(), "a comment is in the sink once"
+    got = {r.id: (r.label, r.decision, r.reason) for r in rows}
     batch = moderation.moderate(comment_frame(spark, COMMENTS), scores)
     assert got == {r.id: (r.label, r.decision, r.reason) for r in batch.collect()}
     assert got[0][1] == "approve" and got[1][1] == got[4][1] == "reject" and got[2][1] is None
@@ -123,6 +125,57 @@ def test_title_stream_loses_nothing(spark, tmp_path):
     assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 3, 4, 6, 8, 9, 12]
 
 
+def title_rows(spark, rows):
+    frame = spark.createDataFrame(rows, "title string, t int, n int")
+    return frame.select("title", F.timestamp_seconds("t").alias("date_posted"), "n")
+
+
+def test_title_stream_reads_nothing_that_it_has_written(spark, tmp_path):
+    """Earlier output may even be gone: what was seen stands in the state store."""
+    inbox, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
+    stored = spark.createDataFrame([("known",)], "title string")
+    kept = []
+    for number, rows in enumerate(([("a", 1, 1), ("a", 2, 0)], [("a", 3, 2), ("b", 3, 3)], [("b", 1, 4), ("known", 1, 5), ("c", 1, 6)])):
+        title_rows(spark, rows).write.mode("append").parquet(inbox)
+        incoming = spark.readStream.schema("title string, date_posted timestamp, n int").parquet(inbox)
+        # Stored titles are the state of a new checkpoint only.
+        streams.keep_new_titles(incoming, stored if number == 0 else stored.limit(0), out, offsets, ["n"]).awaitTermination()
+        kept += [r.n for r in spark.read.schema(incoming.schema).parquet(out).collect()]
+        for folder in (tmp_path / "out").glob("run=*/batch=*"):
+            folder.rename(tmp_path / f"moved-{number}")
+    assert sorted(kept) == [0, 3, 6]
+
+
+def test_first_batch_again_after_a_failure(spark, tmp_path):
+    """The first batch has written, but was not committed: it comes again and must not see itself."""
+    inbox, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
+    title_rows(spark, [("a", 1, 1), ("known", 2, 2)]).write.parquet(inbox)
+    stored = spark.createDataFrame([("known",)], "title string")
+    run = lambda: streams.keep_new_titles(
+        spark.readStream.schema("title string, date_posted timestamp, n int").parquet(inbox), stored, out, offsets, ["n"]
+    ).awaitTermination()
+    run()
+    for name in ("0", ".0.crc"):
+        (tmp_path / "offsets" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert [r.n for r in spark.read.parquet(out).collect()] == [1]
+
+
+def test_bounded_title_stream_forgets(spark, tmp_path):
+    inbox, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
+    stored = spark.createDataFrame([("known",), (None,)], "title string")
+    batches = [
+        [("a", 100, 1), ("known", 100, 2), (None, 100, 3), (None, 100, 4)],
+        [("a", 105, 5), ("b", 130, 6)],  # within ten seconds: dropped
+        [("a", 131, 7), ("b", 125, 8), ("c", 1, 9)],  # a is forgotten, c too late
+    ]
+    for rows in batches:
+        title_rows(spark, rows).write.mode("append").parquet(inbox)
+        incoming = spark.readStream.schema("title string, date_posted timestamp, n int").parquet(inbox)
+        streams.keep_new_titles_within(incoming, stored, out, offsets, "date_posted", "10 seconds").awaitTermination()
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 3, 4, 6, 7]
+
+
 def test_scratch_tables_go_with_their_scope(spark):
     from pressroom import session
 
