@@ -201,6 +201,22 @@ def monthly_totals(articles: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def monthly_report(articles: DataFrame, users: DataFrame) -> DataFrame:
+    """Both monthly reports with their grand totals, in one pass: report, month, count, is_total.
+
+    The total of a report is the row without a month. Undated rows are left out.
+    """
+    rows = [
+        df.filter(F.col(date).isNotNull()).select(F.lit(name).alias("report"), F.date_format(date, "yyyy-MM").alias("month"))
+        for name, df, date in (("articles", articles, "date_posted"), ("users", users, "registration_date"))
+    ]
+    grouped = rows[0].unionByName(rows[1]).rollup("report", "month").agg(
+        F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_level")
+    )
+    # Levels: 0 a month, 1 a report, 3 all reports together, which means nothing.
+    return grouped.filter("_level < 3").select("report", "month", "count", (F.col("_level") == 1).alias("is_total"))
+
+
 def latest_contents(articles: DataFrame, limit: int | None = None) -> DataFrame:
     """Contents of the newest ``limit`` articles, or of all of them."""
     return (newest(articles, limit) if limit else articles).select("article_id", "content")

@@ -112,6 +112,12 @@ def fit(
         F.count(F.lit(1)).alias("total"),
         F.array(*[F.count_if(F.col(label) == name) for name in labels]).alias("n"),
     )
+    return _finished(found, counted, cutoff, stopwords)
+
+
+def _finished(found: list[tuple[str, int]], counted: DataFrame, cutoff: int, stopwords: Sequence[str]) -> TopicModel:
+    """Model from classes (name, documents) and counted words (term, total, n in class order)."""
+    labels = tuple(name for name, _ in found)
     words = settle(counted.filter(F.col("total") >= cutoff), "topic-words")
     totals = words.agg(
         F.count(F.lit(1)), *[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(len(labels))]
@@ -119,6 +125,32 @@ def fit(
     return TopicModel(labels, tuple(n for _, n in found), tuple(totals[1:]), totals[0], words, tuple(stopwords))
 
 
+def add_to_counts(
+    docs: DataFrame, text: str, label: str, path: str, batch: str, stopwords: Sequence[str] = STOPWORDS
+) -> None:
+    """Add the word and class counts of a batch of documents to the stored counts, for ``merged_model``.
+
+    Only the batch is read. It has folders of its own, so storing it again replaces it; counts are sums,
+    so the order of batches does not matter. No cutoff is applied here: a word may grow past it later.
+    """
+    known = docs.filter(F.col(label).isNotNull())
+    bag = bag_of_words(known, text, (label,)).filter(is_vocabulary_word(F.col("term"), stopwords))
+    words = bag.groupBy(F.col(label).alias("label"), "term").agg(F.count(F.lit(1)).alias("n"))
+    words.write.mode("overwrite").parquet(f"{path}/words/batch={batch}")
+    classes = known.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_docs"))
+    classes.write.mode("overwrite").parquet(f"{path}/classes/batch={batch}")
+
+
+def merged_model(spark: SparkSession, path: str, cutoff: int = 1, stopwords: Sequence[str] = STOPWORDS) -> TopicModel:
+    """The model of all batches together, equal to ``fit`` on all of their documents."""
+    counts = spark.read.schema("label string, term string, n bigint, batch string").parquet(f"{path}/words")
+    classes = spark.read.schema("label string, n_docs bigint, batch string").parquet(f"{path}/classes")
+    found = sorted(tuple(row) for row in classes.groupBy("label").agg(F.sum("n_docs")).collect())
+    per_class = [F.coalesce(F.sum(F.when(F.col("label") == name, F.col("n"))), F.lit(0)) for name, _ in found]
+    summed = counts.groupBy("term").agg(F.sum("n").alias("total"), F.array(*per_class).alias("n"))
+    return _finished(found, summed, cutoff, stopwords)
+
+
 def save_model(model: TopicModel, path: str) -> None:
     model.words.write.mode("overwrite").parquet(f"{path}/words")
     model.priors_frame().drop("log_prior").write.mode("overwrite").parquet(f"{path}/priors")

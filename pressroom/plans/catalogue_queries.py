@@ -10,6 +10,7 @@ from pressroom.operators import catalogue, comments as comment_ops, commands, de
 from pressroom.plans.registry import query
 from pressroom.session import shared_path
 from pressroom.sources import fixtures as fx, tables
+from pressroom.sources.keyed_table import KeyedTable
 
 def _brief(articles):
     return articles.select(
@@ -136,7 +137,10 @@ def s6(spark, folder):
 def s7(spark, folder):
     events = fx.table(spark, folder, "events").select("user_id", "event_id", "event_type", "props")
     seen = F.col("event_type") == "view"
-    return commands.upsert_latest(events.filter(seen), events.filter(~seen), "user_id", "event_id")
+    stored = KeyedTable(spark, shared_path(spark, "latest-events"), "user_id", buckets=16)
+    for rows in (events.filter(seen), events.filter(~seen)):
+        stored.upsert(rows, "event_id")
+    return stored.read()
 
 
 @query(
@@ -169,13 +173,13 @@ STOPWORDS_SQL = "(" + ", ".join(f"'{word}'" for word in text.STOPWORDS) + ")"
 IS_WORD_SQL = f"length(term) > 2 AND term NOT IN {STOPWORDS_SQL}"
 
 
-@query(
-    "s10_model_tables",
-    f"""SELECT term, count(*) AS total,
+MODEL_TABLES_SQL = f"""SELECT term, count(*) AS total,
                concat_ws(',', count(*) FILTER (lang = 'de'), count(*) FILTER (lang = 'en'),
                               count(*) FILTER (lang = 'es'), count(*) FILTER (lang = 'fr')) AS per_class
-        FROM ({TRAINING_WORDS_SQL}) WHERE {IS_WORD_SQL} GROUP BY term""",
-)
+        FROM ({TRAINING_WORDS_SQL}) WHERE {IS_WORD_SQL} GROUP BY term"""
+
+
+@query("s10_model_tables", MODEL_TABLES_SQL)
 def s10(spark, folder):
     path = shared_path(spark, "topic-model")
     topics.save_model(topics.fit(fx.table(spark, folder, "documents"), "text", "lang"), path)
@@ -183,6 +187,17 @@ def s10(spark, folder):
     return words.select("term", "total", F.array_join(F.col("n").cast("array<string>"), ",").alias("per_class"))
 
 
+@query("s10_merged_model_tables", MODEL_TABLES_SQL)
+def s10_merged(spark, folder):
+    """Counts of three batches, added one after the other."""
+    path = shared_path(spark, "topic-counts")
+    docs = fx.table(spark, folder, "documents")
+    for part in range(3):
+        topics.add_to_counts(docs.filter(F.col("doc_id") % 3 == part), "text", "lang", path, f"part-{part}")
+    words = topics.merged_model(spark, path).words
+    return words.select("term", "total", F.array_join(F.col("n").cast("array<string>"), ",").alias("per_class"))
+
+
 def _settings(spark, folder):
     """One setting per event type: the latest properties."""
     events = fx.table(spark, folder, "events")
@@ -278,13 +293,20 @@ def p6(spark, folder):
 
 @query("p7_id_prefix", "SELECT article_id, author FROM articles WHERE article_id LIKE 'BB-%'", "articles")
 def p7(spark, folder):
-    rows = fx.articles(spark, folder).select("article_id", "author")
+    rows = _stored(spark, folder).select("article_id", "author")
     return rows.filter(F.startswith("article_id", F.lit(dedupe.ID_PREFIX)))
 
 
+def _stored(spark, folder):
+    """The articles as ``append_articles`` stores them."""
+    path = shared_path(spark, "articles")
+    tables.append_articles(fx.articles(spark, folder), path)
+    return tables.read_articles(spark, path)
+
+
 @query("p8_point_lookup", f"SELECT {BRIEF} FROM articles WHERE article_id = 'BB-3' AND status = 'Pending'", "articles")
 def p8(spark, folder):
-    return _brief(catalogue.where_equal(fx.articles(spark, folder), article_id="BB-3", status="Pending"))
+    return _brief(catalogue.where_equal(_stored(spark, folder), article_id="BB-3", status="Pending"))
 
 
 CATEGORY_CASES = " ".join(
@@ -567,6 +589,18 @@ def a5(spark, folder):
     return catalogue.monthly_totals(fx.articles(spark, folder), fx.users(spark, folder))
 
 
+@query(
+    "a5_monthly_report",
+    """SELECT report, month, count(*) AS count, grouping(month) = 1 AS is_total
+       FROM (SELECT 'articles' AS report, strftime(date_posted, '%Y-%m') AS month FROM articles WHERE date_posted IS NOT NULL
+             UNION ALL SELECT 'users', strftime(registration_date, '%Y-%m') FROM users WHERE registration_date IS NOT NULL)
+       GROUP BY ROLLUP (report, month) HAVING grouping(report) = 0""",
+    "articles users",
+)
+def a5_report(spark, folder):
+    return catalogue.monthly_report(fx.articles(spark, folder), fx.users(spark, folder))
+
+
 @query(
     "a6_comment_counters",
     """SELECT article_id, count(*) FILTER (status = 'active') AS active_comment_count,

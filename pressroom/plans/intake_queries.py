@@ -7,13 +7,14 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from pressroom.functions import dates
-from pressroom.operators import catalogue, dedupe, pages as page_ops, topics
+from pressroom.operators import dedupe, pages as page_ops, topics
 from pressroom.operators.ranking import first_per_key, with_rank
-from pressroom.plans.ingest import ingest, prepare_rows
+from pressroom.plans.ingest import ingest, ingest_into, prepare_rows
 from pressroom.plans.registry import query
 from pressroom.plans.text_queries import ALL_SQL, model_sql, scored_sql, squash_sql, strip_sql
-from pressroom.session import settle
+from pressroom.session import settle, shared_path
 from pressroom.sources import fixtures as fx
+from pressroom.sources.catalogue_store import CatalogueStore
 
 DEFAULT_TS = "2024-06-01 00:00:00"
 
@@ -483,7 +484,7 @@ def d5_rows(spark, folder):
     return prepare_rows(rows)
 
 
-INTAKE_SQL = f"""WITH catalogue AS (SELECT * FROM articles WHERE status = 'published'), {PAGES_SQL}, {model_sql(ALL_SQL)}, {scored_sql('SELECT page_id AS id, plain_content AS text FROM pg')},
+INTAKE_SQL = f"""WITH catalogue AS (SELECT * FROM articles WHERE CAST(substring(article_id, 4) AS BIGINT) % 2 = 1), {PAGES_SQL}, {model_sql(ALL_SQL)}, {scored_sql('SELECT page_id AS id, plain_content AS text FROM pg')},
    stored AS (SELECT article_id, content AS text FROM catalogue ORDER BY date_posted DESC NULLS FIRST, article_id LIMIT 1000),
    st AS (SELECT article_id, term, count(*) AS n FROM (SELECT article_id, unnest(regexp_extract_all(lower(text), '[@WORD]{{2,}}')) AS term FROM stored) GROUP BY ALL),
    nt AS (SELECT page_id, term, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(content), '[@WORD]{{2,}}')) AS term FROM pg)
@@ -502,10 +503,15 @@ INTAKE_SQL = f"""WITH catalogue AS (SELECT * FROM articles WHERE status = 'publi
    FROM kept JOIN pred p ON p.id = kept.page_id"""
 
 
+def _every_second(spark, folder):
+    return fx.articles(spark, folder).filter(F.expr("CAST(substring(article_id, 4) AS BIGINT) % 2 = 1"))
+
+
 @query("d5_article_intake", INTAKE_SQL, "articles")
 def d5(spark, folder):
+    """Pages against a catalogue of every second article, of whatever status."""
     model = topics.fit(fx.table(spark, folder, "documents"), "text", "lang")
-    stored = catalogue.published(fx.articles(spark, folder))
+    stored = _every_second(spark, folder)
     rows = ingest(_pages(spark, folder), stored, model, _default_ts(), fx.page_sites())
     return rows.withColumn("date_posted", dates.stored_text(F.col("date_posted")))
 
@@ -554,10 +560,13 @@ KNOWN_INTAKE_SQL = f"""WITH catalogue AS (SELECT * FROM articles WHERE CAST(subs
 
 @query("d5_known_sites_intake", KNOWN_INTAKE_SQL, "articles")
 def d5_known(spark, folder):
-    """Every second document comes in as a page of one of the six sites; all others are stored."""
-    number = F.expr("CAST(substring(article_id, 4) AS BIGINT)")
-    stored = fx.articles(spark, folder).filter(number % 2 == 1)
+    """Every second document comes in as a page of one of the six sites; all others are stored, in two batches."""
+    store = CatalogueStore(spark, shared_path(spark, "catalogue"))
+    stored = _every_second(spark, folder)
+    early = F.col("status") == "published"
+    store.append(stored.filter(early), "first")
+    store.append(stored.filter(~early), "second")
     crawled = _known_pages(spark, folder).filter(F.col("page_id") % 2 == 1)
     model = topics.fit(fx.table(spark, folder, "documents"), "text", "lang")
-    rows = ingest(crawled, stored, model, _default_ts(), window=None)
+    rows = ingest_into(store, crawled, "third", model, _default_ts(), window=None)
     return rows.withColumn("date_posted", dates.stored_text(F.col("date_posted")))
