@@ -23,6 +23,8 @@ text, then the text). A NULL key is a key, and comes first; a NULL text is an em
 from __future__ import annotations
 
 import functools
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,31 +38,73 @@ from pressroom.llm import perfect_hash
 from pressroom.llm.common import SLICE_BYTES, attach, settle, ship
 
 BUCKET_KEYS = 100_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 _MARKS = (b"\xcc", b"\xcd")  # first bytes of U+0300 to U+037F, where the marks are that join an ASCII letter
+# Letters without capitals and without marks to join, then a run of other signs: two pieces.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: itself where it can be seen, else the next one from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(256) if byte not in seen]
+    return {byte: byte for byte in seen} | {byte: 256 + i for i, byte in enumerate(others)}
 
 
 class Encoder:
     """Ids by a file of the tokenizers library, without added special tokens; their strings are ordinary text.
 
-    ``by_words``: the tokenizer drops white space and folds A-Z, so every run between ASCII white space is
-    encoded by itself, once, and remembered (at most ``CACHED_WORDS``). Where no mark can join a letter, A-Z
-    are folded before the look-up. Turn it off for a tokenizer of which that is not true.
+    A tokenizer that drops white space, folds capitals and tells letters from other signs (``by_words``, read
+    off the file) encodes every run between ASCII white space by itself, so each is encoded once and remembered,
+    at most ``CACHED_WORDS`` beyond those of the last texts. Where no mark can join a letter, A-Z are folded
+    before the look-up. Runs of plain letters go straight to the library's model. Any other tokenizer gets
+    whole texts.
     """
 
-    def __init__(self, file: str, by_words: bool = True):
+    def __init__(self, file: str, by_words: bool | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.by_words = by_words
+        self.by_words = self._splits_at_white_space() if by_words is None else by_words
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+
+    def _splits_at_white_space(self) -> bool:
+        made = json.loads(self.tokenizer.to_str())
+        folds = [step["type"] for step in (made["normalizer"] or {}).get("normalizers", [])]
+        splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        pattern = [(step["pattern"].get("Regex"), step["behavior"], step["invert"]) for step in splits if step["type"] == "Split"]
+        lone = [step for step in splits if step["type"] == "ByteLevel" and not step["add_prefix_space"] and not step["use_regex"]]
+        words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        return folds == ["NFC", "Replace", "Lowercase"] and pattern == [(words, "Removed", True)] and len(splits) == 2 and len(lone) == 1
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, self.kind).tobytes() for one in found]
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Remember the ids of ``words``."""
+        known, model, letters, width = self.known, self.tokenizer.model, self.letters, self.kind.itemsize
+        others, marked = [], []
+        for word in words:
+            plain = _PLAIN.fullmatch(word.decode())
+            if not plain:
+                others.append(word)
+                continue
+            run, marks = plain.groups()
+            piece = run if run.isascii() else run.encode().decode("latin-1").translate(letters)
+            known[word] = b"".join([token.id.to_bytes(width, "little") for token in model.tokenize(piece)])
+            if marks:
+                marked.append((word, marks.encode()))
+        runs = {marks for _, marks in marked if marks not in known}.difference(others)
+        for start in range(0, len(batch := [*others, *runs]), 10_000):
+            part = batch[start : start + 10_000]
+            known.update(zip(part, self._ids([word.decode() for word in part])))
+        for word, marks in marked:
+            known[word] += known[marks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._ids(texts)
@@ -68,20 +112,17 @@ class Encoder:
         for text in texts:
             raw = text.encode()
             split.append((raw if any(mark in raw for mark in _MARKS) else raw.lower()).split())
-        missing = set().union(*split).difference(self.known)
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known.clear()
-            missing = set().union(*split)
-        words = list(missing)
-        for start in range(0, len(words), 10_000):
-            part = words[start : start + 10_000]
-            self.known.update(zip(part, self._ids([word.decode() for word in part])))
-        return [b"".join(map(self.known.__getitem__, found)) for found in split]
+        words = set().union(*split)
+        self._learn(words.difference(self.known))
+        found = [b"".join(map(self.known.__getitem__, row)) for row in split]
+        if len(self.known) > CACHED_WORDS:
+            self.known = {word: self.known[word] for word in words}
+        return found
 
 
 @functools.lru_cache(maxsize=1)
-def _encoder(file: str, by_words: bool) -> Encoder:
-    return Encoder(file, by_words)
+def _encoder(file: str) -> Encoder:
+    return Encoder(file)
 
 
 def _place(path: str):
@@ -121,7 +162,7 @@ def key_words(key, copy: int) -> tuple[int, int]:
     return both >> 64, both & (2**64 - 1)
 
 
-def _encoded(documents: DataFrame, folder: str, file: str, end_id: int, key: str, text: str, by_words: bool) -> DataFrame:
+def _encoded(documents: DataFrame, folder: str, file: str, end_id: int, key: str, text: str) -> DataFrame:
     """Writes the shards; (key, shard, row, place, n_ids) of every document."""
     read = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("key"), F.xxhash64("text")]
@@ -130,7 +171,7 @@ def _encoded(documents: DataFrame, folder: str, file: str, end_id: int, key: str
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(file, by_words)
+        encoder = _encoder(file)
         end = np.array([end_id], encoder.kind).tobytes()
         out, row, place = None, 0, 0
         for batch in batches:
@@ -165,7 +206,6 @@ def write(
     end_id: int,
     key: str = "doc_id",
     text: str = "text",
-    by_words: bool = True,
 ) -> DataFrame:
     """Write ``documents`` to the new folder ``folder``; returns the keys that were written: key, copy.
 
@@ -173,12 +213,12 @@ def write(
     """
     spark = documents.sparkSession
     ship(spark)
-    located = settle(_encoded(documents, folder, file, end_id, key, text, by_words), "ids-places")
+    located = settle(_encoded(documents, folder, file, end_id, key, text), "ids-places")
     # One row per task of the writing job.
     shards = sorted(located.groupBy("shard").agg(F.count("*"), F.sum("n_ids")).collect())
     rows = ids = 0
     manifest = []
-    kind = _encoder(file, by_words).kind.itemsize
+    kind = _encoder(file).kind.itemsize
     buckets = 1 + sum(n for _, n, _ in shards) // BUCKET_KEYS
     for shard, n, total in shards:
         manifest.append((shard, rows, ids, n, total, kind, buckets))

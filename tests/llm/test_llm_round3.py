@@ -50,7 +50,10 @@ def test_words_are_encoded_as_in_the_whole_text():
     random.seed(3)
     texts = ODD + [" ".join(random.choices(ODD, k=4)) + random.choice("\n\t\r ").join(random.choices(ODD, k=3)) for _ in range(40)]
     own, whole = idfiles.Encoder(FILE), idfiles.Encoder(FILE, by_words=False)
-    assert own.encode(texts) == whole.encode(texts)
+    assert own.by_words and own.encode(texts) == whole.encode(texts)
+    assert own.encode(texts[::-1]) == whole.encode(texts[::-1])
+    other = idfiles.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_words and other.encode(["a  b"]) == [np.array(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("a  b").ids, "<u2").tobytes()]
 
 
 def brute_ids(rows):
