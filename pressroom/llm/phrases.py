@@ -37,10 +37,10 @@ TOP = 2000
 INSIDE_PERCENT = 80
 NO_LANGUAGE = "und"
 
-UNIT_BYTES = 4 << 20
-HELD_BYTES = 16 << 20
-SHARD_RUNS = 3_000_000
-RANGE_RUNS = 2_000_000
+UNIT_BYTES = 2 << 20
+HELD_BYTES = 8 << 20
+SHARD_RUNS = 1_500_000
+RANGE_RUNS = 1_000_000
 SAMPLES = 64  # evenly spaced runs that are looked at for every range
 MOST_RANGES = 100_000  # borders are sent to every task
 CHUNK = 200_000
@@ -209,7 +209,7 @@ def _united(pieces: DataFrame, ends: Broadcast, least: int) -> DataFrame:
                         yield _heavy(Windows.union(parts), at[1], at[0], ends.value, least)
                     at, parts = (number, lang), []
                 parts.append(Automaton.unpacked(blob.as_py()).unfold())
-                if sum(map(len, parts[1:])) > max(RANGE_RUNS // 2, len(parts[0])):
+                if sum(map(len, parts[1:])) > max(RANGE_RUNS // 4, len(parts[0])):
                     parts = [Windows.union(parts)]
         if at:
             yield _heavy(Windows.union(parts), at[1], at[0], ends.value, least)
