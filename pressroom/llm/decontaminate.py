@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pressroom.llm.common import attach, fresh, run_ends
 
 WINDOW = 13
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 2_000_000  # about 250 MB of Python objects while a block is built
 SAMPLE_EVERY = 8
 FIELDS = "n_words bigint, spans array<int>, items array<string>"
 

@@ -5,16 +5,18 @@ a digit or an at-sign. Neighbouring tokens are linked; a token is also linked, h
 the one before it that has the same characters, and with the one before it of the same shape. Tokens
 inside base spans are observed. Loopy message passing, until it settles, then spreads the labels: a number that stands in
 a full phone number in one place and alone in another gets one label in both. Tokens outside base
-spans whose belief is above ``BELIEF`` become further spans.
+spans whose belief is above ``BELIEF`` become further spans. The parts of one number, such as ``555 010 1234``
+or ``(030) 123-4567``, are decided together: one span, or none.
 
-The field is trained in pieces: token features, neighbour pairs and skip pairs are counted in a
-bounded sample of documents labelled by the patterns (``SAMPLE_DOCUMENTS``, in the order of a hash of
-the id). Scoring is one pass without a shuffle over every document with such a token; some documents
-together are one graph for the arithmetic.
+The field is trained in pieces: token features, neighbour pairs and skip pairs are counted in all documents,
+labelled by the patterns, and summed before the shuffle. At most ``MOST_FEATURES`` token features, the most
+frequent ones, get a weight, so what the tasks are sent is bounded. Scoring is one pass without a shuffle
+over every document with such a token; some documents together are one graph for the arithmetic.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -24,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import attach, fresh
+from pressroom.llm.common import attach, fresh, settle
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-SAMPLE_DOCUMENTS = 5_000
+MOST_FEATURES = 100_000
+MOST_DIGITS = 19  # of a number in several parts
 BELIEF = 0.9
 ROUNDS = 50  # of all documents of a graph together, before single ones go on in sweeps
 FULL_SWEEPS = 50
@@ -106,8 +109,9 @@ class Token:
 
 
 def _shape(token: str) -> str:
-    kinds = "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in token[:64])
-    return re.sub(r"a+", "a", kinds) + ("~" if len(token) > 64 else "")
+    """Digits as 0, runs of letters as a; a long shape is told by its hash."""
+    kinds = re.sub(r"a+", "a", "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in token))
+    return kinds if len(kinds) <= 64 else "~" + hashlib.blake2b(kinds.encode(), digest_size=12).hexdigest()
 
 
 def tokens(text: str, spans: list[tuple[str, int, int]]) -> list[Token]:
@@ -131,9 +135,9 @@ def tokens(text: str, spans: list[tuple[str, int, int]]) -> list[Token]:
 
 
 def _features(text: str, token: Token) -> list[str]:
-    before = text[max(0, token.start - 24) : token.start].split()
+    before = text[max(0, token.start - 24) : token.start].rstrip(_EDGE).split()
     after = text[token.end : token.end + 24].split()
-    digits = sum(map(str.isdigit, token.text[:64]))
+    digits = sum(map(str.isdigit, token.text))
     marks = "".join(c for c in "@+.-()/:_=" if c in token.text)
     return [
         f"s{token.shape}", f"d{digits}", f"m{marks}{any(map(str.isalpha, token.text))}",
@@ -157,6 +161,20 @@ def _edges(found: list[Token], offset: int = 0) -> list[tuple[int, int, int]]:
     return out
 
 
+def _numbers(found: list[Token]) -> list[tuple[int, int]]:
+    """First and last of the tokens that are the parts of one number: unlabelled, nothing but white space or the
+    brackets and marks of a number between them, digits and such marks only, and not too many digits."""
+    out, first = [], 0
+    plain = [not t.label and not any(map(str.isalpha, t.text)) and "@" not in t.text for t in found]
+    for i in range(1, len(found) + 1):
+        if i < len(found) and found[i].following and plain[i] and plain[i - 1]:
+            continue
+        if i - first > 1 and sum(map(str.isdigit, "".join(t.text for t in found[first:i]))) <= MOST_DIGITS:
+            out.append((first, i - 1))
+        first = i
+    return out
+
+
 @dataclass
 class Field:
     """Log potentials: of features, and of label pairs for the three types of links."""
@@ -263,14 +281,15 @@ class Field:
         """
         added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         nodes: list[tuple[int, Token]] = []
-        unary, edges = [], []
+        unary, edges, parts = [], [], {}
         for row, (text, base) in enumerate(zip(texts, bases)):
             found = tokens(text, base)
             if all(token.label for token in found):
                 continue
+            parts.update((len(nodes) + first, len(nodes) + last) for first, last in _numbers(found))
             if len(nodes) + len(found) > MOST_NODES:
-                self._decide(nodes, unary, edges, added)
-                nodes, unary, edges = [], [], []
+                self._decide(texts, nodes, unary, edges, parts, added)
+                nodes, unary, edges, parts = [], [], [], {}
             edges += _edges(found, len(nodes))
             for token in found:
                 nodes.append((row, token))
@@ -280,46 +299,55 @@ class Field:
                 else:
                     score = self.prior + sum(self.weights.get(f, 0.0) for f in _features(text, token))
                 unary.append(score)
-        self._decide(nodes, unary, edges, added)
+        self._decide(texts, nodes, unary, edges, parts, added)
         return added
 
-    def _decide(self, nodes: list, unary: list, edges: list, added: list) -> None:
-        """Put the spans of whole texts into ``added``."""
+    def _decide(self, texts: list[str], nodes: list, unary: list, edges: list, parts: dict[int, int], added: list) -> None:
+        """Put the spans of whole texts into ``added``. ``parts``: first and last token of numbers in several parts."""
         if not nodes:
             return
         belief = self.beliefs(np.array(unary), np.array(edges, np.int64).reshape(-1, 3), np.array([row for row, _ in nodes]))
-        best = belief[:, 1:].argmax(axis=1) + 1
-        for (row, token), label, row_belief in zip(nodes, best.tolist(), belief):
-            if not token.label and row_belief[label] > BELIEF:
-                added[row].append((LABELS[label], token.start, token.end))
-
-
-def fit(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field:
-    """Count the pieces of the field in a bounded sample of documents (doc_id, text)."""
-    ids = documents.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = documents.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id")
+        at = 0
+        while at < len(nodes):
+            row, token = nodes[at]
+            last = parts.get(at, at)
+            # Of a number in parts the mean of the logarithms counts.
+            chance = np.exp(np.log(belief[at : last + 1] + 1e-300).mean(axis=0))
+            label = int(chance[1:].argmax()) + 1
+            if not token.label and chance[label] > BELIEF:
+                start, end = token.start, nodes[last][1].end
+                if texts[row][:start].endswith("(") and ")" in texts[row][start:end]:
+                    start -= 1
+                added[row].append((LABELS[label], start, end))
+            at = last + 1
+
+
+def fit(documents: DataFrame, most_features: int = MOST_FEATURES) -> Field:
+    """Count the pieces of the field in all documents (text)."""
 
     def kernel(column: pa.Array) -> dict[str, list]:
-        out = []
+        counts: Counter = Counter()
         for text in column.to_pylist():
-            counts: Counter = Counter()
             found = tokens(text or "", base_spans(text or ""))
             for token in found:
                 counts["", token.label, -1] += 1
                 counts.update((f, token.label, -1) for f in _features(text, token))
             counts.update((str(kind), found[a].label, found[b].label) for a, b, kind in _edges(found))
-            out.append([{"name": k[0], "x": k[1], "y": k[2], "n": n} for k, n in counts.items()])
-        return {"counts": out}
-
-    held = attach(texts, ["text"], kernel, "counts array<struct<name string, x int, y int, n bigint>>", "found", keep=["doc_id"])
-    rows = (
-        held.select(F.explode("found.counts").alias("c"))
-        .groupBy("c.name", "c.x", "c.y")
-        .agg(F.sum("c.n").alias("n"))
-        .where(f"n >= {LEAST_COUNT} or length(name) < 2")
-        .collect()
-    )
-    return Field.from_counts({(row["name"], row.x, row.y): row.n for row in rows})
+        # The counts of the whole slice, with its first row.
+        rows = [{"name": k[0], "x": k[1], "y": k[2], "n": n} for k, n in counts.items()]
+        return {"counts": [rows, *[[]] * (len(column) - 1)]}
+
+    kinds = "counts array<struct<name string, x int, y int, n bigint>>"
+    held = attach(documents.select("text"), ["text"], kernel, kinds, "found", keep=[])
+    summed = held.select(F.explode("found.counts").alias("c")).groupBy("c.name", "c.x", "c.y").agg(F.sum("c.n").alias("n"))
+    # Names of one character are the labels and the three types of links; all others are token features.
+    summed = settle(summed, "pii-counts")
+    few = summed.where("length(name) < 2")
+    features = summed.where("length(name) > 1").groupBy("name").agg(F.sum("n").alias("n"), F.collect_list(F.struct("x", "n")).alias("by_label"))
+    features = features.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "name").limit(most_features)
+    counts = {(row["name"], row.x, row.y): row.n for row in few.collect()}
+    counts |= {(row["name"], x, -1): n for row in features.collect() for x, n in row.by_label}
+    return Field.from_counts(counts)
 
 
 def find(documents: DataFrame, field: Field, name: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -5,8 +5,9 @@ language, source and length. In every round each labels the unlabelled documents
 other learns from these too. At the end each view's logit is calibrated on labelled rows that were set
 aside, and a third regression weighs the two.
 
-Fitting uses bounded samples (``SAMPLE_ROWS`` labelled, ``POOL_ROWS`` unlabelled, the first in the order
-of a hash of the id); scoring is one pass over all documents without a shuffle.
+Of the labelled documents a bounded sample is used (``SAMPLE_ROWS``, the first in the order of a hash of the
+id); all documents without a label take part in the exchange. Scoring is one pass over all documents
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pressroom.llm.common import attach, fresh, settle
 
-SAMPLE_ROWS, POOL_ROWS = 10_000, 10_000
+SAMPLE_ROWS = 10_000
 ROUNDS = 3
 SURE = 0.95
 HASHES = 256
@@ -124,12 +125,13 @@ def fit(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Qualit
         .agg(F.max("quality").cast("double").alias("label"))
     )
     labelled = _first(known.where(~held_out(F.col("doc_id"))), SAMPLE_ROWS)
-    others = documents.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left_anti").distinct()
-    chosen = labelled.unionByName(_first(others, POOL_ROWS).withColumn("label", F.lit(None).cast("double")))
     columns = [c for c in documents.columns if c.lower() in ("doc_id", "text", "lang", "source")]
-    # The chosen ids are bounded by the two sample sizes.
-    sample = documents.select(*columns).join(F.broadcast(chosen), "doc_id")
-    rows = _views(sample, "text_view", "meta_view").select("doc_id", "label", "text_view", "meta_view").repartition(6)
+    # Texts stay where they are; only the views of a document meet its label. The sample is bounded.
+    viewed = _views(documents.select(*columns).where("doc_id is not null"), "text_view", "meta_view")
+    viewed = settle(viewed.select("doc_id", "text_view", "meta_view"), "quality-views")
+    sample = viewed.join(F.broadcast(labelled), "doc_id")
+    pool = viewed.join(known, "doc_id", "left_anti").withColumn("label", F.lit(None).cast("double"))
+    rows = sample.unionByName(pool)
     aside = F.col("label").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) < 3)
     rows = settle(
         rows.select("*", aside.alias("aside")).withColumns({v: F.when(~F.col("aside"), F.col("label")) for v in ("for_text", "for_meta")}),

@@ -46,7 +46,7 @@ SECOND_PERSON = frozenset(
      "ton", "ta", "vous", "votre", "vos", "tú", "ti", "usted", "ustedes", "vosotros")
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[\d@$*!|.\-_])[^\s]{3,40}(?!\S)")
+_DISGUISED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[\d@$*!|.\-_])[^\s]{3,}(?!\S)")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l",
                         "*": None, ".": None, "-": None, "_": None})
 FEATURES = (
@@ -67,7 +67,7 @@ def measure(text: str, lexicon: dict[str, float], beginnings: dict[str, float])
     at = [i for i, w in enumerate(found) if w in lexicon]
     weights = [lexicon[found[i]] for i in at]
     starts = [beginnings[b] for w in found if (b := w[:BEGINNING]) in beginnings and len(w) > BEGINNING]
-    persons = [i for i, w in enumerate(found) if w in SECOND_PERSON] if at else []
+    persons = [i for i, w in enumerate(found) if w in SECOND_PERSON]
     near = 0
     for i in at:  # both lists are sorted
         first = bisect_left(persons, i - NEAR)

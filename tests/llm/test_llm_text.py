@@ -9,6 +9,7 @@ import random
 import re
 
 import public_tokenizers
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -117,8 +118,6 @@ def test_decontamination(spark, block_chars):
 
 
 def test_fm_index_finds_every_occurrence():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     text = np.concatenate([np.append(rng.integers(1, 4, n), 0) for n in (5, 40, 1, 60)])
     index = decontaminate.FmIndex(text, 3)
@@ -209,10 +208,63 @@ def test_field_needs_no_base_match():
     assert added == [[("phone", 12, 20)], [("phone", 12, 20)], []]
 
 
+def parts_field():
+    counts = {("", 0, -1): 500, ("", 4, -1): 500, ("bat", 4, -1): 900, ("bor", 4, -1): 900, ("s(000)", 4, -1): 10}
+    counts |= {(name, 0, -1): 900 for name in ("bpage", "bof", "bin")}
+    for kind in range(3):
+        counts |= {(str(kind), 4, 4): 900, (str(kind), 0, 0): 900, (str(kind), 0, 4): 1}
+    return pii.Field.from_counts(counts)
+
+
+@pytest.mark.parametrize("number", ["555 010 1234", "(030) 123-4567", "0171 55 66 77", "030/123 45-67", "555-0101", "(0) 12 (34) 56"])
+def test_a_number_is_labelled_whole(number):
+    """A number in several parts without a plus sign: one span over all of it, brackets included."""
+    text = f"call me at {number}, or write; see page x17 of x20"
+    base = pii.base_spans(text)
+    added = parts_field().add([text], [base])[0]
+    start = text.index(number)
+    assert added == [("phone", start, start + len(number))]
+
+
+def test_a_number_is_labelled_whole_or_not_at_all():
+    text = "see page 17 18 19 and at 20 21 22 too, in 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 of"
+    added = parts_field().add([text], [[]])[0]
+    for kind, start, end in added:
+        assert text[start:end] in ("20 21 22", "17 18 19") and kind == "phone"
+    units = pii._numbers(pii.tokens("a 1 2 3 b 4 5 x7 8 9 +1 (017) 555-7713 6", [("phone", 20, 37)]))
+    assert all(last > first for first, last in units)
+
+
+def test_long_tokens_are_looked_at_whole():
+    long = "0" * 70
+    assert pii._shape(long + "a1") != pii._shape(long + "1a") and pii._shape(long) == pii._shape("1" * 70)
+    token = pii.tokens(long * 3, [])[0]
+    assert "d210" in pii._features(long * 3, token)
+
+
+def test_field_is_counted_in_all_documents(spark):
+    texts = ["ring +1 (017) 555-7713 now"] * 40 + [f"see page {i} of 99" for i in range(60)] + [None, ""]
+    docs = frame(spark, texts).repartition(7)
+    field = pii.fit(docs)
+    counts: dict = {}
+    rows = [t or "" for (t,) in docs.select("text").collect()]
+    for text in rows:
+        found = pii.tokens(text, pii.base_spans(text))
+        for token in found:
+            for name in ["", *pii._features(text, token)]:
+                counts[name, token.label, -1] = counts.get((name, token.label, -1), 0) + 1
+        for a, b, kind in pii._edges(found):
+            key = (str(kind), found[a].label, found[b].label)
+            counts[key] = counts.get(key, 0) + 1
+    want = pii.Field.from_counts(counts)
+    assert field.weights.keys() == want.weights.keys() and np.allclose(field.pairs, want.pairs) and np.allclose(field.prior, want.prior)
+    assert all(np.allclose(field.weights[name], row) for name, row in want.weights.items())
+    few = pii.fit(docs, most_features=3).weights
+    assert few.keys() < want.weights.keys() and sum(len(name) > 1 for name in few) == 3
+
+
 def settled(field, unary, edges, rounds):
     """Plain sum-product with very many rounds."""
-    import numpy as np
-
     links = [(a, b, k) for a, b, k in edges] + [(b, a, k) for a, b, k in edges]
     sent = {link: np.ones(unary.shape[1]) for link in links}
     into = {i: [link for link in links if link[1] == i] for i in range(len(unary))}
@@ -232,8 +284,6 @@ def settled(field, unary, edges, rounds):
 
 @pytest.mark.parametrize("repeats, strength", [(30, 60), (30, 5_000), (150, 5_000)])
 def test_field_settles_over_many_repeats(repeats, strength):
-    import numpy as np
-
     counts = {("", label, -1): 50 for label in range(5)}
     counts |= {(str(kind), a, b): strength if a == b else 2 for kind in range(3) for a in range(5) for b in range(a, 5)}
     field = pii.Field.from_counts(counts)
