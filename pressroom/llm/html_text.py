@@ -1,14 +1,22 @@
 """Main text of HTML pages by consensus of each host.
 
-1. Each page is read into a light tree of its block elements. Starting at the root, the search goes
-   down as long as one child holds all text outside menus, adverts and the like, and not below an article
-   or main element; where it stops is the page's own container. Its path - tags with classes, numbers generalised - is a vote.
-2. Votes are counted per host in Spark (pages, then characters, then the path itself).
-3. Every page is read again, and the text is taken from the elements on the host's winning path; a page
-   without such an element uses its own container.
-
-Winning paths are one row a host; the join is a broadcast if Spark sees that the table is small,
-else a shuffle in which a hot host can be split.
+1. Block texts that recur on the pages of a host are counted in Spark. A text on at least half of a host's
+   pages, and on ``LEAST_PAGES``, recurs: menus, teasers, notices, whatever their classes.
+2. Each page is read into a light tree of its block elements and every container is scored: the text below it
+   that may be the article, a little less what stands beside it there. What counts as beside: tags and roles
+   for menus, forms and the like; elements of which nearly all text recurs or, outside an article, is
+   links; and elements named by their class as adverts, comments and so on. The path of the best
+   container - tags with classes, numbers generalised - is a vote.
+3. Votes are counted per host in Spark (pages, then characters, then the path itself).
+4. Every page is read again, and the text is taken from the elements on the host's winning path, without what
+   stands beside the article; a page without such an element uses its own best container.
+
+Inside an article or main element, and inside the smallest element with half of the page's text, a class name
+that only contains such a word removes nothing without links or recurrence to prove it: a section
+``social-policy`` is text, ``comment-list`` is not.
+
+Winners are one row a host, with at most twice as many recurring texts as its pages have blocks; the join is a
+broadcast if Spark sees that the table is small, else a shuffle in which a hot host can be split.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import attach, fresh, settle
+from pressroom.llm.common import attach, settle
 
 # Fixed names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,9 +53,26 @@ AWAY_WORDS = frozenset(
     "subscribe subscription newsletter share sharing social related recommended comment comments disqus respond replies "
     "login signup widget toolbar pagination".split()
 )
+# Of these, names that no part of an article has, alone or with words that only tell its place or form.
+STRONG_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored comment comments disqus respond replies share sharing newsletter "
+    "subscribe subscription cookie cookies breadcrumb breadcrumbs pagination login signup".split()
+)
+PLACE_WORDS = frozenset(
+    "list area section box container wrapper wrap slot block button buttons bar form unit inner outer thread item items link links "
+    "top bottom left right count".split()
+)
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 KEPT_TAGS = frozenset(("html", "body", "main", "article"))
 
+# Elements that are a piece of running text: never beside the article by what they hold alone.
+PIECES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li dt dd td th tr tbody thead tfoot caption pre blockquote figure figcaption address".split()) | KEPT_TAGS
+HEADINGS = frozenset(("h1", "h2"))
+CELLS = frozenset("td th tr tbody".split())  # may lay out the page, outside the article
+LEAST_PAGES = 3
+RECURRING, LINKED = 0.8, 0.6  # share of recurring text, and of links, from which an element stands beside the article
+HEADING_WORTH, BESIDE_COST = 200, 0.02  # characters that a heading counts for, and what text beside the article costs
+
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?=[\s=/>]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -59,51 +84,57 @@ class Element:
     tag: str
     path: str
     parent: Element | None
-    away: bool
-    header: bool
-    size: int = 0  # characters outside links, of all blocks below that are not away
-    full: int = 0  # characters of these blocks, links included
+    named: int  # 3 by tag, role or hidden; 2 by a class name of STRONG_WORDS, 1 by one that holds a word; else 0
+    in_article: bool
+    away: bool = False
+    chars: int = 0  # of all text below
+    links: int = 0  # of it inside links
+    known: int = 0  # of it recurring
+    good: int = 0  # of it possibly the article
+    beside: int = 0
+    worth: int = 0  # good, and what headings count for
     children: list[Element] = field(default_factory=list)
-    blocks: list[tuple[int, str]] = field(default_factory=list)  # (place in the page, text)
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # (place in the page, text, characters in links)
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
-def _is_away(tag: str, attributes: dict[str, str]) -> bool:
+def _named(tag: str, attributes: dict[str, str]) -> int:
     if tag in KEPT_TAGS:
-        return False
+        return 0
     if tag in AWAY_TAGS or attributes.get("role", "").lower() in AWAY_ROLES:
-        return True
+        return 3
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+        return 3
+    most = 0
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
-        parts = re.split(r"[-_:]+", name)
-        if (parts[-1] in AWAY_WORDS or parts[0] in AWAY_WORDS) and parts[0] not in ("has", "with", "no", "without"):
-            return True
-    return False
+        parts = [part for part in re.split(r"[-_:]+", name) if part]
+        if not parts or parts[0] in ("has", "with", "no", "without"):
+            continue
+        plain = [_DIGITS.sub("", part) for part in parts]
+        if any(part in STRONG_WORDS for part in plain) and all(part in AWAY_WORDS | PLACE_WORDS | {""} for part in plain):
+            return 2
+        if parts[-1] in AWAY_WORDS or parts[0] in AWAY_WORDS:
+            most = 1
+    return most
 
 
 def read(page: str) -> Element:
     """The tree of block elements. Linear in the page; broken markup is read as browsers do, roughly."""
-    root = Element("", "", None, False, False)
+    root = Element("", "", None, 0, False)
     stack, words, link, place = [root], [], False, 0
-    plain = 0
+    linked = 0
 
     def flush() -> None:
-        nonlocal words, plain, place
+        nonlocal words, linked, place
         if words:
             text = " ".join("".join(words).split())
             if text:
-                here = stack[-1]
-                here.blocks.append((place, text))
+                stack[-1].blocks.append((place, text, min(linked, len(text))))
                 place += 1
-                while here is not None and not here.away:
-                    here.size += plain
-                    here.full += len(text)
-                    here = here.parent
-        words, plain = [], 0
+        words, linked = [], 0
 
     def close(tags: set[str] | frozenset[str], borders: set[str] | frozenset[str] = frozenset()) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -122,7 +153,7 @@ def read(page: str) -> Element:
         if start > at:
             text = entities.unescape(page[at:start])
             words.append(text)
-            plain += 0 if link else len(text)
+            linked += len(text) if link else 0
         if start >= n:
             break
         if page.startswith("<!--", start):
@@ -141,7 +172,6 @@ def read(page: str) -> Element:
                 at = n if end < 0 else end + 1
             else:
                 words.append("<")
-                plain += 1
                 at = start + 1
             continue
         rest = _REST.match(page, name.end())
@@ -176,31 +206,102 @@ def read(page: str) -> Element:
             attributes = _attributes(page[name.end() : stop - 1])
             # Classes of the whole page differ from page to page and say nothing about the container.
             classes = "" if tag in ("html", "body") else ".".join(sorted(_DIGITS.sub("0", attributes.get("class", "").lower()).split()))
-            inside = any(e.tag in ("article", "main") for e in stack)
-            heading = tag == "header"
-            away = up.away or _is_away(tag, attributes) or (heading and not inside)
-            element = Element(tag, f"{up.path}/{tag}{'.' * bool(classes)}{classes}" if len(stack) < 64 else up.path, up, away, heading)
+            if not classes and attributes.get("id") and tag not in ("html", "body"):
+                classes = "#" + _DIGITS.sub("0", attributes["id"].lower())
+            inside = up.in_article or up.tag in ("article", "main")
+            named = 3 if tag == "header" and not inside else _named(tag, attributes)
+            element = Element(tag, f"{up.path}/{tag}{'.' * bool(classes)}{classes}" if len(stack) < 64 else up.path, up, named, inside)
             up.children.append(element)
             stack.append(element)
     flush()
     return root
 
 
-def own_container(root: Element) -> Element | None:
-    """Deepest element that holds all of the text, article and main at most; None for a page without text."""
-    if not root.full:
-        return None
-    here = root
-    while here.tag not in ("article", "main") and not here.blocks:
-        inner = [c for c in here.children if c.full and not c.away]
-        if len(inner) != 1 or inner[0].tag in ("p", "li", "td", "th", "tr", "dd", "dt", "pre", "blockquote"):
-            break
-        here = inner[0]
-    return here
+def _in_order(root: Element) -> list[Element]:
+    """All elements, each before those inside it."""
+    found, open_ = [], [root]
+    while open_:
+        element = open_.pop()
+        found.append(element)
+        open_ += reversed(element.children)
+    return found
+
+
+def text_number(text: str) -> int:
+    """Number that stands for a block's text."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text.lower()) - (1 << 63)
+
+
+def judge(root: Element, recurring: frozenset[int] = frozenset()) -> list[Element]:
+    """Fill in the measures of all elements, and return them, each before those inside it.
+
+    Recurring texts count only if they are not most of the page: on copies of one page everything recurs.
+    """
+    elements = _in_order(root)
+    for e in reversed(elements):
+        for _, text, links in e.blocks:
+            e.chars += len(text)
+            e.links += links
+            e.known += len(text) if recurring and text_number(text) in recurring else 0
+        if e.parent is not None:
+            e.parent.chars += e.chars
+            e.parent.links += e.links
+            e.parent.known += e.known
+    whole = sum(e.chars for e in elements if e.named == 3 and (e.parent is None or e.parent.named < 3))
+    trusted = 2 * root.known <= max(1, root.chars) or 2 * (root.known - whole) <= root.chars - whole
+
+    def proven(e: Element, inside: bool) -> bool:
+        """By what it holds: recurring text, or links."""
+        if (e.tag in PIECES and (inside or e.tag not in CELLS)) or not e.chars:
+            return False
+        linked = e.links >= LINKED * e.chars and (not inside or e.named)
+        return linked or (trusted and e.known >= RECURRING * e.chars)
+
+    def place(core: Element | None) -> None:
+        within = set()
+        for e in elements:
+            if e.parent is not None and (e.parent is core or id(e.parent) in within):
+                within.add(id(e))
+            inside = e.in_article or id(e) in within
+            # A name outside says enough, unless the element holds most of the page.
+            by_name = e.named == 1 and not inside and 2 * e.chars < root.chars
+            e.away = (e.parent is not None and e.parent.away) or e.named >= 2 or by_name or proven(e, inside)
+            e.good = e.beside = e.worth = 0
+        for e in reversed(elements):
+            own = sum(len(text) for _, text, _ in e.blocks)
+            e.good += 0 if e.away else own
+            e.beside += own if e.away else 0
+            e.worth += 0 if e.away else own + HEADING_WORTH * (e.tag in HEADINGS and own > 0)
+            if e.parent is not None:
+                e.parent.good += e.good
+                e.parent.beside += e.beside
+                e.parent.worth += e.worth
+
+    place(None)
+    core = None
+    for e in elements:  # the last one is the smallest: elements with half of the text lie in one another
+        if e.good and 2 * e.good >= root.good and e.tag not in PIECES - KEPT_TAGS - CELLS:
+            core = e
+    place(core)
+    return elements
+
+
+def own_container(elements: list[Element]) -> Element | None:
+    """The container with the best score, of equal ones the innermost, not below an article or main element; None
+    for a page without text. ``elements`` as ``judge`` returns them."""
+    best, most = None, 0.0
+    for e in elements:
+        if e.good and not e.away and not e.in_article and e.tag not in PIECES - KEPT_TAGS - CELLS:
+            score = e.worth - BESIDE_COST * e.beside
+            if best is None or score >= most:
+                best, most = e, score
+    return best
 
 
 def on_path(root: Element, path: str) -> list[Element]:
-    """Topmost elements with that path, outside menus and the like."""
+    """Topmost elements with that path that are not beside the article."""
     found, open_ = [], [root]
     while open_:
         element = open_.pop()
@@ -220,7 +321,18 @@ def text_of(elements: list[Element]) -> str:
         if not element.away:
             blocks += element.blocks
             open_ += element.children
-    return "\n".join(text for _, text in sorted(blocks))
+    return "\n".join(text for _, text, _ in sorted(blocks))
+
+
+def main_text(page: str | None, path: str | None, recurring: frozenset[int]) -> str:
+    """The text of one page, given what its host has voted for."""
+    root = read(page or "")
+    elements = judge(root, recurring)
+    chosen = on_path(root, path) if path else []
+    if not any(e.good for e in chosen):
+        own = own_container(elements)
+        chosen = [own] if own else []
+    return text_of(chosen)
 
 
 def host_of(url) -> F.Column:
@@ -228,18 +340,38 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path most pages of a host vote for. ``pages``: url, html."""
+def recurring_texts(pages: DataFrame) -> DataFrame:
+    """(host, recurring): numbers of the block texts that recur on the pages (host, html) of each host."""
 
     def kernel(column: pa.Array) -> dict[str, list]:
-        paths, sizes = [], []
+        out = []
         for page in column.to_pylist():
-            best = own_container(read(page or ""))
-            paths.append(best.path if best and best.size else None)
-            sizes.append(best.size if best else 0)
+            texts = {text for e in _in_order(read(page or "")) for _, text, _ in e.blocks}
+            out.append(sorted(map(text_number, texts)))
+        return {"texts": out}
+
+    found = attach(pages, ["html"], kernel, "texts array<bigint>", "t", keep=["host"])
+    # One row a page counts the pages of the host: a text number cannot be NULL.
+    rows = found.select("host", F.explode(F.concat("t.texts", F.array(F.lit(None).cast("bigint")))).alias("number"))
+    counted = rows.groupBy("host", "number").agg(F.count("*").alias("n"))
+    sizes = counted.where("number is null").select(F.col("host").alias("of"), F.col("n").alias("pages"))
+    enough = (F.col("n") >= LEAST_PAGES) & (2 * F.col("n") >= F.col("pages"))
+    many = counted.where(F.col("number").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(sizes, F.col("host") == F.col("of"))
+    return many.where(enough).groupBy("host").agg(F.collect_set("number").alias("recurring"))
+
+
+def winning_paths(pages: DataFrame) -> DataFrame:
+    """(host, path): the path most pages of a host vote for. ``pages``: host, html, recurring."""
+
+    def kernel(column: pa.Array, known: pa.Array) -> dict[str, list]:
+        paths, sizes = [], []
+        for page, numbers in zip(column.to_pylist(), known.to_pylist()):
+            best = own_container(judge(read(page or ""), frozenset(numbers or ())))
+            paths.append(best.path if best else None)
+            sizes.append(best.good if best else 0)
         return {"path": paths, "size": sizes}
 
-    votes = attach(pages.select(host_of(F.col("url")).alias("host"), "html"), ["html"], kernel, "path string, size bigint", "v", keep=["host"])
+    votes = attach(pages, ["html", "recurring"], kernel, "path string, size bigint", "v", keep=["host"])
     counted = votes.where("v.path is not null").groupBy("host", F.col("v.path").alias("path")).agg(
         F.count("*").alias("pages"), F.sum("v.size").alias("size")
     )
@@ -252,22 +384,17 @@ def extract(pages: DataFrame) -> DataFrame:
     Blocks are joined by one line feed, white space inside a block is one space. NULL and empty pages
     have an empty text; repeated rows are repeated; pages without a URL are one host.
     """
-    rows = pages.select("page_id", "url", "html")
-    winners = settle(winning_paths(rows), "host-paths")
-    name = fresh(rows, "host")
-    joined = rows.withColumn(name, host_of(F.col("url"))).join(
-        winners.select(F.col("host").alias(name), F.col("path").alias("winning_path")), name, "left"
-    )
-
-    def kernel(column: pa.Array, paths: pa.Array) -> dict[str, list]:
-        texts = []
-        for page, path in zip(column.to_pylist(), paths.to_pylist()):
-            root = read(page or "")
-            chosen = on_path(root, path) if path else []
-            if not any(e.size for e in chosen):
-                own = own_container(root)
-                chosen = [own] if own else []
-            texts.append(text_of(chosen))
+    rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
+    recurring = settle(recurring_texts(rows.select("host", "html")), "host-texts")
+    known = rows.join(recurring, "host", "left")
+    winners = settle(winning_paths(known.select("host", "html", "recurring")), "host-paths")
+    joined = known.join(winners, "host", "left")
+
+    def kernel(column: pa.Array, paths: pa.Array, known: pa.Array) -> dict[str, list]:
+        texts = [
+            main_text(page, path, frozenset(numbers or ()))
+            for page, path, numbers in zip(column.to_pylist(), paths.to_pylist(), known.to_pylist())
+        ]
         return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    return attach(joined, ["html", "winning_path"], kernel, "text string, n_chars bigint", "t", keep=["page_id", "url"]).select("page_id", "url", "t.*")
+    return attach(joined, ["html", "path", "recurring"], kernel, "text string, n_chars bigint", "t", keep=["page_id", "url"]).select("page_id", "url", "t.*")

@@ -410,6 +410,81 @@ def test_html_keeps_what_stands_beside_the_body(spark):
     assert text[2] == f"Head\n{long}\nsee also" and text[5] == "Head\nlead\nthird body"
 
 
+def story(n, words=60):
+    rng = random.Random(n)
+    return [" ".join(f"{rng.choice('bcdfg')}{rng.randrange(10_000)}" for _ in range(words)).capitalize() + "." for _ in range(3)]
+
+
+# Layouts: of a page's number and its paragraphs, without names that tell what a part is, or with misleading ones.
+HEAD = "<title>t</title>"
+LAYOUTS = {
+    "named by place": lambda n, ps: f"<body><div class=top><a href=/>Home</a> <a href=/n>News</a></div><div class=story><h1>Head {n}</h1>"
+    + "".join(f"<p>{p}</p>" for p in ps) + "</div><div id=right><p>Most read item</p></div></body>",
+    "no classes": lambda n, ps: f"<body><div><a href=/>Home</a> | <a href=/n>News</a></div><div><h1>Head {n}</h1>"
+    + "".join(f"<p>{p}</p>" for p in ps) + "</div><div><p>We use cookies to improve your visit.</p></div></body>",
+    "misleading sections": lambda n, ps: f"<body><nav><a href=/>Home</a></nav><article><h1>Head {n}</h1><section class='social-policy'><p>{ps[0]}</p></section>"
+    f"<div class='related-work'><p>{ps[1]}</p></div><div class='banner-year notice'><p>{ps[2]}</p></div></article><footer>foot</footer></body>",
+    "head beside the body": lambda n, ps: f"<body><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul><h1>Head {n}</h1><div class=txt>"
+    + "".join(f"<p>{p}</p>" for p in ps) + f"</div><div class=strip><a href=/a{n}>One more</a><a href=/b{n}>And another</a></div></body>",
+    "table": lambda n, ps: f"<table><tr><td><a href=/>Home</a></td><td><h1>Head {n}</h1>" + "".join(f"<p>{p}</p>" for p in ps)
+    + "</td></tr></table><div>Printed in town, all rights reserved</div>",
+    "comments and adverts inside": lambda n, ps: f"<body><main><h1>Head {n}</h1><p>{ps[0]}</p><div class='ad-slot'>Buy {n} now</div><p>{ps[1]}</p><p>{ps[2]}</p>"
+    f"<div id='comment-list'><p>reader {n} thinks {story(n + 900)[0]}</p></div></main><div class=sidebar><p>Weather {n}</p></div></body>",
+    "links in the text": lambda n, ps: f"<body><article><h1>Head {n}</h1><p>{ps[0]}</p><p>{ps[1]}</p><ul><li><a href=/s{n}>{ps[2]}</a></ul></article>"
+    f"<div><a href=/q{n}>Elsewhere {n}</a></div></body>",
+}
+
+
+@pytest.mark.parametrize("name", list(LAYOUTS))
+def test_html_layouts(spark, name):
+    """Five pages of one host: the article whole, and nothing else, whatever its parts are called."""
+    rows = [(n, f"http://{LAYOUTS[name].__code__.co_firstlineno}.org/{n}", f"<html><head>{HEAD}</head>{LAYOUTS[name](n, story(n))}</html>") for n in range(5)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {n: "\n".join([f"Head {n}", *story(n)]) for n in range(5)}
+
+
+def test_html_copies_of_one_page_keep_their_text(spark):
+    """Where everything recurs, recurrence proves nothing."""
+    page = LAYOUTS["misleading sections"](1, story(1))
+    pages = spark.createDataFrame([(n, "http://copies.org/x", page) for n in range(6)], "page_id bigint, url string, html string")
+    assert {r.text for r in html_text.extract(pages).collect()} == {"\n".join(["Head 1", *story(1)])}
+
+
+def plain_extract(pages):
+    """The whole query in plain Python: recurrence, votes and extraction with dictionaries."""
+    from collections import Counter, defaultdict
+
+    hosts = defaultdict(list)
+    for i, url, page in pages:
+        hosts[re.sub(r"^\w+://([^/]*).*$", r"\1", url).lower()].append((i, page))
+    out = {}
+    for rows in hosts.values():
+        seen = Counter()
+        for _, page in rows:
+            seen.update({text for e in html_text._in_order(html_text.read(page)) for _, text, _ in e.blocks})
+        recurring = frozenset(html_text.text_number(t) for t, n in seen.items() if n >= 3 and 2 * n >= len(rows))
+        votes = defaultdict(lambda: [0, 0])
+        for _, page in rows:
+            best = html_text.own_container(html_text.judge(html_text.read(page), recurring))
+            if best:
+                votes[best.path][0] += 1
+                votes[best.path][1] += best.good
+        path = max(((n, size, path) for path, (n, size) in votes.items()), default=(0, 0, None))[2]
+        out |= {i: html_text.main_text(page, path, recurring) for i, page in rows}
+    return out
+
+
+def test_html_query_equals_plain_python(spark):
+    rows = []
+    for i in range(60):
+        rng = random.Random(i)
+        layout = LAYOUTS[rng.choice(list(LAYOUTS))]
+        rows.append((i, f"http://h{rng.randrange(6)}.org/{i}", layout(i, story(i % 40, rng.randrange(1, 30)))))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == plain_extract(rows)
+
+
 def test_html_template_of_the_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
