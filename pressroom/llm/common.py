@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,12 @@ from pyspark.sql.types import StructField, StructType
 
 from pressroom.session import settle, shared_path, ship
 
-__all__ = ["settle", "ship", "table", "attach", "fresh", "connected_components", "run_ends", "scratch_folder"]
+__all__ = ["settle", "ship", "table", "attach", "fresh", "bitmap", "flagged", "connected_components", "run_ends", "scratch_folder"]
 
 SLICE_BYTES = 16 << 20
 SLICE_ROWS = 5_000
+ID_BITS = 24  # of a bitmap of ids: 2 MB
+_PAGE = 15  # bits of a bitmap's page number are those above
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +94,42 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(sizes) - start
 
 
+def bitmap(numbers: DataFrame, column: str, count: int, most_bits: int) -> np.ndarray:
+    """Bits of the low digits of ``column`` (well mixed numbers); its size follows ``count`` up to ``most_bits``."""
+    bits = min(most_bits, max(_PAGE, (16 * count).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    pages = numbers.select(F.shiftright(place, _PAGE).alias("page"), place.bitwiseAND(F.lit((1 << _PAGE) - 1)).cast("int").alias("bit")).distinct()
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        ones = np.zeros(1 << _PAGE, np.uint8)
+        ones[rows["bit"].to_numpy()] = 1
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(ones).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in pages.groupBy("page").applyInArrow(pack, "page bigint, bits binary").toLocalIterator():
+        out[row.page << (_PAGE - 3) : (row.page + 1) << (_PAGE - 3)] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def flagged(rows: DataFrame, ids: DataFrame, key: str, flag: str = "flag") -> DataFrame:
+    """``rows`` with a boolean ``flag``: may their ``key`` be among ``ids``? Never false for one that is.
+
+    The bitmap of the ids is a table of 64 bits a row, at most 4 MB, and is looked up where the rows stand. When
+    it is full, more rows are flagged, and the exact join behind it has more to do.
+    """
+    spark = rows.sparkSession
+    mixed = F.xxhash64(F.col(key).cast("bigint"))
+    marks = bitmap(ids.select(F.xxhash64(F.col(ids.columns[0]).cast("bigint")).alias("mark")).distinct(), "mark", ids.count(), ID_BITS)
+    words = np.packbits(np.unpackbits(marks), bitorder="little").view("<i8")
+    word, bits = fresh(rows, "word"), fresh(rows, "bits")
+    numbers = [(i, int(words[i])) for i in np.flatnonzero(words).tolist()]
+    table = spark.createDataFrame(numbers, f"{word} bigint, {bits} bigint")
+    spot = mixed.bitwiseAND(F.lit(8 * len(marks) - 1))
+    placed = rows.withColumn(word, F.shiftright(spot, 6)).join(F.broadcast(table), word, "left")
+    one = F.expr(f"shiftright({bits}, cast(xxhash64(cast(`{key}` as bigint)) & 63 as int)) & 1") == 1
+    return placed.select(*rows.columns, F.coalesce(one, F.lit(False)).alias(flag))
+
+
 def run_ends(starts, ends):
     """Merge intervals that are sorted by start: overlapping and touching ones become one."""
     merged: list[list[int]] = []
@@ -105,7 +144,7 @@ def run_ends(starts, ends):
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
     """Smallest reachable id of every node of an undirected graph.
 
-    ``links`` has columns a, b (bigint). Returns (id, component) for every id in it. Alternating
+    ``links`` has columns a, b of one type that can be ordered. Returns (id, component) for every id in it. Alternating
     large-star and small-star rounds (Kiveris et al., 2014): each is one grouped minimum and one
     join, the number of rounds grows with the logarithm of the graph. A node's neighbours are
     never gathered; the minimum is combined before the shuffle. Each round is settled.

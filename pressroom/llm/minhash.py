@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import attach, connected_components, fresh, settle, ship
+from pressroom.llm.common import attach, connected_components, flagged, fresh, settle, ship
 
 BANDS, ROWS = 20, 3
 SAMPLES = 256
@@ -122,7 +122,7 @@ def features(
             keys = np.arange(bands, dtype=np.uint64)
             for row in range(rows):
                 keys = _mixed(keys * _MIX + banded[:, row])
-            out["digest"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+            out["digest"].append(_digest(found))
             out["bands"].append(keys.view(np.int64).tolist())
             out["sketch"].append(odd_sketch(values, bits).tobytes())
         return out
@@ -131,20 +131,29 @@ def features(
     return attach(documents, ["text"], kernel, fields, "f", keep=["doc_id"]).select("doc_id", "f.*")
 
 
-def _sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, shingles as bytes) of the documents in ``ids``; one row for repeated ids."""
+def _sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(digest, set as bytes) of the classes, each from its document ``id``. No text is shuffled: documents that
+    may be among the ids, by a bitmap, are read again where they stand, and what is not asked for is left out
+    by its digest."""
+    ids = classes.select("id").distinct()
+    texts = flagged(documents.select("doc_id", "text"), ids, "doc_id").where("flag").select("text")
+
+    def kernel(found: pa.Array) -> dict[str, list]:
+        sets = [shingles(text, size) for text in found.to_pylist()]
+        return {"digest": [_digest(one) for one in sets], "set": [one.tobytes() for one in sets]}
+
+    sets = attach(texts, ["text"], kernel, "digest binary, set binary", "s", keep=[]).select("s.*")
+    return sets.join(classes.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
 
-    def kernel(texts: pa.Array) -> dict[str, list]:
-        return {"set": [shingles(t, size).tobytes() for t in texts.to_pylist()]}
 
-    texts = documents.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    return attach(texts, ["text"], kernel, "set binary", "s", keep=["id"]).select("id", "s.set")
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    held = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"
+    held = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("set_a")), "a").join(
+        sets.select(F.col("digest").alias("b"), F.col("set").alias("set_b")), "b"
     )
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +165,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.loc[good, ["a", "b"]]
 
-    return held.select("a", "b", "set_a", "set_b").mapInPandas(check, "a bigint, b bigint")
+    return held.select("a", "b", "set_a", "set_b").mapInPandas(check, "a binary, b binary")
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -172,82 +181,109 @@ def _star_pairs(stars: DataFrame, limit: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("sketch_a", "sketch_b"))
                 yield batch.loc[_ones(x ^ y) <= limit, ["a", "b"]]
 
-    return stars.mapInPandas(check, "a bigint, b bigint")
+    return stars.mapInPandas(check, "a binary, b binary")
 
 
-def _across(members: DataFrame, percent: int, limit: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between components inside a band: enough of them to join what belongs together.
+_PART = ["band", "low", "high"]
 
-    ``members``: band, id, component, n (rows of the band), bands, sketch, set. A band of up to ``block``
-    rows is one group. A larger one is dealt into parts by a hash of the id, and each pair of parts is a
-    group of its own, so no task holds more than two parts.
-    """
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (band, digest, component, n, bands, sketch) in groups band, low, high. A band of up to ``block``
+    rows is one group. A larger one is dealt into parts by a hash, and each pair of parts is a group of its
+    own, so no task holds more than two parts."""
     width = F.ceil(F.col("n") / block).cast("int")
-    dealt = members.withColumn("width", width).withColumn("home", F.pmod(F.xxhash64("id"), F.col("width")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).select(
+    dealt = members.withColumn("width", width).withColumn("home", F.pmod(F.xxhash64("digest"), F.col("width")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).select(
         "band", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"),
-        "home", "id", "component", "bands", "sketch", "set",
+        "home", "digest", "component", "bands", "sketch",
     )
 
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        band, low, high = (k.as_py() for k in key)
-        a, b = _linked(band, rows, low, high, percent, limit)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("band", "low", "high").applyInArrow(compare, "a bigint, b bigint")
 
+def _across(members: DataFrame, sets: DataFrame, percent: int, limit: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between components inside a band: enough of them to join what belongs together.
 
-def _linked(band: int, rows: pa.Table, low: int, high: int, percent: int, limit: int) -> tuple[list[int], list[int]]:
-    out_a: list[int] = []
-    out_b: list[int] = []
-    home, ids = rows["home"].to_numpy(), rows["id"].to_numpy()
-    names, group = np.unique(rows["component"].to_numpy(), return_inverse=True)
-    if len(names) < 2:
+    Groups are gone through twice. First the sketches alone tell which rows have a partner that may be
+    linked to them; only these, mostly a few, then meet again with their full sets.
+    """
+    dealt = _dealt(members, block)
+
+    def sketched(key: tuple, rows: pa.Table) -> pa.Table:
+        found = _Group(key[0].as_py(), rows).partnered(key[1].as_py(), key[2].as_py(), limit)
+        return rows.select([*_PART, "home", "digest", "component", "bands", "sketch"]).take(pa.array(found))
+
+    kinds = "band bigint, low int, high int, home int, digest binary, component binary, bands array<bigint>, sketch binary"
+    open_rows = settle(dealt.groupBy(*_PART).applyInArrow(sketched, kinds), "minhash-open").join(sets, "digest")
+
+    def compared(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b = _Group(key[0].as_py(), rows).linked(key[1].as_py(), key[2].as_py(), percent, limit)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    columns = open_rows.select(*_PART, "home", "digest", "component", "bands", "sketch", "set")
+    return columns.groupBy(*_PART).applyInArrow(compared, "a binary, b binary")
+
+
+class _Group:
+    """The rows of one group of a band."""
+
+    def __init__(self, band: int, rows: pa.Table):
+        self.rows = rows
+        self.home = rows["home"].to_numpy()
+        self.digests = rows["digest"].to_pylist()
+        numbers: dict[bytes, int] = {}
+        self.group = np.array([numbers.setdefault(c, len(numbers)) for c in rows["component"].to_pylist()], np.int64)
+        self.sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(self.digests), -1)
+        bands = np.array(rows["bands"].to_pylist(), np.int64)
+        self.earlier = bands[:, : int(np.flatnonzero(bands[0] == band)[0])]
+
+    def candidates(self, low: int, high: int, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row of part ``low``, and those of part ``high`` in another component whose sketch is near enough,
+        the nearest first. A pair that shares an earlier band was looked at there."""
+        right = np.flatnonzero(self.home == high)
+        for i in np.flatnonzero(self.home == low).tolist():
+            others = right[(self.group[right] != self.group[i]) & ((right > i) | (low != high))]
+            if len(others):
+                odd = _ones(self.sketch[others] ^ self.sketch[i])
+                near = np.flatnonzero(odd <= limit)
+                near = near[~(self.earlier[others[near]] == self.earlier[i]).any(axis=1)]
+                yield i, others[near[np.argsort(odd[near], kind="stable")]]
+
+    def partnered(self, low: int, high: int, limit: int) -> np.ndarray:
+        """Places of the rows with a candidate."""
+        found = np.zeros(len(self.digests), bool)
+        for i, others in self.candidates(low, high, limit):
+            found[others] = True
+            found[i] |= len(others) > 0
+        return np.flatnonzero(found)
+
+    def linked(self, low: int, high: int, percent: int, limit: int) -> tuple[list[bytes], list[bytes]]:
+        """Links found on the full sets. What a link has joined is one component from then on."""
+        out_a: list[bytes] = []
+        out_b: list[bytes] = []
+        packed, sets, group = self.rows["set"], {}, self.group
+
+        def shingle_set(i: int) -> frozenset:
+            if i not in sets:
+                sets[i] = frozenset(np.frombuffer(packed[i].as_py(), np.uint64).tolist())
+            return sets[i]
+
+        for i, others in self.candidates(low, high, limit):
+            for j in others.tolist():
+                if group[i] == group[j]:
+                    continue
+                x, y = shingle_set(i), shingle_set(j)
+                both = len(x & y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out_a.append(self.digests[i])
+                    out_b.append(self.digests[j])
+                    group[group == group[j]] = group[i]
         return out_a, out_b
-    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
-    bands = np.array(rows["bands"].to_pylist(), np.int64)
-    place = int(np.flatnonzero(bands[0] == band)[0])
-    earlier = bands[:, :place]
-    packed = rows["set"]
-    sets: dict[int, frozenset] = {}
-
-    def shingle_set(i: int) -> frozenset:
-        if i not in sets:
-            sets[i] = frozenset(np.frombuffer(packed[i].as_py(), np.uint64).tolist())
-        return sets[i]
-
-    right = np.flatnonzero(home == high)
-    for i in np.flatnonzero(home == low).tolist():
-        others = right[(group[right] != group[i]) & ((ids[right] > ids[i]) | (low != high))]
-        if not len(others):
-            continue
-        odd = _ones(sketch[others] ^ sketch[i])
-        near = odd <= limit
-        others, odd = others[near], odd[near]
-        fresh_pair = ~(earlier[others] == earlier[i]).any(axis=1)
-        others = others[fresh_pair][np.argsort(odd[fresh_pair], kind="stable")]
-        for j in others.tolist():
-            if group[i] == group[j]:
-                continue
-            x, y = shingle_set(i), shingle_set(j)
-            both = len(x & y)
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                out_a.append(int(ids[i]))
-                out_b.append(int(ids[j]))
-                group[group == group[j]] = group[i]
-    return out_a, out_b
-
 
-def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    Rows are linked when the sets of their ``size``-word shingles have a Jaccard similarity of at least
-    ``percent``/100. ``component_id`` is the smallest doc_id reachable, ``kept`` marks that row.
-    Texts without words (NULL, empty) are linked with nothing. Rows without an id are linked with
-    nothing, keep a NULL component and are kept. Rows with a repeated id are repeated in the result.
-    """
-    spark = documents.sparkSession
-    ship(spark)
+def _placed(documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per row: doc_id, n_shingles, digest, component (a digest), component_id (the smallest doc_id in it), and
+    lead, the digest of the document that stands for the component. All but the first three are NULL for rows
+    without an id or without words."""
+    ship(documents.sparkSession)
     limit = most_odd_bits(percent / 100, SAMPLES, SKETCH_BITS)
     found = settle(features(documents.select("doc_id", "text"), size), "minhash-features")
     usable = found.where("doc_id is not null and digest is not null")
@@ -255,37 +291,87 @@ def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")),
         "minhash-classes",
     )
-    banded = classes.select(F.explode("bands").alias("band"), "id")
+    banded = classes.select(F.explode("bands").alias("band"), "digest")
     crowded = settle(
-        banded.groupBy("band").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1"), "minhash-bands"
+        banded.groupBy("band").agg(F.min("digest").alias("low"), F.count("*").alias("n")).where("n > 1"), "minhash-bands"
     )
     members = settle(banded.join(crowded, "band"), "minhash-members")  # left side may be hot, right side is unique
-    sketches = classes.select("id", "sketch")
-    stars = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(
-        sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a"
+    sketches = classes.select("digest", "sketch")
+    stars = members.where("digest <> low").select(F.col("low").alias("a"), F.col("digest").alias("b")).distinct()
+    stars = stars.join(sketches.select(F.col("digest").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(
+        sketches.select(F.col("digest").alias("a"), F.col("sketch").alias("sketch_a")), "a"
     )
     near = settle(_star_pairs(stars.select("a", "b", "sketch_a", "sketch_b"), limit), "minhash-stars")
-    sets = settle(_sets(documents, members.select("id").distinct(), size).dropDuplicates(["id"]), "minhash-sets")
+    asked = classes.select("digest", "id").join(members.select("digest").distinct(), "digest", "left_semi")
+    sets = settle(_sets(documents, settle(asked, "minhash-asked"), size), "minhash-sets")
     links = settle(_confirmed(near, sets, percent), "minhash-links")
     joined = connected_components(links, "minhash-first")
     # What the stars have left apart: bands whose classes are in more than one component.
-    placed = members.join(joined, "id", "left").select(
-        "band", "id", F.coalesce("component", "id").alias("component"), "n"
+    apart = members.join(joined.select(F.col("id").alias("digest"), "component"), "digest", "left").select(
+        "band", "digest", F.coalesce("component", "digest").alias("component"), "n"
     )
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    apart = (
-        placed.join(mixed, "band")
-        .join(classes.select("id", "bands", "sketch"), "id")
-        .join(sets, "id")
-        .select("band", "id", "component", "n", "bands", "sketch", "set")
+    mixed = apart.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    apart = apart.join(mixed, "band").join(classes.select("digest", "bands", "sketch"), "digest")
+    more = settle(_across(apart, sets, percent, limit), "minhash-across")
+    linked = connected_components(links.union(more), "minhash-second").select(F.col("id").alias("digest"), "component")
+    of_class = classes.select("digest", "id").join(linked, "digest", "left").select(
+        "digest", "id", F.coalesce("component", "digest").alias("component")
     )
-    more = settle(_across(apart, percent, limit), "minhash-across")
-    linked = connected_components(links.union(more), "minhash-second")
-    placed_classes = classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
-    return found.join(placed_classes, "digest", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_component")), "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("class_component", "doc_id"), F.lit(True)).alias("kept"),
+    first = of_class.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"))
+    whole = of_class.join(first, "component").select(
+        "digest", "component", F.col("first.id").alias("component_id"), F.col("first.digest").alias("lead")
     )
+    rows = found.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left")
+    known = [F.when(F.col("doc_id").isNotNull(), F.col(name)).alias(name) for name in ("component", "component_id", "lead")]
+    return rows.select("doc_id", "n_shingles", "digest", *known)
+
+
+def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Rows are linked when the sets of their ``size``-word shingles have a Jaccard similarity of at least
+    ``percent``/100. ``component_id`` is the smallest doc_id reachable, ``kept`` marks that row.
+    Texts without words (NULL, empty) are linked with nothing. Rows without an id are linked with
+    nothing, keep a NULL component and are kept. Rows that share an id are documents of their own: each is
+    linked by its own text, and links of one are none of the other.
+    """
+    rows = _placed(documents, size, percent)
+    root = F.coalesce("component_id", "doc_id")
+    return rows.select(
+        "doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept")
+    )
+
+
+def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` without near-duplicates: of each group the document with the smallest id stays, and of those
+    with the same smallest id the one with the smallest digest.
+
+    Rows that repeat an id and a text are one document. Rows without an id or without words stay, but for
+    rows that repeat an id and have no words either. Texts are not shuffled: the ids that go, and those that
+    stand for more than one row, are looked up by a bitmap, and only what it marks is decided by a join.
+    """
+    rows = settle(_placed(documents, size, percent).where("doc_id is not null"), "minhash-placed")
+    stays = F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("digest") == F.col("lead")), F.lit(True))
+    rows = rows.withColumn("stays", stays)
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("stays").alias("stays"))
+    special = settle(ids.where("n > 1 or not stays").select("doc_id", (F.col("n") > 1).alias("again")), "minhash-special")
+    names = documents.columns
+    flag, again = fresh(documents, "flag"), fresh(documents, "again")
+    marked = flagged(documents, special, "doc_id", flag)
+    untouched = marked.where(~F.col(flag)).select(*names)
+    touched = marked.where(flag).join(special.withColumnRenamed("again", again), "doc_id", "left")
+    false_hits = touched.where(F.col(again).isNull()).select(*names)
+    # A repeated id: decided by the text, row by row.
+    repeated = touched.where(again).select(*names)
+
+    def kernel(texts: pa.Array) -> dict[str, list]:
+        sets = [shingles(text, size) for text in texts.to_pylist()]
+        return {"digest": [_digest(one) if len(one) else None for one in sets], "text": [text or "" for text in texts.to_pylist()]}
+
+    key = fresh(documents, "digested")
+    named = attach(repeated, ["text"], kernel, "digest binary, text string", key)
+    wanted = rows.where("stays").join(special.where("again").select("doc_id"), "doc_id", "left_semi")
+    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    same = (F.col("doc_id") == F.col("_id")) & F.col(f"{key}.digest").eqNullSafe(F.col("_digest"))
+    one_each = named.join(wanted, same, "left_semi").withColumn(again, F.xxhash64(f"{key}.text")).dropDuplicates(["doc_id", again])
+    return untouched.unionByName(false_hits).unionByName(one_each.select(*names))

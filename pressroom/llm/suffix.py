@@ -29,16 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import attach, fresh, run_ends, settle, ship
+from pressroom.llm.common import attach, bitmap, flagged, fresh, run_ends, settle, ship
 
 WINDOW, GRAM = 100, 32
 GROUP_BYTES = 4 << 20
 MERGE_BYTES = 1 << 17  # of records merged at once: what fits a processor cache
 SHARDS = 4
 MOST_BITS = 28  # of the bitmap of anchors: 32 MB
-DOCUMENT_BITS = 24  # of the bitmap of documents: 2 MB
 HOT_LEAST, HOT_SHARE = 2_000, 100_000
-_PAGE = 15  # bits of a bitmap's page number are those above
 _BLOCK = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -92,23 +90,6 @@ def _counted(documents: DataFrame) -> DataFrame:
     return found.select(F.explode("found.anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def bitmap(numbers: DataFrame, column: str, count: int, most_bits: int = MOST_BITS) -> np.ndarray:
-    """Bits of the low digits of ``column`` (well mixed numbers); its size follows ``count`` up to ``most_bits``."""
-    bits = min(most_bits, max(_PAGE, (16 * count).bit_length()))
-    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    pages = numbers.select(F.shiftright(place, _PAGE).alias("page"), place.bitwiseAND(F.lit((1 << _PAGE) - 1)).cast("int").alias("bit")).distinct()
-
-    def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        ones = np.zeros(1 << _PAGE, np.uint8)
-        ones[rows["bit"].to_numpy()] = 1
-        return pa.table({"page": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(ones).tobytes()], pa.binary())})
-
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for row in pages.groupBy("page").applyInArrow(pack, "page bigint, bits binary").toLocalIterator():
-        out[row.page << (_PAGE - 3) : (row.page + 1) << (_PAGE - 3)] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
 def _marked(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     place = numbers & (8 * len(bits) - 1)
     return (bits[place >> 3] >> (7 - (place & 7))) & 1 == 1
@@ -297,7 +278,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     total = total or 0
     limit = max(HOT_LEAST, total // HOT_SHARE)  # so at most HOT_SHARE anchors are hot
     hot = {row.anchor: 1 + row.n // limit for row in anchors.where(F.col("n") >= limit).collect()}
-    bits = bitmap(anchors, "anchor", distinct)
+    bits = bitmap(anchors, "anchor", distinct, MOST_BITS)
     groups = 1 + total * 140 // GROUP_BYTES
     dealt = settle(_dealt(named, bits, hot, groups), "suffix-records")
     compared = (
@@ -331,18 +312,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spans = settle(repeated_spans(documents), "suffix-spans")
-    mixed = F.xxhash64(F.col("doc_id").cast("bigint"))
-    marks = bitmap(spans.select(mixed.alias("mark")).distinct(), "mark", spans.count(), DOCUMENT_BITS)
-    # The bitmap as a table of 64 bits a row, looked up before any shuffle: at most 4 MB.
-    words = np.packbits(np.unpackbits(marks), bitorder="little").view("<i8")
-    numbers = [(i, int(words[i])) for i in np.flatnonzero(words).tolist()]
-    table = spark.createDataFrame(numbers, "word bigint, bits bigint")
-    size = 8 * len(marks)
-    spot = mixed.bitwiseAND(F.lit(size - 1))
-    flagged = rows.withColumn("word", F.shiftright(spot, 6)).withColumn("bit", spot.bitwiseAND(F.lit(63)).cast("int"))
-    flagged = flagged.join(F.broadcast(table), "word", "left")
-    hit = F.coalesce(F.expr("shiftright(bits, bit) & 1") == 1, F.lit(False))
-    untouched = flagged.where(~hit).select(
+    marked = flagged(rows, spans.select("doc_id").distinct(), "doc_id")
+    untouched = marked.where("not flag").select(
         "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"),
         F.lit(0).cast("bigint").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"),
     )
@@ -352,7 +323,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
 
         return {"version": [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in texts.to_pylist()]}
 
-    touched = attach(flagged.where(hit).select("doc_id", "text"), ["text"], version, "version bigint", "v")
+    touched = attach(marked.where("flag").select("doc_id", "text"), ["text"], version, "version bigint", "v")
     touched = touched.select("doc_id", "text", "v.version").join(spans, ["doc_id", "version"], "left")
 
     def cut(texts: pa.Array, found: pa.Array) -> dict[str, list]:

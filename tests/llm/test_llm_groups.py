@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -46,15 +47,16 @@ def shingle_set(text, size):
 
 
 def near_groups(docs, size, percent):
-    sets = {i: shingle_set(t, size) for i, t in docs if i is not None}
-    ids = [i for i in sorted(sets) if sets[i]]
+    """Component id of every (id, set); rows without an id are left out."""
+    nodes = sorted({(i, tuple(sorted(shingle_set(t, size)))) for i, t in docs if i is not None})
     links = []
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            both = len(sets[a] & sets[b])
-            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                links.append((a, b))
-    return sets, roots_of(sets, links)
+    for n, (a, x) in enumerate(nodes):
+        for b, y in nodes[n + 1 :]:
+            both = len({*x} & {*y})
+            if both and 100 * both >= percent * (len(x) + len(y) - both):
+                links.append(((a, x), (b, y)))
+    roots = roots_of(nodes, links)
+    return {(i, frozenset(x)): roots[i, x][0] for i, x in nodes}
 
 
 def near_documents():
@@ -77,13 +79,13 @@ def test_near_duplicates(spark, size, percent):
     docs = near_documents()
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'x' AS band", "1 AS kept")
     got = minhash.components(df, size, percent).collect()
-    sets, roots = near_groups(docs, size, percent)
-    assert len(got) == len(docs)
-    for row in got:
-        if row.doc_id is None:
-            assert row.component_id is None and row.kept
-        else:
-            assert (row.n_shingles, row.component_id, row.kept) == (len(sets[row.doc_id]), roots[row.doc_id], roots[row.doc_id] == row.doc_id)
+    roots = near_groups(docs, size, percent)
+    want = []
+    for i, text in docs:
+        found = shingle_set(text, size)
+        root = roots.get((i, found))
+        want.append((i, len(found), root, i is None or root == i))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert minhash.components(df.limit(0), size, percent).count() == 0
 
 
@@ -91,17 +93,57 @@ def test_blocks_of_a_large_band(spark):
     """Blocks find the components that one group finds."""
     docs = [d for d in near_documents() if d[0] is not None and d[0] >= 100][:-1]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    found = minhash.features(df, 3).select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), "bands", "sketch")
+    whole = minhash.features(df, 3).where("digest is not null").dropDuplicates(["digest"])
+    found = whole.select(F.explode("bands").alias("band"), "digest", "bands", "sketch")
     n = found.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    sets = minhash._sets(df, df.select(F.col("doc_id").alias("id")), 3)
-    members = found.join(n, "band").join(sets, "id").withColumn("component", F.col("id"))
+    sets = minhash._sets(df, whole.select("digest", F.col("doc_id").alias("id")), 3)
+    members = found.join(n, "band").withColumn("component", F.col("digest"))
     limit = minhash.most_odd_bits(0.85, minhash.SAMPLES, minhash.SKETCH_BITS)
     results = [
-        {r.id: r.component for r in connected_components(minhash._across(members, 85, limit, block)).collect()} for block in (1_000, 3)
+        {bytes(r.id): bytes(r.component) for r in connected_components(minhash._across(members, sets, 85, limit, block)).collect()}
+        for block in (1_000, 3)
     ]
     assert results[0] == results[1]
-    _, roots = near_groups(docs, 3, 85)
-    assert all(results[0].get(i, i) == c for i, c in roots.items())
+    roots = near_groups(docs, 3, 85)
+    digests = {i: minhash._digest(minhash.shingles(t, 3)) for i, t in docs}
+    group = defaultdict(set)
+    for (i, found), root in roots.items():
+        if found:
+            group[root].add(results[0].get(digests[i], digests[i]))
+    assert all(len(names) == 1 for names in group.values()) and len(set.union(*group.values())) == len(group)
+
+
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
+def test_one_id_on_two_texts(spark, size, percent):
+    """Each text is linked by itself; a text that is like nothing stays, whatever else has its id."""
+    rng = random.Random(size)
+    base = [[f"w{rng.randrange(10_000)}" for _ in range(60)] for _ in range(4)]
+    text = lambda n, *tail: " ".join([*base[n], *tail])
+    docs = [(5, text(0)), (7, text(0, "x")), (7, text(1)), (9, text(2)), (9, text(2)), (9, text(2, "y")), (4, text(3)), (4, text(3, "z")), (6, text(3, "u"))]
+    docs += [(11, ""), (11, None), (12, None), (None, text(0)), (None, None), (9, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'x' AS flag", "1 AS digest", "2 AS again", "3 AS word")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.components(df, size, percent).where("doc_id in (5, 7)").collect())
+    assert got == [(5, 5, True), (7, 5, False), (7, 7, True)]
+    kept = minhash.drop_near_duplicates(df, size, percent)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    texts = Counter((r.doc_id, r.text or "") for r in rows)
+    assert {k for k in texts if k[0] in (5, 7, 6)} == {(5, text(0)), (7, text(1))}
+    assert sum(n for (i, t), n in texts.items() if i == 9 and t) == 1 and texts[9, ""] == 1
+    assert sum(n for (i, _), n in texts.items() if i == 4) == 1
+    assert texts[11, ""] == 1 and texts[12, ""] == 1 and texts[None, text(0)] == 1 and texts[None, ""] == 1
+
+
+def test_dropping_keeps_one_of_each_group(spark):
+    docs = near_documents()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    rows = minhash.drop_near_duplicates(df, 3, 85).collect()
+    roots = near_groups(docs, 3, 85)
+    kept = [(r.doc_id, shingle_set(r.text, 3)) for r in rows if r.doc_id is not None]
+    groups = Counter(roots[key] for key in kept if key[1])
+    assert set(groups) == {root for (_, found), root in roots.items() if found} and set(groups.values()) == {1}
+    assert {i for i, t in docs if not shingle_set(t, 3)} == {r.doc_id for r in rows if not shingle_set(r.text, 3)}
+    assert minhash.drop_near_duplicates(df.limit(0), 3, 85).count() == 0
 
 
 def test_odd_sketch_bound():
@@ -247,6 +289,10 @@ def test_obfuscation_and_nearness():
     masked = dict(zip(names, toxicity.measure("an 1d10t here", {"idiot": 2.0}, {})))
     assert plain["hits"] == 1 and plain["near_share"] == 1 and masked["hits"] == 0 and masked["disguised_hits"] == 1
     assert toxicity.measure("", {}, {}) == [0.0] * len(names)
+    friendly = dict(zip(names, toxicity.measure("you and your friends are fine", {"idiot": 2.0}, {})))
+    assert friendly["second_person"] == 2 / 6 and friendly["hits"] == 0
+    long = dict(zip(names, toxicity.measure("an " + "1d10t" * 30 + " here", {"idiot" * 30: 2.0}, {})))
+    assert long["disguised_hits"] == 1 and long["disguised_rate"] > 0
 
 
 def test_shouted_words_in_long_text():
