@@ -31,12 +31,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.
 
-    Rows that repeat an id and a text are one document. Rows without an id stay.
+    Rows that repeat an id and a text are one document, rows that repeat an id with another text are documents
+    of their own. Rows without an id stay.
     """
-    groups = minhash.components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    return minhash.drop_near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
