@@ -1,7 +1,8 @@
 """Embedding near-duplicates by int8 tile products with error bounds.
 
-Equal vectors are one class; only one of them is compared. Classes are dealt to pivots (a bounded
-sample of the vectors) and, by a hash, into tiles of at most about ``TILE`` vectors. Two pivots whose
+Equal vectors are one class; only one of them is compared. Classes are dealt to pivots (a sample of the
+vectors, one for each ``TILE`` of them, at most ``PIVOTS`` of each size) and, by a hash, into tiles of at most about
+``TILE`` vectors: a vector meets no more tiles than its table has. Two pivots whose
 vectors cannot be near (the angle between the centres minus both radii is above the threshold angle)
 are not compared. Every other pair of tiles is one task:
 
@@ -19,10 +20,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.llm.common import attach, connected_components, settle, ship
+from pressroom.operators.ranking import first_n_per_key
 
 THRESHOLD = 0.9
 TILE = 4096
@@ -146,32 +148,42 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: i
 
     A vector that is NULL, empty, zero, or holds NULL or non-finite components links with nothing;
     vectors of different lengths do not link. Rows with a NULL id link with nothing, have no component
-    and are kept. Repeated rows count as vectors of their own.
+    and are kept. Repeated rows, and rows that share an id, count as vectors of their own: each is linked by its
+    own components, and links of one are none of the other.
     """
     spark = embeddings.sparkSession
     ship(spark)
     keyed = settle(_keyed(embeddings), "vectors")
-    classes = settle(
-        keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.min("vector").alias("vector")),
-        "vector-classes",
+    grouped = keyed.where("key is not null").groupBy("key").agg(
+        F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.min("vector").alias("vector")
     )
+    # Written once, so these numbers are fixed; an id may stand for more than one class.
+    classes = settle(grouped.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     size = F.length("vector")
-    # Sizes of vectors are a property of the model that made them: a handful.
-    samples = classes.select("vector", size.alias("size"), F.xxhash64("key").alias("h"))
-    pivots: dict[int, np.ndarray] = {}
-    for row in samples.groupBy("size").count().collect():
-        chosen = samples.where(F.col("size") == row.size).orderBy("h", "vector").limit(PIVOTS).collect()
-        pivots[row.size] = _units(_matrix([r.vector for r in chosen]))
+    # Sizes of vectors are a property of the model that made them: mostly one. All pivots come in one job.
+    rows_of = {row.size: row["count"] for row in classes.groupBy(size.alias("size")).count().collect()}
+    counts = spark.createDataFrame([(k, min(PIVOTS, -(-n // tile))) for k, n in rows_of.items()], "size int, wanted int")
+    sampled = classes.select("vector", size.alias("size"), F.xxhash64("key").alias("h")).join(F.broadcast(counts), "size")
+    firsts = first_n_per_key(sampled, ["size"], ["h", "vector"], PIVOTS)
+    order = Window.partitionBy("size").orderBy("h", "vector")  # at most PIVOTS rows of each size
+    chosen = firsts.withColumn("place", F.row_number().over(order)).where("place <= wanted")
+    vectors_of: dict[int, list[bytes]] = {}
+    for row in chosen.orderBy("size", "place").toLocalIterator():
+        vectors_of.setdefault(row.size, []).append(row.vector)
+    pivots = {k: _units(_matrix(found)) for k, found in vectors_of.items()}
     placed = settle(_with_pivot(classes, pivots), "vector-places")
     groups = placed.groupBy(size.alias("size"), "pivot").agg(F.count("*").alias("rows"), F.max("angle").alias("radius")).collect()
     reach = math.acos(threshold) + 1e-6
+    by_size: dict[int, list] = {}
+    for group in groups:
+        by_size.setdefault(group.size, []).append(group)
     partners = []
-    for a in groups:
-        for b in groups:
-            if a.size == b.size:
-                cosine = float(np.clip(pivots[a.size][a.pivot] @ pivots[b.size][b.pivot], -1, 1))
-                if math.acos(cosine) - a.radius - b.radius <= reach:
-                    partners.append((a.size, a.pivot, -(-a.rows // tile), b.pivot, -(-b.rows // tile)))
+    for kind, same_size in by_size.items():
+        cosines = np.clip(pivots[kind] @ pivots[kind].T, -1, 1)
+        for a in same_size:
+            for b in same_size:
+                if math.acos(cosines[a.pivot, b.pivot]) - a.radius - b.radius <= reach:
+                    partners.append((kind, a.pivot, -(-a.rows // tile), b.pivot, -(-b.rows // tile)))
     if not partners:
         partners = [(0, 0, 1, 0, 1)]
     # At most PIVOTS**2 rows for each size of vectors: bounded, whatever the number of vectors.
@@ -190,15 +202,18 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: i
     )
     counts = found.groupBy("id").agg(F.sum("n").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "vector-components")
-    per_class = (
-        classes.select("key", "id", "n")
+    joined = (
+        classes.select("key", "id", "vec_id", "n")
         .join(counts, "id", "left")
         .join(parts, "id", "left")
-        .select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("found"))
+        .select("key", "vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("part"))
     )
+    lowest = joined.groupBy("part").agg(F.min("vec_id").alias("found"))
+    per_class = joined.join(lowest, "part").select("key", "n_links", "found")
+    root = F.coalesce("found", "vec_id")
     return keyed.select("vec_id", "key").join(per_class, "key", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("found", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("found", "vec_id"), F.lit(True)).alias("kept"),
+        root.alias("component_id"),
+        F.coalesce(F.col("vec_id") == root, F.lit(True)).alias("kept"),
     )

@@ -243,6 +243,20 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_id_on_two_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (7, [0.99, 0.01, 0.0]), (7, [0.0, 0.0, 1.0]), (9, [0.0, 1.0, 0.0]), (9, [0.0, 1.0, 0.0]), (4, [0.0, 0.99, 0.05])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (4, 2, 4, True), (7, 0, 7, True), (7, 1, 1, False), (9, 2, 4, False), (9, 2, 4, False)]
+
+
+def test_many_sizes_of_vectors(spark):
+    rows = [(100 * n + i, [1.0 + i * 1e-3] + [0.5] * n) for n in range(1, 60) for i in range(2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in vectors.near_duplicates(df).collect()}
+    assert got == {i: i - i % 100 for i, _ in rows}
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(7)
     tile = vectors._Tile(np.arange(200), np.ones(200, int), rng.normal(size=(200, 64)))
