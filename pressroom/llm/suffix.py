@@ -7,12 +7,12 @@ on ties. Equal windows have equal anchors in the same place, so
 1. anchors of all documents are counted (combined before the shuffle); those met once are done with;
 2. consecutive windows with one anchor form a record, the bytes they cover. Records whose anchor may be
    repeated, by a bitmap of bounded size, are dealt into groups by anchor. A false hit of the bitmap
-   costs work, no result. An anchor with many occurrences (``hot``) is also dealt by document;
+   costs work, no result. An anchor with many occurrences (``hot``) is also dealt by document and place;
 3. in a group, equal records are folded. The rest is cut into shards, each with its own suffix order and
    Burrows-Wheeler transform. The transforms are merged by refining their interleave: each round sorts
-   the shard numbers stably by the preceding byte, after round k the rows are ordered by their first
-   k bytes, and block borders tell where common prefixes end. After ``WINDOW`` rounds a block of more
-   than one window is a repeated interval. No suffixes are sorted again across shards;
+   the rows stably by the preceding byte, after round k the rows are ordered by their first k bytes, and
+   block borders tell where common prefixes end. A row alone in its block is done. After ``WINDOW`` rounds a
+   block of more than one window is a repeated interval. No suffixes are sorted again across shards;
 4. hot anchors: each group reports the first place of every distinct window, and the smallest of
    these decides;
 5. the spans go back to their documents. Only documents that may have spans, by a bitmap of ids, are
@@ -74,14 +74,13 @@ def records(data: bytes, window: int = WINDOW, gram: int = GRAM) -> Iterator[tup
 
 
 def _counted(documents: DataFrame) -> DataFrame:
-    """(anchor, n) of the anchors met more than once; n counts at most two in each document."""
+    """(anchor, n) of the anchors met more than once."""
 
     def kernel(texts: pa.Array) -> dict[str, list]:
         out = []
         for text in texts.to_pylist():
             parts = [anchors for anchors, *_ in records((text or "").encode())]
-            anchors, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0))
-            out.append(np.concatenate((anchors, anchors[n > 1])))
+            out.append(np.concatenate([np.zeros(0, np.int64), *parts]))
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in out])))
         values = np.concatenate(out) if out else np.zeros(0, np.int64)
         return {"anchors": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))}
@@ -120,7 +119,8 @@ def _dealt(documents: DataFrame, bits: np.ndarray, hot: dict[int, int], groups:
                         own.append((a, b + WINDOW))
                         continue
                     seen.add((anchor, body))
-                    salt = 1 + version % salts[anchor] if anchor in salts else 0
+                    # By document and place: one text may hold a hot anchor thousands of times.
+                    salt = 1 + (version + a // WINDOW * 0x9E3779B1) % salts[anchor] if anchor in salts else 0
                     rows.append({"group_no": (anchor >> 8) % groups, "salt": salt, "anchor": anchor, "first": a, "last": b, "bytes": body})
             out["version"].append(version - (1 << 63))
             out["records"].append(rows)
@@ -167,45 +167,53 @@ class Shard:
             step *= 2
 
 
-def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all shards (numbered through) in the order of their first ``depth`` bytes, and their blocks.
+def merge(shards: list[Shard], rows: np.ndarray, depth: int, singles: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """``rows`` (numbered through all shards) after ``depth`` steps to the left, in the order of the bytes that they
+    have stepped over, and their blocks: rows of one block have the same ``depth`` bytes.
 
     Each round sorts the rows stably by the byte before them and steps to their left neighbours, which
-    every shard knows from its own transform. Rows with equal blocks have a common prefix of ``depth``
-    bytes, or are equal and shorter.
+    every shard knows from its own transform. A row that is alone in its block stays alone, whatever stands to
+    its left, so it is left out from then on, unless ``singles`` are asked for.
     """
     starts = np.concatenate(([0], np.cumsum([len(s.before) for s in shards])))
     before = np.concatenate([s.before for s in shards])
     left = np.empty(len(before), np.int32)
     for shard, start in zip(shards, starts):
         left[start + np.argsort(shard.before, kind="stable")] = start + np.arange(len(shard.before))
-    ends = np.concatenate([a + np.arange(s.records) for s, a in zip(shards, starts)]).astype(np.int32)
-    n_ends = len(ends)
-    rows, block = np.arange(len(before), dtype=np.int32), np.zeros(len(before), np.int32)
-    border = np.zeros(len(before), bool)
+    rows, block = rows.astype(np.int32), np.zeros(len(rows), np.int32)
     for _ in range(depth):
         byte = before.take(rows)
-        order = np.argsort(byte, kind="stable")[n_ends:]  # ends of records come first, in the order of shards
+        order = np.argsort(byte, kind="stable")
         byte, old = byte.take(order), block.take(order)
-        rows = np.concatenate((ends, left.take(rows.take(order))))
-        border[n_ends : n_ends + 1] = True
-        np.not_equal(byte[1:], byte[:-1], out=border[n_ends + 1 :])
-        border[n_ends + 1 :] |= old[1:] != old[:-1]
-        block = np.cumsum(border, dtype=np.int32)
+        rows = left.take(rows.take(order))
+        first = np.ones(len(rows) + 1, bool)
+        np.not_equal(byte[1:], byte[:-1], out=first[1:-1])
+        first[1:-1] |= old[1:] != old[:-1]
+        block = np.cumsum(first[:-1], dtype=np.int32)
+        if not singles:
+            alone = first[:-1] & first[1:]
+            if 8 * np.count_nonzero(alone) > len(rows):
+                rows, block = rows[~alone], block[~alone]
+    if not singles and len(rows):
+        first = np.concatenate(([True], block[1:] != block[:-1], [True]))
+        rows, block = rows[~(first[:-1] & first[1:])], block[~(first[:-1] & first[1:])]
     return rows.astype(np.int64), block
 
 
-def repeated_windows(bodies: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, offset, interval) of all windows: equal numbers are equal strings.
+def repeated_windows(bodies: list[bytes], windows: np.ndarray, singles: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, offset, interval) of the windows: equal numbers are equal strings. Windows that are met once are
+    left out, unless ``singles`` are asked for.
 
     ``windows``: how many windows each record has, from its start on.
     """
     count = max(1, min(SHARDS, len(bodies)))
     cuts = np.linspace(0, len(bodies), count + 1).astype(int)
     shards = [Shard(bodies[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
-    placed, block = merge(shards, WINDOW)
-    record = np.concatenate([s.record + a for s, a in zip(shards, cuts)])[placed]
-    offset = np.concatenate([s.offset for s in shards])[placed]
+    record = np.concatenate([s.record + a for s, a in zip(shards, cuts)])
+    offset = np.concatenate([s.offset for s in shards])
+    # A window is found from its end, WINDOW steps to the left: one row for each window starts there.
+    placed, block = merge(shards, np.flatnonzero(offset >= WINDOW), WINDOW, singles)
+    record, offset = record[placed], offset[placed]
     keep = offset < windows[record]
     return record[keep], offset[keep], block[keep]
 
@@ -232,7 +240,9 @@ def _group(rows: pa.Table) -> pa.Table:
     def settle_batch(batch: list[tuple[int, bytes, tuple]]) -> None:
         bodies = [body for _, body, _ in batch]
         windows = np.array([last - first + 1 for _, _, (_, _, first, last) in batch])
-        record, offset, interval = repeated_windows(bodies, windows)
+        record, offset, interval = repeated_windows(bodies, windows, salted)
+        if not len(record):
+            return
         # batch is in the order of (document, place) inside an anchor, so the smallest record is the first
         order = np.lexsort((offset, record, interval))
         record, offset, interval = record[order], offset[order], interval[order]

@@ -206,6 +206,18 @@ def test_repeated_passages(spark, monkeypatch, hot, merge_bytes):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_one_text_that_repeats_a_line_very_often(spark, monkeypatch):
+    """An anchor thousands of times in one text, between differing surroundings."""
+    monkeypatch.setattr(suffix, "HOT_LEAST", 500)
+    rng = random.Random(12)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(110))
+    texts = ["".join(f"{rng.randrange(10**9)} {line} {rng.randrange(10**6)}\n" for _ in range(n)) for n in (4_000, 30)]
+    docs = [(1, texts[0]), (2, texts[1]), (3, "x" + line)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted(tuple(r)[:5] for r in suffix.remove_repeats(df).collect())
+    assert got == repeats(docs)
+
+
 def test_merged_transforms_equal_a_full_sort():
     random.seed(6)
     bodies = ["".join(random.choice("ab") for _ in range(random.choice([100, 120, 160]))).encode() for _ in range(24)]
@@ -215,6 +227,11 @@ def test_merged_transforms_equal_a_full_sort():
     text = [bodies[r][o : o + 100] for r, o in zip(record.tolist(), offset.tolist())]
     assert len(text) == windows.sum() and text == sorted(text)
     assert all((a == b) == (i == j) for a, b, i, j in zip(text, text[1:], interval.tolist(), interval[1:].tolist()))
+    some = suffix.repeated_windows(bodies, windows, singles=False)
+    many = Counter(text)
+    assert sorted((r, o) for r, o, t in zip(record.tolist(), offset.tolist(), text) if many[t] > 1) == sorted(zip(some[0].tolist(), some[1].tolist()))
+    places = list(zip(*(x.tolist() for x in some)))
+    assert all((bodies[r][o : o + 100] == bodies[q][p : p + 100]) == (i == j) for (r, o, i), (q, p, j) in zip(places, places[1:]))
 
 
 def test_vectors(spark):
