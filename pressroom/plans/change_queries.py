@@ -11,6 +11,7 @@ from pressroom.plans.registry import query
 from pressroom.plans.text_queries import DECIDED_SQL, KEYWORDS
 from pressroom.session import shared_path
 from pressroom.sources import fixtures as fx, tables
+from pressroom.sources.keyed_table import KeyedTable
 from pressroom.streaming import comments as streams
 
 NOW = "2024-07-01 00:00:00"
@@ -144,20 +145,35 @@ def m6(spark, folder):
     return commands.request_author(fx.users(spark, folder), asked).select("id", "author_requested")
 
 
-@query(
-    "m7_settings_upsert",
-    """WITH old AS (SELECT 'user.' || user_id AS k, max(props) AS v FROM events WHERE event_type = 'view' GROUP BY user_id),
+SETTINGS_SQL = """WITH old AS (SELECT 'user.' || user_id AS k, max(props) AS v FROM events WHERE event_type = 'view' GROUP BY user_id),
          cmd AS (SELECT 'user.' || user_id AS k, arg_max(props, event_id) AS v FROM events WHERE event_type = 'click' GROUP BY user_id)
        SELECT coalesce(old.k, cmd.k) AS setting_key, CASE WHEN cmd.k IS NOT NULL THEN cmd.v ELSE old.v END AS value
-       FROM old FULL JOIN cmd ON cmd.k = old.k""",
-)
-def m7(spark, folder):
+       FROM old FULL JOIN cmd ON cmd.k = old.k"""
+
+
+def _user_settings(spark, folder):
+    """Stored settings, and commands that set some of them."""
     events = fx.table(spark, folder, "events").withColumn(
         "setting_key", F.concat(F.lit("user."), F.col("user_id").cast("string"))
     )
     stored = events.filter("event_type = 'view'").groupBy("setting_key").agg(F.max("props").alias("value"))
     asked = events.filter("event_type = 'click'").select("setting_key", F.col("props").alias("value"), F.col("event_id").alias("seq"))
-    return commands.upsert_settings(stored, asked)
+    return stored, asked
+
+
+@query("m7_settings_upsert", SETTINGS_SQL)
+def m7(spark, folder):
+    return commands.upsert_settings(*_user_settings(spark, folder))
+
+
+@query("m7_settings_table", SETTINGS_SQL)
+def m7_table(spark, folder):
+    """The same in a stored table, of which only the buckets of changed keys are rewritten."""
+    stored, asked = _user_settings(spark, folder)
+    table = KeyedTable(spark, shared_path(spark, "settings"), "setting_key", buckets=8)
+    table.upsert(stored.withColumn("seq", F.lit(-1).cast("bigint")), "seq")
+    table.upsert(asked, "seq")
+    return table.read().select("setting_key", "value")
 
 
 @query(
