@@ -132,7 +132,7 @@ def features(
 
 
 def _sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(digest, set as bytes) of the classes, each from its document ``id``. No text is shuffled: documents that
+    """(digest, set) of the classes, each from its document ``id``. No text is shuffled: documents that
     may be among the ids, by a bitmap, are read again where they stand, and what is not asked for is left out
     by its digest."""
     ids = classes.select("id").distinct()
@@ -140,9 +140,11 @@ def _sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
 
     def kernel(found: pa.Array) -> dict[str, list]:
         sets = [shingles(text, size) for text in found.to_pylist()]
-        return {"digest": [_digest(one) for one in sets], "set": [one.tobytes() for one in sets]}
+        ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+        values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        return {"digest": [_digest(one) for one in sets], "set": pa.ListArray.from_arrays(ends, pa.array(values))}
 
-    sets = attach(texts, ["text"], kernel, "digest binary, set binary", "s", keep=[]).select("s.*")
+    sets = attach(texts, ["text"], kernel, "digest binary, set array<bigint>", "s", keep=[]).select("s.*")
     return sets.join(classes.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
 
 
@@ -156,16 +158,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sets.select(F.col("digest").alias("b"), F.col("set").alias("set_b")), "b"
     )
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = []
-            for left, right in zip(batch["set_a"], batch["set_b"]):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[good, ["a", "b"]]
-
-    return held.select("a", "b", "set_a", "set_b").mapInPandas(check, "a binary, b binary")
+    # In the JVM, row by row: an Arrow batch of long sets would fill the memory of a task.
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    either = F.size("set_a") + F.size("set_b") - both
+    return held.where(100 * both >= percent * either).select("a", "b")
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -263,7 +259,7 @@ class _Group:
 
         def shingle_set(i: int) -> frozenset:
             if i not in sets:
-                sets[i] = frozenset(np.frombuffer(packed[i].as_py(), np.uint64).tolist())
+                sets[i] = frozenset(packed[i].as_py())
             return sets[i]
 
         for i, others in self.candidates(low, high, limit):
