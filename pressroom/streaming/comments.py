@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pressroom.functions.text import TOXIC_KEYWORDS
 from pressroom.operators.dedupe import TITLE_LIMIT
 from pressroom.operators.moderation import moderate
-from pressroom.streaming.state import first_of_key, is_new
+from pressroom.streaming.state import first_of_key, first_seen, is_new
 
 STREAMED_COMMENT = (
     "id BIGINT, article_id STRING, user_id BIGINT, parent_id BIGINT, content STRING, created_at TIMESTAMP"
@@ -37,15 +37,16 @@ def moderate_stream(
     """Decide each comment once and write it to the folder of its micro-batch, one sub-folder per decision.
 
     A comment that is delivered again, in the same or a later micro-batch, is dropped before it is decided
-    (``state.first_of_key``), so the sink holds one row of each. A batch that is run again after a failure
+    (``state.first_seen``), so the sink holds one row of each. A batch that is run again after a failure
     overwrites its own folder. The folder also names the run, a hash of the checkpoint's path: a new
     checkpoint over an old sink counts its batches from zero again and must not overwrite earlier decisions,
-    and it starts with the comments that the sink holds as its state.
+    and it leaves out the comments that other runs have decided.
     """
     spark = incoming.sparkSession
     run = run_id(checkpoint)
-    decided = _written(spark, sink, run, checkpoint, key, incoming.schema[key].dataType.simpleString())
-    fresh = first_of_key(incoming, key, ["created_at"], decided)
+    others = _other_runs(spark, sink, run)
+    kind = incoming.schema[key].dataType.simpleString()
+    fresh = first_seen(incoming, key, _column_of(spark, sink, others, key, kind) if others else None)
 
     def decide(batch: DataFrame, number: int) -> None:
         decided = moderate(batch, scores, keywords, key)
@@ -79,7 +80,10 @@ def keep_new_titles(
     spark = incoming.sparkSession
     run = run_id(checkpoint)
     cut = F.substring("title", 1, TITLE_LIMIT)
-    known = _written(spark, sink, run, checkpoint, "title", "string").select(cut.alias("_title"))
+    # The state that a new checkpoint starts with; an older one has its own. This run's folders are no part of
+    # it: its first batch may have failed after it had written, and then comes again.
+    others = _other_runs(spark, sink, run) if is_new(spark, checkpoint) else []
+    known = _column_of(spark, sink, others, "title", "string").select(cut.alias("_title"))
     if is_new(spark, checkpoint):
         known = known.unionByName(stored.select(cut.alias("_title")))
     fresh = first_of_key(incoming.withColumn("_title", cut), "_title", order, known).drop("_title")
@@ -116,13 +120,8 @@ def run_id(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
 
-def _written(spark: SparkSession, sink: str, run: str, checkpoint: str, column: str, kind: str) -> DataFrame:
-    """The column of what other runs have written, as the state that a new checkpoint starts with.
-
-    An older checkpoint has its state. This run's own folders are left out: its first batch may have failed
-    after it had written, and then comes again.
-    """
-    paths = _other_runs(spark, sink, run) if is_new(spark, checkpoint) else []
+def _column_of(spark: SparkSession, sink: str, paths: list[str], column: str, kind: str) -> DataFrame:
+    """One column of what stands in these folders of the sink."""
     if not paths:
         return spark.createDataFrame([], f"{column} {kind}")
     return spark.read.schema(f"{column} {kind}").option("basePath", sink).parquet(*paths).select(column)

@@ -71,6 +71,19 @@ def first_of_key(stream: DataFrame, key: str, order: Sequence[str], seen: DataFr
     return firsts.drop(_KEY).unionByName(stream.filter(F.col(key).isNull()))
 
 
+def first_seen(stream: DataFrame, key: str, seen: DataFrame | None = None) -> DataFrame:
+    """One row of each key, of the first micro-batch that holds it, where all rows of a key say the same.
+
+    The state is Spark's own and stays in the JVM; nothing is forgotten. Keys in ``seen`` (one column) are left
+    out of every micro-batch. Rows without a key all stay.
+    """
+    stream.sparkSession.conf.set(STORE_SETTING, STORE)
+    firsts = stream.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    if seen is not None:
+        firsts = firsts.join(seen.toDF(key).distinct(), key, "left_anti").select(*stream.columns)
+    return firsts.unionByName(stream.filter(F.col(key).isNull()))
+
+
 def is_new(spark: SparkSession, checkpoint: str) -> bool:
     """True if no micro-batch of this checkpoint has been committed."""
     first = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/0")
