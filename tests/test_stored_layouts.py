@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,75 @@ def test_index_over_sliced_arrays():
     index = dedupe.WordIndex(terms.slice(1), counts.slice(1))
     hits = next(index.similar(terms.slice(1, 2), counts.slice(1, 2), Fraction(4, 5), whole=True))
     assert hits.tolist() == [[True, False, True], [False, False, False]]
+
+
+def _jobs(spark, action):
+    context = spark.sparkContext
+    group = f"jobs-{random.random()}"
+    context.setJobGroup(group, "counted")
+    try:
+        action()
+        return len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context._jsc.clearJobGroup()
+
+
+def test_near_duplicate_jobs_do_not_grow_with_the_stored_words(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(5, 20)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id bigint, body string")
+    new, stored = docs.where("id % 2 = 1"), docs.where("id % 2 = 0")
+    # Some 2,400 stored pairs: 160 blocks of 15 pairs.
+    assert _jobs(spark, lambda: dedupe.flag_near_duplicates(new, stored, "id", "body", index_pairs=30).collect()) < 60
+
+
+def test_tiles_match_brute_force(spark, monkeypatch):
+    """Many tiles, few cells, words of very different frequency, repeated rows, a cosine at the threshold."""
+    monkeypatch.setattr(dedupe, "TILE_PAIRS", 2_000)
+    monkeypatch.setattr(dedupe, "WITNESSES", 3)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    shares = [1 / (i + 1) for i in range(300)]
+    text = lambda: " ".join(rng.choices(words, shares, k=rng.randint(1, 40)))
+    stored = [text() for _ in range(200)] + ["xx", "", "yy yy yy"]
+    new = [(i, text()) for i in range(200)] + [(500, "xx xx xx xx zz zz zz"), (501, "xx xx xx xx yy yy yy"), (502, "xx xx xx yy yy yy yy")]
+    new += [(503, "xx xx xx yy yy yy"), (504, "never said"), (505, None), (None, "xx"), (None, "nothing"), (7, new[7][1])]
+    frame = spark.createDataFrame(new, "id bigint, body string").repartition(3)
+    old = spark.createDataFrame(list(enumerate(stored)), "id bigint, body string")
+    flags = dedupe.flag_near_duplicates(frame, old, "id", "body", index_pairs=50)
+    bags = [Counter(t.split()) for t in stored]
+    known = set().union(*bags)
+
+    def near(text):
+        bag = {w: n for w, n in Counter((text or "").split()).items() if w in known}
+        norm = sum(n * n for n in bag.values())
+        return any(
+            25 * sum(n * other[w] for w, n in bag.items()) ** 2 >= 16 * norm * sum(n * n for n in other.values()) > 0 for other in bags
+        )
+
+    want = Counter((i, near(t)) for i, t in new)
+    assert Counter((r.id, r.near_duplicate) for r in flags.collect()) == want
+    assert want[(501, True)] and want[(503, False)] and 20 < sum(hit for _, hit in want.elements()) < 190
+
+
+def test_tile_outlines_bound_the_cosine():
+    rng = np.random.default_rng(3)
+    docs = [np.unique(np.minimum(rng.zipf(1.3, rng.integers(1, 400)), 5_000)) for _ in range(300)]
+    lists = pa.array([d.tolist() for d in docs], pa.list_(pa.int64()))
+    counts = pa.array([rng.integers(1, 9, len(d)).tolist() for d in docs], pa.list_(pa.int32()))
+    words = pa.array(np.unique(np.concatenate(docs[150:])))
+    index = dedupe.TileIndex(words, lists.slice(0, 150), counts.slice(0, 150))
+    n = counts.slice(150).flatten().to_numpy().astype(float)
+    rows = np.repeat(np.arange(150), [len(d) for d in docs[150:]])
+    place = np.searchsorted(words.to_numpy(), np.concatenate(docs[150:]))
+    squares = np.bincount(rows, n * n)
+    dense = np.zeros((300, 5_001))
+    for i, d in enumerate(docs):
+        dense[i, d] = counts[i].as_py()
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    cosine = dense[150:] @ dense[:150].T
+    bound = index.outline(rows, place, n, squares) @ index.outlines.T
+    assert (bound >= cosine - dedupe.ROUNDING).all()
+    for threshold in (Fraction(1, 2), Fraction(4, 5), Fraction(19, 20)):
+        assert index.reached(rows, place, n, squares, threshold).tolist() == (cosine >= float(threshold)).any(axis=1).tolist()
