@@ -49,11 +49,12 @@ def attach(
     fields: str,
     name: str,
     keep: Sequence[str] | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Columns ``keep`` (default: all) of every row, and the kernel's result as the struct ``name``.
 
     The kernel gets the ``inputs`` of a slice of rows as Arrow arrays and returns one value per row for
-    each of ``fields`` (DDL). No row moves. A slice ends at 16 MB of the first input, so memory is
+    each of ``fields`` (DDL). No row moves. A slice ends at ``slice_bytes`` of the first input, so memory is
     bounded by that and by the longest single value, whatever the session's batch size is.
     """
     spark = df.sparkSession
@@ -67,7 +68,7 @@ def attach(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, rows in _slices(batch.column(first)):
+            for start, rows in _slices(batch.column(first), slice_bytes):
                 part = batch.slice(start, rows)
                 found = kernel(*part.columns[first:])
                 arrays = [
@@ -75,18 +76,19 @@ def attach(
                     for f in kind
                 ]
                 yield pa.record_batch([*part.columns[:first], pa.StructArray.from_arrays(arrays, fields=list(kind))], names)
+        pa.default_memory_pool().release_unused()  # the worker may wait for its next task for long
 
     return read.mapInArrow(run, out)
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+def _slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     else:
         sizes = [0] * len(column)
     start = held = 0
     for i, size in enumerate(sizes):
-        if i > start and (held + size > SLICE_BYTES or i - start >= SLICE_ROWS):
+        if i > start and (held + size > most or i - start >= SLICE_ROWS):
             yield start, i - start
             start, held = i, 0
         held += size

@@ -22,6 +22,7 @@ from pressroom.llm.common import attach, fresh, run_ends
 
 WINDOW = 13
 BLOCK_CHARS = 2_000_000  # about 250 MB of Python objects while a block is built
+SHARD_BYTES = 4 << 20  # of text; its words and their numbers take about six times as much
 SAMPLE_EVERY = 8
 FIELDS = "n_words bigint, spans array<int>, items array<string>"
 
@@ -224,7 +225,7 @@ def find_spans(
         last = block == blocks - 1
         target = name if last else fresh(found, f"block{block}")
         kept = keep if last else [*dict.fromkeys([*keep, text])]
-        found = attach(found, [text] + ([previous] if previous else []), kernel, FIELDS, target, keep=kept)
+        found = attach(found, [text] + ([previous] if previous else []), kernel, FIELDS, target, keep=kept, slice_bytes=SHARD_BYTES)
         previous = target
     return found
 

@@ -10,11 +10,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pressroom.llm import automata, idfiles, perfect_hash, phrases, search
+from pressroom.llm import automata, decontaminate, idfiles, perfect_hash, phrases, search
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -256,3 +257,16 @@ def test_search_without_items_or_documents(spark):
     assert search.search(docs.limit(0), items).count() == 0
     assert search.search(docs, items.limit(0)).count() == 0
     assert search.search(docs, items).columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_decontamination_shards_are_small(spark):
+    """Text of 12 MB in one batch is indexed in shards of 4 MB at most, with the same spans as row by row."""
+    from pressroom.llm import common
+
+    phrase = " ".join(f"p{i}" for i in range(13))
+    texts = pa.array([f"{'x ' * 1_000_000}{phrase} tail {i}" for i in range(6)])
+    assert all(rows <= 2 for _, rows in common._slices(texts, decontaminate.SHARD_BYTES))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame([("b", phrase)], "item_id string, text string")
+    found = decontaminate.find_spans(docs, bench, "found", keep=["doc_id"]).collect()
+    assert {r.doc_id: (r.found.n_words, list(r.found.spans)) for r in found} == {i: (1_000_015, [1_000_000, 1_000_013]) for i in range(6)}
