@@ -383,3 +383,21 @@ def test_threads_show_one_level_of_active_rows(spark):
         "id", "parent_id", "status", F.timestamp_seconds("t").alias("created_at"), F.lit("BB-1").alias("article_id"))
     assert [(r.root_id, r.id) for r in comments.threads(frame).collect()] == [(7, 7), (1, 1), (1, 2)]
     assert sorted(r.id for r in comments.thread_page(frame, "BB-1", 2, 1).collect()) == [1, 2]
+
+
+def test_the_most_frequent_words_within_the_bound_are_broadcast(spark, monkeypatch):
+    words = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate([9, 9, 7, 5, 5, 5, 1])], "term string, total bigint")
+    assert [topics._least_frequent(words, most) for most in (0, 1, 2, 3, 5, 6, 7)] == [100_001, 100_001, 9, 7, 7, 5, 1]
+    # No word has a 1/HOT_SHARE share: the bound alone decides, and words beyond it are still found.
+    monkeypatch.setattr(topics, "BROADCAST_CELLS", 3)
+    monkeypatch.setattr(topics, "HOT_SHARE", 1)
+    bag = spark.createDataFrame([(1, "w0"), (1, "w0"), (2, "w2"), (2, "w6"), (3, "none"), (4, None)], "id int, term string")
+    found = topics._look_up(bag, words, 7, 1, 41).select("id", "term", "total").collect()
+    assert sorted(found, key=str) == sorted([(1, "w0", 9), (1, "w0", 9), (2, "w2", 7), (2, "w6", 1), (3, "none", None), (4, None, None)], key=str)
+
+
+def test_accuracy_reads_its_predictions_once_computed(spark):
+    from pressroom.plans import QUERIES
+
+    files = QUERIES["c6_accuracy"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/evaluated-" in name for name in files)
