@@ -260,3 +260,18 @@ def test_tile_outlines_bound_the_cosine():
     assert (bound >= cosine - dedupe.ROUNDING).all()
     for threshold in (Fraction(1, 2), Fraction(4, 5), Fraction(19, 20)):
         assert index.reached(rows, place, n, squares, threshold).tolist() == (cosine >= float(threshold)).any(axis=1).tolist()
+
+
+def test_first_look_leaves_unknown_words_out(spark):
+    """Markup words that no stored row has do not keep a copy of a stored text from being found at first sight."""
+    bags = [(1, ["aa", "bb"], [3, 1]), (2, ["cc"], [2]), (3, ["dd", "aa"], [1, 5])]
+    schema = "_row bigint, terms array<string>, counts array<int>"
+    stored = dedupe._hashed(spark.createDataFrame(bags, schema))
+    new = [(1, ["aa", "bb", "class"], [3, 1, 40]), (2, ["dd"], [1]), (3, [], []), (4, ["class"], [7])]
+    mine = dedupe._hashed(spark.createDataFrame(new, schema)).withColumn("id", F.col("_row") + 10)
+    vocabulary = stored.select(F.explode("hashes").alias("hash")).distinct()
+    common = pa.array([r.hash for r in vocabulary.collect()], pa.int64())
+    bits = dedupe._vocabulary_bits(vocabulary)
+    assert np.unpackbits(bits).sum() == 4
+    looked = dedupe._first_look(mine, "id", common, dedupe._witnesses(stored, common), bits, Fraction(4, 5)).collect()
+    assert {r.id: (r.sure, len(r.hashes)) for r in looked} == {11: (True, 0), 12: (False, 1), 13: (False, 0), 14: (False, 1)}
