@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,7 +18,7 @@ from pressroom.session import settle, shared_path, ship
 
 __all__ = ["settle", "ship", "table", "attach", "fresh", "bitmap", "flagged", "connected_components", "run_ends", "scratch_folder"]
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20  # lists of Python objects made from a slice take several times as much
 SLICE_ROWS = 5_000
 ID_BITS = 24  # of a bitmap of ids: 2 MB
 _PAGE = 15  # bits of a bitmap's page number are those above
@@ -67,20 +69,34 @@ def attach(
     first, names = len(keep), [*keep, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, rows in _slices(batch.column(first), slice_bytes):
-                part = batch.slice(start, rows)
-                found = kernel(*part.columns[first:])
-                arrays = [
-                    a if isinstance(a := found[f.name], pa.Array) else pa.array(a, f.type, from_pandas=False)
-                    for f in kind
-                ]
-                yield pa.record_batch([*part.columns[:first], pa.StructArray.from_arrays(arrays, fields=list(kind))], names)
-        pa.default_memory_pool().release_unused()  # the worker may wait for its next task for long
+        yield from _attached(batches, kernel, first, names, kind, slice_bytes)
+        give_back()  # the worker may wait for its next task for long
 
     return read.mapInArrow(run, out)
 
 
+def _attached(
+    batches: Iterator[pa.RecordBatch], kernel: Callable[..., dict[str, Sequence]], first: int, names: list[str], kind: pa.DataType, slice_bytes: int
+) -> Iterator[pa.RecordBatch]:
+    """Batches with the kernel's results; what a kernel returned is let go before it gets its next slice."""
+
+    def result(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = kernel(*part.columns[first:])
+        arrays = [a if isinstance(a := found.pop(f.name), pa.Array) else pa.array(a, f.type, from_pandas=False) for f in kind]
+        return pa.record_batch([*part.columns[:first], pa.StructArray.from_arrays(arrays, fields=list(kind))], names)
+
+    for batch in batches:
+        for start, rows in _slices(batch.column(first), slice_bytes):
+            yield result(batch.slice(start, rows))
+
+
+def give_back() -> None:
+    """Hand memory that is not in use to the system: Arrow's, and the C library's where it can (glibc)."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()

@@ -179,7 +179,7 @@ def _encoded(documents: DataFrame, folder: str, file: str, end_id: int, key: str
             first = 0
             while first < len(texts):
                 last, held = first, 0
-                while last < len(texts) and (last == first or held < SLICE_BYTES // 4):
+                while last < len(texts) and (last == first or held < SLICE_BYTES):
                     held += len(texts[last])
                     last += 1
                 found = encoder.encode(texts[first:last])
