@@ -351,13 +351,11 @@ def recurring_texts(pages: DataFrame) -> DataFrame:
         return {"texts": out}
 
     found = attach(pages, ["html"], kernel, "texts array<bigint>", "t", keep=["host"])
-    # One row a page counts the pages of the host: a text number cannot be NULL.
-    rows = found.select("host", F.explode(F.concat("t.texts", F.array(F.lit(None).cast("bigint")))).alias("number"))
-    counted = rows.groupBy("host", "number").agg(F.count("*").alias("n"))
-    sizes = counted.where("number is null").select(F.col("host").alias("of"), F.col("n").alias("pages"))
-    enough = (F.col("n") >= LEAST_PAGES) & (2 * F.col("n") >= F.col("pages"))
-    many = counted.where(F.col("number").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(sizes, F.col("host") == F.col("of"))
-    return many.where(enough).groupBy("host").agg(F.collect_set("number").alias("recurring"))
+    counted = found.select("host", F.explode("t.texts").alias("number")).groupBy("host", "number").agg(F.count("*").alias("n"))
+    # The pages of a host are counted beside the kernel: a second use of its rows would read every page again.
+    sizes = pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"))
+    many = counted.where(F.col("n") >= LEAST_PAGES).join(sizes, F.col("host") == F.col("of"))
+    return many.where(2 * F.col("n") >= F.col("pages")).groupBy("host").agg(F.collect_set("number").alias("recurring"))
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:

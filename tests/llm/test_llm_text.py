@@ -492,3 +492,12 @@ def test_html_template_of_the_tables(spark):
         article = re.search("<article>(.*)</article>", row.html, re.S)[1]
         blocks = (" ".join(html.unescape(re.sub("</?b>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", article))
         assert got[row.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_html_counts_of_a_host_read_each_page_once(spark):
+    """The numbers of pages come without a second run of the kernel, and count pages without text too."""
+    rows = [("a.org", f"<p>one</p><p>own {n}</p>{'<p>half</p>' * (n < 3)}{'<p>few</p>' * (n < 2)}") for n in range(6)]
+    rows += [("b.org", "<p>two</p>"), ("b.org", "<p>two</p>"), ("a.org", None), ("c.org", "")]
+    found = html_text.recurring_texts(spark.createDataFrame(rows, "host string, html string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.host: r.recurring for r in found.collect()} == {"a.org": [html_text.text_number("one")]}
