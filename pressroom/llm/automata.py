@@ -16,6 +16,8 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 from pressroom.llm.perfect_hash import mixed
@@ -36,7 +38,7 @@ def _sorted_sums(columns: list[np.ndarray], weights: np.ndarray | None, largest:
             key = key << np.uint64(bits) | column.astype(np.uint64)
         keys = [key]
     if wide or weights is not None:
-        order = np.lexsort(keys[::-1]) if wide else np.argsort(keys[0])
+        order = _order_of_pairs(*keys, int(largest).bit_length()) if wide else np.argsort(keys[0])
         keys = [key[order] for key in keys]
         weights = np.ones(len(order), np.int64) if weights is None else weights[order]
     else:
@@ -57,6 +59,27 @@ def _sorted_sums(columns: list[np.ndarray], weights: np.ndarray | None, largest:
     return rows, sums
 
 
+def _order_of_pairs(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """Order by two keys, each of two columns of 32 bits of which ``bits`` are used: by the rank of the first key and the second
+    in one number, where that has room for both."""
+    order = np.argsort(first)
+    rank = np.zeros(len(first), np.uint64)
+    rank[order[1:]] = np.cumsum(first[order[1:]] != first[order[:-1]])
+    if len(first).bit_length() + 2 * bits > 64:
+        return np.lexsort((second, rank))
+    low = np.uint64((1 << 32) - 1)
+    return np.argsort(rank << np.uint64(2 * bits) | second >> np.uint64(32) << np.uint64(bits) | second & low)
+
+
+def _numbered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words in byte order, and the place of each of ``words`` among them, counted from 0."""
+    coded = words.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
+
+
 @dataclass
 class Windows:
     """``symbols`` are sorted; a column holds places in it, counted from 1, and 0 for nothing."""
@@ -69,12 +92,18 @@ class Windows:
         return len(self.weights)
 
     @staticmethod
-    def of(tokens: list[bytes], border: bytes) -> Windows:
+    def of(tokens: list[bytes] | pa.Array, border: bytes) -> Windows:
         """The run that starts at each token; ``border`` is no token, and no run goes beyond one."""
-        symbols = sorted(set(tokens) - {border})
-        place = {word: i for i, word in enumerate(symbols, 1)} | {border: 0}
-        ids = np.zeros(len(tokens) + DEPTH, np.uint32)
-        ids[: len(tokens)] = np.fromiter(map(place.__getitem__, tokens), np.uint32, len(tokens))
+        words, place = _numbered(tokens if isinstance(tokens, pa.Array) else pa.array(tokens, pa.large_binary()))
+        symbols = words.to_pylist()
+        none = bisect_left(symbols, border)
+        ids = np.zeros(len(place) + DEPTH, np.uint32)
+        ids[: len(place)] = place
+        ids[: len(place)] += 1
+        if none < len(symbols) and symbols[none] == border:
+            del symbols[none]
+            ids[: len(place)] -= place >= none
+            ids[: len(place)][place == none] = 0
         at = np.flatnonzero(ids)
         columns = [ids[at]]
         for i in range(1, DEPTH):
@@ -86,9 +115,10 @@ class Windows:
         """Equal runs become one with the sum of their weights."""
         if len(parts) == 1:
             return parts[0]
-        symbols = sorted(set().union(*[part.symbols for part in parts]))
-        place = {word: i for i, word in enumerate(symbols, 1)}
-        moved = [np.array([0, *[place[word] for word in part.symbols]], np.uint32) for part in parts]
+        words, place = _numbered(pa.array([word for part in parts for word in part.symbols], pa.large_binary()))
+        symbols = words.to_pylist()
+        ends = np.cumsum([len(part.symbols) for part in parts])
+        moved = [np.r_[0, place[end - len(part.symbols) : end] + 1].astype(np.uint32) for part, end in zip(parts, ends)]
         columns = [np.concatenate([new[part.columns[i]] for new, part in zip(moved, parts)]) for i in range(DEPTH)] if parts else [np.zeros(0, np.uint32)] * DEPTH
         weights = np.concatenate([np.zeros(0, np.int64), *[part.weights for part in parts]])
         return Windows(symbols, *_sorted_sums(columns, weights, len(symbols)))
@@ -108,9 +138,11 @@ class Windows:
     def rows(self, low: int, high: int) -> Windows:
         """Some of the rows, over the alphabet that they use."""
         columns = [column[low:high] for column in self.columns]
-        used = np.unique(np.concatenate(columns))
-        used = used[used > 0]
         place = np.zeros(len(self.symbols) + 1, np.uint32)
+        for column in columns:
+            place[column] = 1
+        place[0] = 0
+        used = np.flatnonzero(place)
         place[used] = np.arange(1, len(used) + 1)
         return Windows([self.symbols[i - 1] for i in used.tolist()], [place[column] for column in columns], self.weights[low:high])
 
@@ -208,7 +240,7 @@ class Automaton:
         return out
 
     def packed(self) -> bytes:
-        lengths = np.array([len(word) for word in self.symbols], np.int64)
+        lengths = np.fromiter(map(len, self.symbols), np.int64, len(self.symbols))
         arrays = [lengths, self.weight, *[np.diff(first.astype(np.int64)) for first in self.first], *self.label, *self.target]
         arrays = [_narrow(array) for array in arrays]
         head = json.dumps([(array.dtype.str, len(array)) for array in arrays]).encode()
@@ -223,10 +255,8 @@ class Automaton:
         for kind, n in json.loads(data[4:at]):
             arrays.append(np.frombuffer(data, kind, n, at))
             at += arrays[-1].nbytes
-        symbols = []
-        for length in arrays[0].tolist():
-            symbols.append(data[at : at + length])
-            at += length
+        ends = (at + np.cumsum(arrays[0], dtype=np.int64)).tolist()
+        symbols = [data[start:end] for start, end in zip([at, *ends], ends)]
         first = [np.r_[0, np.cumsum(n.astype(np.int64))] for n in arrays[2 : 2 + DEPTH]]
         return Automaton(symbols, first, arrays[2 + DEPTH : 2 + 2 * DEPTH], arrays[2 + 2 * DEPTH :], arrays[1])
 
@@ -241,7 +271,12 @@ def _folded(starts: np.ndarray, labels: np.ndarray, targets: np.ndarray) -> tupl
     n = ends - starts
     arc = mixed(mixed(labels.astype(np.uint64)) + targets.astype(np.uint64))
     sums = np.add.reduceat(arc, starts) if len(starts) else arc
-    _, model, state = np.unique(mixed(sums) + n.astype(np.uint64), return_index=True, return_inverse=True)
+    key = mixed(sums) + n.astype(np.uint64)
+    order = np.argsort(key)
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    model, state = order[new], np.empty(len(order), np.int64)
+    state[order] = np.cumsum(new) - 1
     like = model[state]
     same = n[like] == n
     shift = np.repeat(starts[like] - starts, np.where(same, n, 0))

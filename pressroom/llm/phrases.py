@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.llm.automata import DEPTH, Automaton, Windows
-from pressroom.llm.common import settle, ship
+from pressroom.llm.common import give_back, settle, ship
 from pressroom.operators.ranking import with_rank
 
 LEAST = 30
@@ -52,9 +52,17 @@ _FOLD = bytes(
 )
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words in order, with a border after every piece. Only blanks and tabs are left to split at."""
-    return (text.encode().translate(_FOLD).replace(_BORDER, b" . ") + b" .").split()
+def tokens(texts: list[str]) -> pa.Array:
+    """Words of the texts in order, with a border after every piece. Only blanks and tabs are left to split at."""
+    data = np.frombuffer("\n".join([*texts, ""]).encode().translate(_FOLD), np.uint8)
+    blank, border = data == 32, data == ord(_BORDER)
+    first = border.copy()  # a border is a word of its own
+    first[:1] = True
+    first[1:] |= blank[:-1] | border[:-1]
+    said = ~blank
+    ends = np.append(np.flatnonzero(first[said]), np.count_nonzero(said))
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[said])]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, buffers)
 
 
 class Shard:
@@ -71,10 +79,7 @@ class Shard:
 
     def settle(self) -> None:
         if self.texts:
-            found: list[bytes] = []
-            for text in self.texts:
-                found += tokens(text)
-            self.parts.append(Windows.of(found, _BORDER))
+            self.parts.append(Windows.of(tokens(self.texts), _BORDER))
             self.texts, self.chars = [], 0
 
     @property
@@ -119,12 +124,14 @@ def shards(documents: DataFrame, range_runs: int = RANGE_RUNS, shard_runs: int =
                 if sum(one.runs for one in held.values()) >= shard_runs:
                     fullest = max(held, key=lambda name: held[name].runs)
                     chars -= held[fullest].chars
-                    windows = held.pop(fullest).windows()
-                    yield row(fullest, windows)
+                    yield row(fullest, held.pop(fullest).windows())
+                    give_back()
         for lang, shard in held.items():
             windows = shard.windows()
             if len(windows):
                 yield row(lang, windows)
+        held.clear()
+        give_back()  # the worker may wait for its next task for long
 
     return read.mapInArrow(run, "lang string, words bigint, sample array<array<string>>, blob binary")
 
@@ -167,6 +174,8 @@ def _cut(built: DataFrame, ends: Broadcast) -> DataFrame:
                 own = [(number, windows.rows(low, high)) for number, low, high in own if low < high]
                 values = [number for number, _ in own], [lang] * len(own), [Automaton.build(rows).packed() for _, rows in own]
                 yield pa.record_batch([pa.array(v, field.type) for v, field in zip(values, fields)], schema=fields)
+                del windows, own, values
+                give_back()
 
     return built.select("lang", "blob").mapInArrow(run, "range int, lang string, blob binary")
 
@@ -213,6 +222,8 @@ def _united(pieces: DataFrame, ends: Broadcast, least: int) -> DataFrame:
                     parts = [Windows.union(parts)]
         if at:
             yield _heavy(Windows.union(parts), at[1], at[0], ends.value, least)
+        del parts
+        give_back()
 
     return pieces.repartition("range").sortWithinPartitions("range", "lang").mapInArrow(run, _COUNTS)
 
@@ -284,6 +295,8 @@ def _composed(requests: DataFrame, transducers: DataFrame, chunk: int) -> DataFr
         parts = [part.encode().split(b" ") for part in asked["part"].to_pylist()]
         found = Automaton.unpacked(held["blob"][0].as_py()).compose(parts) if len(held) else np.zeros(len(parts), np.int64)
         columns = {name: asked[name] for name in ("lang", "phrase", "a", "k", "side")}
+        del parts
+        give_back()
         return pa.table(columns | {"found": pa.array(found, pa.int64())})
 
     key = ["range", "lang", "chunk"]

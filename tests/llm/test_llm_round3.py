@@ -146,6 +146,24 @@ def test_automaton(vocabulary):
     assert none.compose([(b"x",)]).tolist() == [0] and len(none.unfold()) == 0
 
 
+def test_phrase_words_stay_in_arrow():
+    """Words and borders of a unit are one Arrow array, the same as cut text by text; equal pairs of keys keep no order."""
+    texts = ["", " \t", "A b.C", "x,,\r\n Y\tü É!", ".", "end", "a\u00a0b\x00c ; \x0bd", "z " * 3]
+    words = phrases.tokens(texts)
+    plain = [w for text in texts for w in re.sub(r"[.,;:!?\x0a-\x0d]", " . ", text.translate(LOWER) + " .").replace("\t", " ").split(" ") if w]
+    assert isinstance(words, pa.Array) and [w.decode() for w in words.to_pylist()] == plain
+    one, other = (automata.Windows.of(part, b".") for part in (words, words.to_pylist()))
+    assert one.symbols == other.symbols == sorted(set(words.to_pylist()) - {b"."})
+    assert [c.tolist() for c in one.columns] == [c.tolist() for c in other.columns] and one.weights.tolist() == other.weights.tolist()
+    assert phrases.tokens([]).to_pylist() == [] and len(automata.Windows.of(phrases.tokens(["", "."]), b".")) == 0
+    rng = np.random.default_rng(1)
+    for bits in (17, 32):
+        pairs = rng.integers(0, [[1 << bits], [3], [1 << bits], [1 << bits]], (4, 3000)).astype(np.uint64)[:, rng.integers(0, 3000, 5000)]
+        first, second = (pairs[i] << np.uint64(32) | pairs[i + 1] for i in (0, 2))
+        order = automata._order_of_pairs(first, second, bits)
+        assert list(zip(first[order].tolist(), second[order].tolist())) == sorted(zip(first.tolist(), second.tolist()))
+
+
 def brute_phrases(rows, least, top, percent):
     counts, total = defaultdict(Counter), Counter()
     for lang, text in rows:
