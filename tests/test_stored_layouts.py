@@ -240,6 +240,21 @@ def test_tiles_match_brute_force(spark, monkeypatch):
     assert want[(501, True)] and want[(503, False)] and 20 < sum(hit for _, hit in want.elements()) < 190
 
 
+def test_tiles_are_shared_out(spark, monkeypatch):
+    """The rows of 0.5 GB make enough tiles for all cores, those of 6 GB no more than their pairs ask for; tiles stay apart in their tasks."""
+    some, more = ((100_000 * i, 10_000_000 * i) for i in (1, 12)), ((25_000 * i, 8_000_000 * i) for i in (1, 12))
+    (small, large) = (dedupe._chunks(new, old) for new, old in zip(some, more))
+    assert 24 <= small[0] * small[1] <= 36
+    assert 720 <= large[0] * large[1] <= 800  # 3.6e11 pairs
+    assert dedupe._chunks((100, 1_000), (100, 1_000)) == (1, 1) == dedupe._chunks((0, 0), (5, 9))
+    monkeypatch.setattr(dedupe, "LEAST_TILE_PAIRS", 4)
+    rows = [(i, [i, 7], [1, 1]) for i in range(40)]
+    bags = spark.createDataFrame(rows, "_row bigint, hashes array<bigint>, counts array<int>")
+    tiles = dedupe._in_tiles(bags, bags.where("_row % 2 = 0"), Fraction(4, 5))
+    assert "REPARTITION_BY_NUM" in tiles._jdf.queryExecution().toString()
+    assert sorted(r["_row"] for r in tiles.collect()) == list(range(0, 40, 2))
+
+
 def test_tile_outlines_bound_the_cosine():
     rng = np.random.default_rng(3)
     docs = [np.unique(np.minimum(rng.zipf(1.3, rng.integers(1, 400)), 5_000)) for _ in range(300)]
