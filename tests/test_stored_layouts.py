@@ -255,6 +255,20 @@ def test_tiles_are_shared_out(spark, monkeypatch):
     assert sorted(r["_row"] for r in tiles.collect()) == list(range(0, 40, 2))
 
 
+def test_chunks_are_written_once_for_all_tiles(spark, monkeypatch):
+    """More tiles do not write more: every row stands in one chunk, and a tile reads its two chunks where they are."""
+    monkeypatch.setattr(dedupe, "LEAST_TILE_PAIRS", 4)
+    rows = [(i, [i, 7], [1, 1]) for i in range(40)]
+    bags = spark.createDataFrame(rows, "_row bigint, hashes array<bigint>, counts array<int>")
+    packs = [pa.ipc.open_stream(r.new).read_all() for r in dedupe._packed(bags, 6, "new").collect()]
+    assert 1 < len(packs) <= 6
+    assert sorted(pa.concat_tables(packs).to_pylist(), key=lambda r: r["_row"]) == [dict(zip(bags.columns, r)) for r in rows]
+    tiles = dedupe._in_tiles(bags, bags.where("_row % 2 = 0"), Fraction(4, 5))
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert not dedupe._in_tiles(bags.limit(0), bags, Fraction(4, 5)).collect()
+
+
 def test_tile_outlines_bound_the_cosine():
     rng = np.random.default_rng(3)
     docs = [np.unique(np.minimum(rng.zipf(1.3, rng.integers(1, 400)), 5_000)) for _ in range(300)]
