@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from pressroom.session import settle, shared_path, ship
+from pressroom.session import give_back, settle, shared_path, ship
 
-__all__ = ["settle", "ship", "table", "attach", "fresh", "bitmap", "flagged", "connected_components", "run_ends", "scratch_folder"]
+__all__ = ["settle", "ship", "table", "attach", "fresh", "bitmap", "flagged", "connected_components", "run_ends", "scratch_folder", "give_back"]
 
 SLICE_BYTES = 4 << 20  # lists of Python objects made from a slice take several times as much
 SLICE_ROWS = 5_000
@@ -90,13 +88,6 @@ def _attached(
             yield result(batch.slice(start, rows))
 
 
-def give_back() -> None:
-    """Hand memory that is not in use to the system: Arrow's, and the C library's where it can (glibc)."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pressroom import schemas
+from pressroom import schemas, session
 from pressroom.functions.text import serving_words
 from pressroom.operators import catalogue, dedupe, topics
 from pressroom.operators.wordcounts import count_words
@@ -269,6 +270,43 @@ def test_chunks_are_written_once_for_all_tiles(spark, monkeypatch):
     assert not dedupe._in_tiles(bags.limit(0), bags, Fraction(4, 5)).collect()
 
 
+def test_intermediate_tables_go_when_nothing_reads_them_again(spark, monkeypatch):
+    """Hashes are not stored beside the words, words go after the tiles, and a tile worked on in parts finds the same."""
+    monkeypatch.setattr(dedupe, "LEAST_TILE_PAIRS", 4)
+    monkeypatch.setattr(dedupe, "TILE_WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(dedupe, "WITNESSES", 1)
+    rows = [(i, f"w{i} w{i} w{i + 1} " + "aa " * (i % 3)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id bigint, body string")
+    made, kept = [], session.shared_path
+    monkeypatch.setattr(session, "shared_path", lambda spark, name: made.append(kept(spark, name)) or made[-1])
+    with session.scratch(spark):
+        flags = dedupe.flag_near_duplicates(docs, docs.where("id % 2 = 0"), "id", "body", index_pairs=10)
+        left = {name.rsplit("/", 1)[-1][:-33] for name in made if os.path.exists(name.removeprefix("file:"))}
+        got = {r.id for r in flags.collect() if r.near_duplicate}
+    assert left == {"first-look", "near"}
+    bags = {i: Counter(t.split()) for i, t in rows}
+    known = set().union(*(bags[i] for i in range(0, 40, 2)))
+
+    def near(mine, other):
+        square = sum(n * n for w, n in mine.items() if w in known)
+        return 25 * sum(n * other[w] for w, n in mine.items()) ** 2 >= 16 * square * sum(n * n for n in other.values())
+
+    assert got == {i for i in bags if any(near(bags[i], bags[j]) for j in range(0, 40, 2))}
+    lists = pa.array([[1] * n for n in (0, 3, 9, 2, 2, 0, 4)])
+    assert [(p.start, p.stop) for p in dedupe._parts(lists.slice(1), 7)] == [(0, 1), (1, 2), (2, 5), (5, 6)]
+
+
+def test_shuffle_files_of_settled_tables_go(spark, tmp_path):
+    before = spark.conf.get(session._SHUFFLE_CLEANUP, None)
+    table = session.settle(spark.range(9).repartition(3, "id"), "dealt", codec="zstd")
+    assert spark.conf.get(session._SHUFFLE_CLEANUP, None) == before
+    assert sorted(r.id for r in table.collect()) == list(range(9))
+    path = table.inputFiles()[0].removeprefix("file:").lstrip("/").rsplit("/", 1)[0]
+    assert all(".zstd." in name for name in os.listdir(f"/{path}") if name.startswith("part-"))
+    session.discard(table, spark.range(1))
+    assert not os.path.exists(f"/{path}")
+
+
 def test_tile_outlines_bound_the_cosine():
     rng = np.random.default_rng(3)
     docs = [np.unique(np.minimum(rng.zipf(1.3, rng.integers(1, 400)), 5_000)) for _ in range(300)]
